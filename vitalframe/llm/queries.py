@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vitalframe.llm import mixing, sharding, url_filters
+from vitalframe.llm import mixing, near_dedup, sharding, url_filters
 from vitalframe.llm.common import table
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -14,6 +14,10 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
+def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filters.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
@@ -23,9 +27,25 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.stratified_shards(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mixing, op6_url_filter, op9_sharding)}
+QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_minhash_dedup, op6_url_filter, op9_sharding)}
 
 ORACLE_SQL = {
+    "op2_minhash_dedup": r"""
+with recursive w as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
+  from documents),
+s as (
+  select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) end as s from w),
+e as materialized (select doc_id, unnest(s) as g, len(s) as n from s),
+f as materialized (select * from e qualify count(*) over (partition by g) > 1),
+links as materialized (
+  select a.doc_id as a, b.doc_id as b from f a join f b on a.g = b.g and a.doc_id <> b.doc_id
+  group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+reach(a, b) as (select doc_id, doc_id from documents union select r.a, l.b from reach r join links l on r.b = l.a)
+select s.doc_id, len(s.s)::bigint as n_shingles, min(r.b) as component_id, s.doc_id = min(r.b) as kept
+from s join reach r on r.a = s.doc_id group by s.doc_id, s.s
+""",
     "op6_url_filter": r"""
 with parts as (
   select page_id, case when position('://' in url) > 0 then substr(url, position('://' in url) + 3) else '' end as rest from pages),
