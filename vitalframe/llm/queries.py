@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vitalframe.llm import mixing, near_dedup, sharding, url_filters
-from vitalframe.llm.common import table
+from vitalframe.llm import language_id, mixing, near_dedup, sharding, toxicity, url_filters
+from vitalframe.llm.common import id_remainder, table
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
@@ -23,11 +24,25 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    names, model = language_id.train(docs.filter(id_remainder(F.col("doc_id"), 4) != 2))
+    found = language_id.identify(docs, names, model)
+    return found.select("doc_id", F.coalesce(id_remainder(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "languages")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    terms, weights = toxicity.train(docs, table(spark, sf_dir, "labels").filter(id_remainder(F.col("doc_id"), 5) != 0))
+    found = toxicity.score(docs, terms, weights)
+    return found.select("doc_id", F.coalesce(id_remainder(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted", "hits")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.stratified_shards(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_minhash_dedup, op6_url_filter, op9_sharding)}
+QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_minhash_dedup, op6_url_filter, op7_language_id, op8_toxicity, op9_sharding)}
 
 ORACLE_SQL = {
     "op2_minhash_dedup": r"""
