@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 from vitalframe.llm.words import REMEMBERED
 
 #: About as many labelled texts of each label are used; most terms kept; least documents of a term.
-SAMPLE_TEXTS, MAX_TERMS, LEAST_TEXTS = 5000, 500, 6
+SAMPLE_TEXTS, MAX_TERMS, LEAST_TEXTS = 5000, 1000, 5
 #: How many times likelier a term must be in toxic texts, and the least number of its contexts there, as a share of the toxic texts.
-RATIO, LEAST_SHARE = 10.0, 0.03
+RATIO, LEAST_SHARE = 10.0, 0.005
 #: Terms of this length on may differ by one edit.
 FUZZY_LENGTH = 5
 #: Words looked at on each side of a hit.
