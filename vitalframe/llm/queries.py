@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalframe.llm import language_id, mixing, near_dedup, sharding, toxicity, url_filters
+from vitalframe.llm import language_id, mixing, near_dedup, sharding, subwords, toxicity, url_filters
 from vitalframe.llm.common import id_remainder, table
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -19,6 +19,10 @@ def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subwords.encode_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filters.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
@@ -42,7 +46,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.stratified_shards(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_minhash_dedup, op6_url_filter, op7_language_id, op8_toxicity, op9_sharding)}
+QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_minhash_dedup, op3_sentencepiece, op6_url_filter, op7_language_id, op8_toxicity, op9_sharding)}
 
 ORACLE_SQL = {
     "op2_minhash_dedup": r"""
