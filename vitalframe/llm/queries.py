@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalframe.llm import language_id, mixing, near_dedup, sharding, subwords, toxicity, url_filters
+from vitalframe.llm import ann, language_id, mixing, near_dedup, sharding, subwords, topk, toxicity, url_filters
 from vitalframe.llm.common import id_remainder, table
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -23,6 +23,16 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subwords.encode_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_hnsw_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.nearest(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
+def op5_voronoi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.top_inner_products(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filters.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
@@ -46,7 +56,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.stratified_shards(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_minhash_dedup, op3_sentencepiece, op6_url_filter, op7_language_id, op8_toxicity, op9_sharding)}
+QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_minhash_dedup, op3_sentencepiece, op4_hnsw_search, op5_voronoi_topk, op6_url_filter, op7_language_id, op8_toxicity, op9_sharding)}
 
 ORACLE_SQL = {
     "op2_minhash_dedup": r"""
@@ -64,6 +74,16 @@ links as materialized (
 reach(a, b) as (select doc_id, doc_id from documents union select r.a, l.b from reach r join links l on r.b = l.a)
 select s.doc_id, len(s.s)::bigint as n_shingles, min(r.b) as component_id, s.doc_id = min(r.b) as kept
 from s join reach r on r.a = s.doc_id group by s.doc_id, s.s
+""",
+    "op5_voronoi_topk": """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
+  where vec_id is not null and embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select q.vec_id as query_id, d.vec_id, list_sum(list_transform(list_zip(q.v, d.v), lambda p: p[1] * p[2]))::bigint as score
+  from v q join v d on q.vec_id <> d.vec_id where q.vec_id % 50 = 0),
+r as (select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score from s)
+select * from r where rank <= 5
 """,
     "op6_url_filter": r"""
 with parts as (
