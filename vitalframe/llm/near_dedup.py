@@ -12,6 +12,9 @@ lists of one member are dropped at once, and so is a set with more than K - T of
 Links come in two steps, so that no group of copies is expanded into all its pairs. First each set is
 compared with the smallest member of its lists (if they share T lists at least). What this links is one
 component. Then lists that still span several components are compared across components, and only there.
+Before that, the members of such lists lose those that cannot be linked: shingles that no other member has
+are in no intersection, which bounds the overlap of any pair exactly. Loosely edited copies of one text and
+texts around one common passage have many of them.
 """
 
 from __future__ import annotations
@@ -78,14 +81,23 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["id", "members"])
 
 
-def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hashes = WordHashes()
     for batch in batches:
-        keep = []
+        found = [shingles(hashes.of(words(t))) for t in batch.column(1).to_pylist()]
+        owner = np.repeat(np.array(batch.column(0).to_pylist(), np.int64), [len(x) for x in found])
+        yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(np.concatenate(found).view(np.int64))], names=["rep", "s"])
+
+
+def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        overlap, linked = [], []
         for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
             p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
             both = len(np.intersect1d(p, q, assume_unique=True))
-            keep.append(100 * both >= 75 * (len(p) + len(q) - both))
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            overlap.append(both)
+            linked.append(100 * both >= 75 * (len(p) + len(q) - both))
+        yield pa.RecordBatch.from_arrays([*batch.select(["a", "b"]).columns, pa.array(overlap, pa.int64()), pa.array(linked, pa.bool_())], names=["a", "b", "overlap", "linked"])
 
 
 def picked(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
@@ -95,12 +107,27 @@ def picked(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
 
 
 def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of the pairs (a, b) of document ids, those whose full sets are similar enough."""
+    """The pairs (a, b) of document ids with the overlap of their full sets and whether that links them."""
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     sets = picked(docs.select("doc_id", "text"), ids, "left_semi").mapInArrow(_sets, "id long, members binary")
     left = sets.select(F.col("id").alias("a"), F.col("members").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("members").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_confirmed, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_overlaps, "a long, b long, overlap long, linked boolean")
+
+
+def _open(members: DataFrame) -> DataFrame:
+    """Rows of the lists (key) that span more than one component."""
+    keys = members.groupBy("key").agg(F.min("component").alias("p"), F.max("component").alias("q")).filter("p <> q").select("key")
+    return members.join(keys, "key", "left_semi")
+
+
+def _lone_shingles(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """(rep, lone): how many shingles each of the documents ids (doc_id) has that no other of them has; none: no row.
+
+    These cannot be in an intersection, so a document's links are bounded by the rest.
+    """
+    flat = picked(docs, ids, "left_semi").mapInArrow(_members, "rep long, s long")
+    return flat.groupBy("s").agg(F.count(F.lit(1)).alias("k"), F.min("rep").alias("rep")).filter("k = 1").groupBy("rep").agg(F.count(F.lit(1)).alias("lone"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -122,8 +149,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     stars = shared.filter("rep <> lead").groupBy("rep", "lead").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") >= T)
     stars = materialize(stars.select(F.col("lead").alias("a"), F.col("rep").alias("b")))
-    links = materialize(confirm(stars, docs))
-    joined = connected(links)
+    compared = materialize(confirm(stars, docs))
+    joined = connected(compared.filter("linked").select("a", "b"))
+    # The member that a set overlaps most with is its centre; a centre is its own.
+    centres = compared.groupBy(F.col("b").alias("rep")).agg(F.max(F.struct("overlap", F.col("a").alias("centre"))).alias("x")).select("rep", "x.centre", "x.overlap")
 
     own = Window.partitionBy("rep")
     prefix = (
@@ -133,10 +162,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .select("rep", "n", "key")
     )
     prefix = prefix.join(joined.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    open_lists = prefix.groupBy("key").agg(F.min("component").alias("p"), F.max("component").alias("q")).filter("p <> q").select("key")
-    left = materialize(prefix.join(open_lists, "key", "left_semi"))
-    right = left.select("key", *[F.col(c).alias(f"{c}2") for c in ("rep", "n", "component")])
-    across = left.join(right, "key").filter("component < component2 and 4 * least(n, n2) >= 3 * greatest(n, n2)")
+    open_members = materialize(_open(prefix))
+    lone = materialize(_lone_shingles(open_members.select(F.col("rep").alias("doc_id")).distinct(), docs))
+    linkable = open_members.join(lone, "rep", "left").withColumn("m", F.col("n") - F.coalesce("lone", F.lit(0))).filter("4 * m >= 3 * n").drop("lone")
+    linkable = linkable.join(centres, "rep", "left").withColumn("overlap", F.coalesce("overlap", "n")).withColumn("centre", F.coalesce("centre", "rep"))
+    left = materialize(_open(linkable))
+    right = left.select("key", *[F.col(c).alias(f"{c}2") for c in ("rep", "n", "m", "component", "centre", "overlap")])
+    # Two sets around one centre share at most what the smaller overlap holds of it and the smaller rest outside of it.
+    most = F.expr("case when centre = centre2 then least(overlap, overlap2) + least(m - overlap, m2 - overlap2) else least(m, m2) end")
+    across = left.join(right, "key").filter("component < component2").filter(7 * most >= 3 * (F.col("n") + F.col("n2")))
     across = across.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
     across = materialize(across.join(stars, ["a", "b"], "left_anti"))
     signs = classes.select("rep", "sig")
@@ -148,7 +182,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .select("a", "b")
     )
     more = confirm(materialize(close), docs)
-    final = connected(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+    final = connected(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more.filter("linked").select("a", "b")))
 
     reps = classes.select("c1", "c2", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left")
     reps = reps.select("c1", "c2", F.coalesce("component", "rep").alias("component_id"))
