@@ -34,6 +34,17 @@ END, START = np.uint64(1), np.uint64(2)
 _WORD, _PAIR = 0, 1
 
 
+def _pack(numbers: np.ndarray) -> bytes:
+    """Small counts, mostly below 255, as a byte each; the others follow as four bytes, in order."""
+    return np.minimum(numbers, 255).astype(np.uint8).tobytes() + numbers[numbers >= 255].astype(np.uint32).tobytes()
+
+
+def _unpack(data: bytes, n: int) -> np.ndarray:
+    numbers = np.frombuffer(data, np.uint8, n).astype(np.uint32)
+    numbers[numbers == 255] = np.frombuffer(data[n:], np.uint32)
+    return numbers
+
+
 class Block:
     """The tokens of a block of documents, its distinct words and bigrams, and the order in which it asks for them."""
 
@@ -87,37 +98,43 @@ def _ask(block: int, b: Block, parts: int) -> pd.DataFrame:
     rows = []
     for p, s in enumerate(b.word_slices(parts)):
         mine = b.word_order[s]
-        rows.append((_WORD, p, block, b.words[mine].tobytes(), b"", b"", b.word_counts[mine].tobytes()))
+        rows.append((_WORD, p, block, b.words[mine].tobytes(), b"", b"", _pack(b.word_counts[mine])))
     for p, (s, h, sizes) in enumerate(b.pair_slices(parts)):
-        rows.append((_PAIR, p, block, h.tobytes(), sizes.tobytes(), b.all_pairs[s].tobytes(), b.all_counts[s].tobytes()))
+        rows.append((_PAIR, p, block, h.tobytes(), _pack(sizes), b.all_pairs[s].tobytes(), _pack(b.all_counts[s])))
     return pd.DataFrame(rows, columns=["kind", "part", "block", "keys", "sizes", "pairs", "counts"])
 
 
-def _joined(column: pd.Series, kind) -> tuple[np.ndarray, np.ndarray]:
-    arrays = [np.frombuffer(x, kind) for x in column]
+def _joined(column: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """All hashes of a column and where each block's end."""
+    arrays = [np.frombuffer(x, np.uint64) for x in column]
     return np.concatenate(arrays), np.cumsum([len(a) for a in arrays])[:-1]
 
 
+def _numbers(column: pd.Series, hashes: pd.Series) -> np.ndarray:
+    """The packed counts that go with a column of hashes."""
+    return np.concatenate([_unpack(x, len(y) // 8) for x, y in zip(column, hashes, strict=True)])
+
+
 def _totals(asked: pd.DataFrame) -> pd.DataFrame:
     """Add up one part over all blocks that asked; answers keep each block's order."""
-    keys, key_cuts = _joined(asked["keys"], np.uint64)
-    counts, count_cuts = _joined(asked["counts"], np.uint32)
+    keys, key_cuts = _joined(asked["keys"])
     if asked["kind"].iloc[0] == _WORD:
         distinct, at = np.unique(keys, return_inverse=True)
+        counts = _numbers(asked["counts"], asked["keys"])
         total = np.bincount(at, counts, len(distinct)).astype(np.uint32)
         counted = total[distinct != START]
         extra = np.array([counted.sum(dtype=np.int64), (counted > 0).sum()], np.int64).tobytes()
-        answers = [(x.tobytes(), extra) for x in np.split(total[at], key_cuts)]
+        answers = [(_pack(x), extra) for x in np.split(total[at], key_cuts)]
     else:
-        sizes, _ = _joined(asked["sizes"], np.uint32)
-        pairs, _ = _joined(asked["pairs"], np.uint64)
+        sizes, counts = _numbers(asked["sizes"], asked["keys"]), _numbers(asked["counts"], asked["pairs"])
+        pairs, count_cuts = _joined(asked["pairs"])
         distinct_h, h_at = np.unique(keys, return_inverse=True)
         # The bigram hash covers its first word, so equal hashes have one h; the placeholder 0 counts nothing.
         distinct, first, at = np.unique(pairs, return_index=True, return_inverse=True)
         total = np.bincount(at, counts, len(distinct)).astype(np.uint32)
         h_of_pair = np.repeat(h_at, sizes)[first]
         types = np.bincount(h_of_pair[total > 0], minlength=len(distinct_h)).astype(np.uint32)
-        answers = [(x.tobytes(), t.tobytes()) for x, t in zip(np.split(total[at], count_cuts), np.split(types[h_at], key_cuts), strict=True)]
+        answers = [(_pack(x), _pack(t)) for x, t in zip(np.split(total[at], count_cuts), np.split(types[h_at], key_cuts), strict=True)]
     return pd.DataFrame({"kind": asked["kind"], "part": asked["part"], "block": asked["block"], "totals": [a for a, _ in answers], "extra": [e for _, e in answers]})
 
 
@@ -128,15 +145,16 @@ def _scored(frame: pd.DataFrame, b: Block, told: pd.DataFrame, parts: int) -> pd
     word_slices, pair_slices = b.word_slices(parts), b.pair_slices(parts)
     for kind, part, totals, extra in zip(told["kind"], told["part"], told["totals"], told["extra"], strict=True):
         if kind == _WORD:
-            word_totals[b.word_order[word_slices[part]]] = np.frombuffer(totals, np.uint32)
+            mine = b.word_order[word_slices[part]]
+            word_totals[mine] = _unpack(totals, len(mine))
             n, v = np.frombuffer(extra, np.int64)
             tokens, distinct = tokens + int(n), distinct + int(v)
         else:
             where, h, _ = pair_slices[part]
-            pair_totals[where] = np.frombuffer(totals, np.uint32)
+            pair_totals[where] = _unpack(totals, where.stop - where.start)
             at = np.searchsorted(b.words, h)
             known = (at < len(b.words)) & (b.words[np.minimum(at, len(b.words) - 1)] == h)
-            np.add.at(types, at[known], np.frombuffer(extra, np.uint32)[known])
+            np.add.at(types, at[known], _unpack(extra, len(h))[known])
     back = np.empty(len(pair_totals))
     back[b.pair_order] = pair_totals
     pair_totals = back[: b.asked_pairs]
