@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -69,3 +70,15 @@ def seeded_rank(df: DataFrame, group: str, ident: str, seed: str, ties: list[str
     inside = Window.partitionBy(group, "_slice").orderBy("_h", *ties)
     ranked = keyed.withColumn("_in", F.row_number().over(inside) - 1)
     return ranked.join(offsets, [group, "_slice"]).withColumn("rank", F.col("_before") + F.col("_in")).drop("_h", "_slice", "_in", "_before")
+
+
+def keep_by_text(docs: DataFrame, judge) -> DataFrame:
+    """The rows of docs, all columns as they were, whose text passes: judge() gives, once a task, a function from texts to flags."""
+    at = docs.columns.index("text")
+
+    def kept(batches):
+        passes = judge()
+        for batch in batches:
+            yield batch.filter(pa.array(passes(batch.column(at).to_pylist()), pa.bool_()))
+
+    return docs.mapInArrow(kept, docs.schema)

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vitalframe.llm.common import keep_by_text
+
 #: N-grams of three bytes go to this many buckets.
 BUCKETS = 1 << 15
 #: Most languages of a model, and about as many training texts as are used of each.
@@ -112,3 +114,20 @@ def identify(docs: DataFrame, names: list[str], model: np.ndarray) -> DataFrame:
             )
 
     return docs.select("doc_id", "text").mapInArrow(predict, "doc_id long, lang_pred string, score double, languages array<struct<lang:string,share:double>>")
+
+
+def with_language(docs: DataFrame, names: list[str], model: np.ndarray, least: float = 0.5) -> DataFrame:
+    """The rows of docs whose text has a language that makes up at least that share of it, columns unchanged.
+
+    Texts without a letter, null ones included, have none and go.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def judge():
+        def passes(texts):
+            found = [infer(t, held.value) for t in texts]
+            return [bool(f) and float(f[1][f[0][0]]) >= least for f in found]
+
+        return passes
+
+    return keep_by_text(docs, judge)

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vitalframe.llm.common import keep_by_text
 from vitalframe.llm.words import REMEMBERED
 
 #: About as many labelled texts of each label are used; most terms kept; least documents of a term.
@@ -188,6 +189,22 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray]:
     return terms, logistic(data[:, :4], data[:, 4])
 
 
+def _probabilities(texts: list[str | None], look: Matches, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    rows = np.array([features(t, look) for t in texts]).reshape(-1, 4)
+    return rows, 1 / (1 + np.exp(-np.clip(rows @ weights[:4] + weights[4], -30, 30)))
+
+
+def without_toxic(docs: DataFrame, terms: list[str], weights: np.ndarray) -> DataFrame:
+    """The rows of docs that score below 0.5, columns unchanged."""
+    automaton = Automaton(terms)
+
+    def judge():
+        look = Matches(automaton)
+        return lambda texts: _probabilities(texts, look, weights)[1] < 0.5
+
+    return keep_by_text(docs, judge)
+
+
 def score(docs: DataFrame, terms: list[str], weights: np.ndarray) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, score (0 to 1), predicted (1 from 0.5 on), hits.
 
@@ -198,8 +215,7 @@ def score(docs: DataFrame, terms: list[str], weights: np.ndarray) -> DataFrame:
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = Matches(automaton)
         for batch in batches:
-            rows = np.array([features(t, look) for t in batch.column(1).to_pylist()]).reshape(-1, 4)
-            p = 1 / (1 + np.exp(-np.clip(rows @ weights[:4] + weights[4], -30, 30)))
+            rows, p = _probabilities(batch.column(1).to_pylist(), look, weights)
             hits = np.rint(np.expm1(rows[:, :3]).sum(axis=1)).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array(hits)], names=["doc_id", "score", "predicted", "hits"]
