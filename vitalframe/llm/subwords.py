@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding of merge-type (BPE) models, with seeded merge-dropout.
 
-A text gets the model's leading space and is cut into units (spaces and the word after them, or a line
-break) that no piece of the model crosses. Inside a unit an agenda of neighbouring pairs, best score
+A text gets the model's leading space and is cut into units (spaces and the word after them, a line
+break, punctuation) that no piece of the model crosses. Inside a unit an agenda of neighbouring pairs, best score
 first and then leftmost, is worked off; with dropout, a candidate taken from it is skipped if a keyed
 hash of seed, variant, unit, place and length falls below the rate. A skipped pair comes back only when
 a neighbour of it merges. Characters without a piece become byte pieces, so decoding gives the text back.
@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import heapq
 import re
+import string
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,8 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Units remembered by one task before its table starts anew.
-REMEMBERED = 300_000
+#: Units that a generation remembers of one variant, and rows taken together.
+REMEMBERED, ROWS = 100_000, 4096
 _SPACE, _NONE = "▁", 1 << 60
 _LONG = 40
 
@@ -52,16 +54,18 @@ class Vocabulary:
         odd = next((p for p in self.pieces if _SPACE in p.lstrip(_SPACE) or ("\n" in p and len(p) > 1)), None)
         if odd is not None:
             raise ValueError(f"piece {odd!r} crosses units")
+        # Marks that no piece has after a letter or digit: a unit may end before them.
+        beside = {(a, b) for p in self.pieces for a, b in zip(p, p[1:], strict=False)}
+        marks = set(string.punctuation) - {b for a, b in beside if a.isalnum()}
+        ends = "".join(map(re.escape, sorted(marks)))
+        word, end = r" *[^\W_]+", rf"(?=[ \n{ends}]|\Z)"
+        self.unit = re.compile(rf"{word}{end}| *[^ \n]+?(?:(?<=[^\W_]){end}|(?=[ \n]|\Z))| +|\n")
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: their bytes joined, without the leading space."""
         return b"".join(map(self.spelled.__getitem__, ids)).decode("utf-8", "replace")[1:]
 
 
-#: Spaces with the word after them, spaces alone, or one line break.
-units = re.compile(r" *[^ \n]+| +|\n").findall
-
-
 def _skipped(key: int, start: int, length: int, limit: int) -> bool:
     return ((((key ^ (start * 0x9E3779B1)) + length * 0x85EBCA6B) * 0xC2B2AE3D27D4EB4F) >> 29) & 0xFFFFFF < limit
 
@@ -121,18 +125,17 @@ def _segment_long(symbols: list[str], pieces: dict[str, tuple[float, int]], key:
     return [s for s in symbols if s]
 
 
-class Encoder(dict):
-    """Ids of each (variant, unit) as packed 16-bit numbers, remembered up to a bound."""
+class Encoder:
+    """Ids of texts. The ids of each (variant, unit) are packed as 16-bit numbers and remembered in two
+    generations of bounded size, so that frequent units stay."""
 
     def __init__(self, vocabulary: Vocabulary, dropout: float, seed: int):
-        super().__init__()
         self.vocabulary, self.seed = vocabulary, seed
         self.limit = int(dropout * (1 << 24))
+        self.new: dict[int, dict[str, bytes]] = {}
+        self.old: dict[int, dict[str, bytes]] = {}
 
-    def __missing__(self, asked: tuple[int, str]) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        variant, unit = asked
+    def _unit(self, unit: str, variant: int) -> bytes:
         symbols = [_SPACE if c == " " else "\0" + c if c == _SPACE else c for c in unit]  # a literal U+2581 must not become a space
         key = zlib.crc32(unit.encode("utf-8", "surrogatepass"), (self.seed * 1_000_003 + variant) & 0xFFFFFFFF) if self.limit else 0
         pieces, ids = self.vocabulary.pieces, []
@@ -141,14 +144,22 @@ class Encoder(dict):
                 ids.append(pieces[s][1])
             else:
                 ids += [self.vocabulary.bytes[b] for b in s[-1].encode("utf-8", "surrogatepass")]
-        value = self[asked] = np.array(ids, np.uint16).tobytes()
-        return value
+        return array("H", ids).tobytes()
 
     def encode(self, text: str, variant: int = 0) -> np.ndarray:
         """Ids of a text; the empty text has none."""
         if not text:
             return np.empty(0, np.uint16)
-        return np.frombuffer(b"".join([self[variant, u] for u in units(" " + text)]), np.uint16)
+        new, old = self.new.setdefault(variant, {}), self.old.get(variant, {})
+        out = []
+        for unit in self.vocabulary.unit.findall(" " + text):
+            ids = new.get(unit)
+            if ids is None:
+                ids = new[unit] = old.get(unit) or self._unit(unit, variant)
+            out.append(ids)
+        if len(new) > REMEMBERED:
+            self.old[variant] = self.new.pop(variant)
+        return np.frombuffer(b"".join(out), np.uint16)
 
 
 def encode_documents(docs: DataFrame, path: str = MODEL, dropout: float = 0.1, seed: int = 17, variants: int = 4) -> DataFrame:
@@ -165,14 +176,14 @@ def encode_documents(docs: DataFrame, path: str = MODEL, dropout: float = 0.1, s
         vocabulary = held.value
         encoder = Encoder(vocabulary, dropout, seed)
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                found, lossless, missing = [], [], []
-                for text, variant in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                    ids = encoder.encode(text or "", variant)
-                    found.append(ids)
-                    missing.append(text is None)
-                    lossless.append(vocabulary.decode(ids.tolist()) == (text or ""))
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                texts, drawn = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+                found = [None] * len(texts)
+                for i in sorted(range(len(texts)), key=drawn.__getitem__):  # one variant after the other
+                    found[i] = encoder.encode(texts[i] or "", drawn[i])
+                missing = [t is None for t in texts]
+                lossless = [vocabulary.decode(x.tolist()) == (t or "") for x, t in zip(found, texts, strict=True)]
                 sizes = np.array([len(x) for x in found], np.int32)
                 offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32(), mask=np.array([*missing, False])), pa.array(np.concatenate(found).astype(np.int32)))
