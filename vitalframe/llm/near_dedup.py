@@ -167,12 +167,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     linkable = open_members.join(lone, "rep", "left").withColumn("m", F.col("n") - F.coalesce("lone", F.lit(0))).filter("4 * m >= 3 * n").drop("lone")
     linkable = linkable.join(centres, "rep", "left").withColumn("overlap", F.coalesce("overlap", "n")).withColumn("centre", F.coalesce("centre", "rep"))
     left = materialize(_open(linkable))
-    right = left.select("key", *[F.col(c).alias(f"{c}2") for c in ("rep", "n", "m", "component", "centre", "overlap")])
-    # Two sets around one centre share at most what the smaller overlap holds of it and the smaller rest outside of it.
-    most = F.expr("case when centre = centre2 then least(overlap, overlap2) + least(m - overlap, m2 - overlap2) else least(m, m2) end")
-    across = left.join(right, "key").filter("component < component2").filter(7 * most >= 3 * (F.col("n") + F.col("n2")))
-    across = across.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
-    across = materialize(across.join(stars, ["a", "b"], "left_anti"))
+    # Sets around one centre meet once, by the centre, and share at most what the smaller overlap holds of it and the
+    # smaller rest outside of it. Others meet by each key that they share.
+    columns = ("rep", "n", "m", "component", "centre", "overlap")
+    again = lambda df, *keys: df.select(*keys, *[F.col(c).alias(f"{c}2") for c in columns if c not in keys])
+    ordered = F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")
+    apart = F.col("component") < F.col("component2")
+    enough = lambda most: F.expr(f"7 * ({most}) >= 3 * (n + n2)")
+    around = left.select(*columns).distinct()
+    inside = around.join(again(around, "centre"), "centre").filter(apart & enough("least(overlap, overlap2) + least(m - overlap, m2 - overlap2)")).select(*ordered)
+    between = left.join(again(left, "key"), "key").filter(apart & (F.col("centre") != F.col("centre2")) & enough("least(m, m2)")).select(*ordered).distinct()
+    across = materialize(inside.unionByName(between).join(stars, ["a", "b"], "left_anti"))
     signs = classes.select("rep", "sig")
     same = F.aggregate(F.zip_with("x", "y", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, v: s + v)
     close = (
