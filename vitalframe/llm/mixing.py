@@ -72,6 +72,19 @@ def schedule(sources: DataFrame, key: str, block_rows: int) -> DataFrame:
     )
 
 
+def _placed(docs: DataFrame, keep: list[str], weights: dict[str, float] | None, alpha: float, slots: int, block_rows: int, seed: str) -> DataFrame:
+    """(_row: struct of the `keep` columns) with the columns of the schedule."""
+    source = F.col("source")
+    key = F.when(source.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), source))
+    rows = docs.select(key.alias("_key"), F.struct(*keep).alias("_row"), F.col("doc_id").alias("_id"))
+    plan = schedule(source_slots(rows, "_key", weights, alpha, slots), "_key", block_rows)
+    ranked = seeded_rank(rows, "_key", "_id", seed, ["_id"]).withColumn("block", F.expr(f"rank div {block_rows}"))
+    return ranked.join(plan, ["_key", "block"]).select(
+        "_row", F.col("rank").alias("source_rank"), "block", "round", "release", "deadline", "slot",
+        (F.col("slot") * block_rows + F.col("rank") % block_rows).alias("mix_position"),
+    )
+
+
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.7, slots: int = 100, block_rows: int = 16,
         seed: str = "mix-1", keep: list[str] | None = None) -> DataFrame:
     """Order all rows of docs (doc_id, source) as one mixture of its sources.
@@ -82,22 +95,10 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float =
     rising along the mixture; a source's last block may be short). A null source is a source of its own;
     equal rows are all kept; null ids are shuffled as the text 'null'; an empty table gives no rows.
     """
-    keep = keep or ["doc_id", "source"]
-    rows = docs.withColumn("_key", F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source"))))
-    rows = rows.select("_key", F.struct(*keep).alias("_row"), F.col("doc_id").alias("_id"))
-    plan = schedule(source_slots(rows, "_key", weights, alpha, slots), "_key", block_rows)
-    ranked = seeded_rank(rows, "_key", "_id", seed, ["_id"]).withColumn("block", F.expr(f"rank div {block_rows}"))
-    return ranked.join(plan, ["_key", "block"]).select(
-        "_row.*", F.col("rank").alias("source_rank"), "block", "round", "release", "deadline", "slot",
-        (F.col("slot") * block_rows + F.col("rank") % block_rows).alias("mix_position"),
-    )
-
+    return _placed(docs, keep or ["doc_id", "source"], weights, alpha, slots, block_rows, seed).select("_row.*", "source_rank", "block", "round", "release", "deadline", "slot", "mix_position")
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs themselves, all columns as they were, range-partitioned and sorted by their place in the mixture.
 
-    Texts move once, in the final sort; the mixture is planned on ids and joined back, where equal ids get places one by one.
-    """
-    columns = docs.columns
-    placed = mix(docs, keep=columns, **options)
-    return placed.repartitionByRange("mix_position").sortWithinPartitions("mix_position").select(*columns)
+def mixed_documents(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.7, slots: int = 100, block_rows: int = 16, seed: str = "mix-1") -> DataFrame:
+    """The rows of docs themselves, all columns as they were, range-partitioned and sorted by their place in the mixture."""
+    placed = _placed(docs, docs.columns, weights, alpha, slots, block_rows, seed)
+    return placed.repartitionByRange("mix_position").sortWithinPartitions("mix_position").select("_row.*")
