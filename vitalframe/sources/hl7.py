@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitalframe.functions.exprs import blank, col
+from vitalframe.functions.exprs import blank, col, lookup
 
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
@@ -83,11 +83,10 @@ def escaped(text) -> Column:
 
 
 def unescaped(text) -> Column:
-    """The inverse; the backslash comes last, so nothing is decoded twice."""
-    out = col(text)
-    for mark, letter in (("|", "F"), ("^", "S"), ("~", "R"), ("&", "T"), ("\\", "E")):
-        out = F.replace(out, F.lit(f"\\{letter}\\"), F.lit(mark))
-    return out
+    """The inverse, read once from left to right, so that nothing is decoded twice."""
+    parts = F.regexp_extract_all(col(text), F.lit(r"\\[FSRTE]\\|[^\\]+|\\"), F.lit(0))
+    marks = {f"\\{k}\\": v for k, v in {"F": "|", "S": "^", "R": "~", "T": "&", "E": "\\"}.items()}
+    return F.array_join(F.transform(parts, lambda p: F.coalesce(lookup(p, marks), p)), "")
 
 
 def generated(found) -> Column:
