@@ -83,8 +83,9 @@ def age_std_rate(spark, d):
 
 @query("epi_2x2", """with c as (select c_nationkey, count(*) filter (where c_acctbal > 5000 and c_custkey % 2 = 0) tp, count(*) filter (where c_acctbal > 5000 and c_custkey % 2 = 1) fp,
  count(*) filter (where c_acctbal <= 5000 and c_custkey % 2 = 1) tn, count(*) filter (where c_acctbal <= 5000 and c_custkey % 2 = 0) fn from customer group by 1)
- select c_nationkey, round(tp / (tp + fn), 6) as sens, round(tn / (tn + fp), 6) as spec, round(tp / (tp + fp), 6) as ppv, round(tn / (tn + fn), 6) as npv,
- round((tp / (tp + fn)) / (fp / (tn + fp)), 5) as lrp, round((fn / (tp + fn)) / (tn / (tn + fp)), 5) as lrn from c""")
+, r as (select c_nationkey, tp / nullif(tp + fn, 0) as sens, tn / nullif(tn + fp, 0) as spec, tp / nullif(tp + fp, 0) as ppv, tn / nullif(tn + fn, 0) as npv from c)
+ select c_nationkey, round(sens, 6) as sens, round(spec, 6) as spec, round(ppv, 6) as ppv, round(npv, 6) as npv,
+ round(case when spec = 1 then 'inf'::double else sens / (1 - spec) end, 5) as lrp, round(case when spec = 0 then 'inf'::double else (1 - sens) / spec end, 5) as lrn from r""")
 def epi_2x2(spark, d):
     high, even = F.col("c_acctbal") > 5000, F.col("c_custkey") % 2 == 0
     n = lambda c: F.sum(c.cast("long"))
