@@ -1,6 +1,7 @@
 """Mixing and sharding: whole results, their laws, and odd rows."""
 
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 from vitalframe.llm import mixing, sharding
 from vitalframe.llm.common import table
@@ -33,6 +34,29 @@ def test_shares_stay_within_one_block_of_the_weights(spark):
         assert all(abs(seen[k] - w * t) < 1 for k, w in (("a", 0.5), ("b", 0.3), ("c", 0.2)))
 
 
+def test_shares_of_many_small_sources_are_exact():
+    sizes = {"big": 40000, **{f"t{i}": 300 + i for i in range(300)}}
+    sources = [(k, n, Fraction(n**0.7)) for k, n in sizes.items()]
+    total, seen = sum(w for _, _, w in sources), Counter()
+    weights = {k: w / total for k, _, w in sources}
+    plan = [r for batch in mixing.schedule(sources, 100, 10) for r in batch.to_pylist()]
+    assert [r["slot"] for r in plan] == list(range(sum(-(-n // 10) for n in sizes.values())))
+    assert all(r["release"] <= r["slot"] < r["deadline"] for r in plan)
+    ends = min(-(-n // 10) / weights[k] for k, n in sizes.items())  # where the first source runs out
+    for t, r in enumerate(plan[: int(ends)], 1):
+        seen[r["_key"]] += 1
+        if t % 97 == 0:
+            assert all(abs(seen[k] - w * t) < 1 for k, w in weights.items())
+    assert ends > 4000
+
+
+def test_sources_of_weight_zero_come_last(spark):
+    docs = spark.range(600).selectExpr("id as doc_id", "if(id % 3 = 0, 'a', if(id % 3 = 1, 'b', 'c')) as source")
+    rows = mixing.mix(docs, weights={"a": 1.0}, block_rows=10).select("slot", "source").distinct().collect()
+    order = [s for _, s in sorted((r.slot, r.source) for r in rows)]
+    assert order[:20] == ["a"] * 20 and all(Counter(order[20 : 20 + 2 * k]) == {"b": k, "c": k} for k in range(1, 21))
+
+
 def test_mixing_odd_rows(spark):
     assert mixing.mix(odd(spark)).count() == len(ODD)
     kept = mixing.mixed_documents(odd(spark))
