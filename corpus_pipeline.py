@@ -21,7 +21,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows with a language that makes up half of the text or more; learned from the rows whose fold is not held out."""
+    """Rows whose text one or several known languages explain; learned from the rows whose fold is not held out."""
     names, model = language_id.train(docs.filter(id_remainder(F.col("doc_id"), 4) != 2))
     return language_id.with_language(docs, names, model)
 

@@ -32,6 +32,23 @@ def test_mixture_of_two_languages(spark, data):
     assert {"en", "de"} <= {names[k] for k in chosen}
 
 
+def test_clean_texts_of_one_or_three_languages_stay(spark, data):
+    docs = table(spark, data, "documents")
+    names, model = language_id.train(docs)
+    rows = docs.filter("length(text) between 400 and 3000 and lang in ('en', 'de', 'fr')").orderBy("doc_id").collect()
+    texts = {r.lang: r.text[:400] for r in rows}
+    pieces = [w for r in rows[:40] for w in (r.text[:25], r.text[25:60])]
+    for text in pieces:
+        found = language_id.infer(text, model)
+        assert found is None or len(found[0]) > 1 or found[1].max() == 1.0 == found[1].sum()
+    three = " ".join(texts[k] for k in ("en", "de", "fr"))
+    chosen, share = language_id.infer(three, model)
+    assert len(chosen) == 3 and share.max() < 0.5
+    odd = [(1, "A.\nAll rights reserved."), (2, three), (3, "你好 世界 你好 世界"), (4, "zqxj kvvq wzzx qqjk xxvz"), (5, texts["en"][:60] + " 2353820953013749 4550997810720808 9dd3c80004c73dc9e548fee51b23b527780d4f20")]
+    kept = language_id.with_language(spark.createDataFrame(odd, "doc_id long, text string"), names, model)
+    assert {r.doc_id for r in kept.collect()} == {1, 2, 5}
+
+
 def test_language_odd_rows(spark, data):
     names, model = language_id.train(table(spark, data, "documents"))
     rows = language_id.identify(odd(spark), names, model).collect()

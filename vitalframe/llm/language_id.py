@@ -40,15 +40,39 @@ def proportions(p: np.ndarray, n: np.ndarray, rounds: int = 15) -> tuple[np.ndar
 
 
 def infer(text: str | None, model: np.ndarray) -> tuple[list[int], np.ndarray] | None:
-    """Chosen languages, largest share first, and the shares of all; None without a letter or a model."""
+    """Chosen languages, largest share first, and the shares of all (0 for those not chosen); None without a letter or a model."""
+    found = evidence(text, model)
+    return found and found[:2]
+
+
+def fits(text: str | None, model: np.ndarray) -> bool:
+    """Whether the chosen languages together explain the text, or enough of it that numbers, keys and the like may be the rest.
+
+    Their mixture, alone or with a part of equally frequent n-grams beside it, is held against equally
+    frequent n-grams only; with such a part by the same penalised likelihood that chooses languages.
+    """
+    found = evidence(text, model)
+    if found is None:
+        return False
+    ratio, n = found[2] * BUCKETS, found[3]
+    if n @ np.log(ratio) > 0:
+        return True
+    _, gain = proportions(np.column_stack([ratio, np.ones(len(ratio))]), n)
+    return bool(EVIDENCE * gain > PENALTY + 0.5 * np.log(n.sum()))
+
+
+def evidence(text: str | None, model: np.ndarray) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray] | None:
+    """As infer, with the probabilities of the text's n-grams under the chosen mixture, and their counts."""
     if not text or not model.shape[1] or not any(map(str.isalpha, text)):
         return None
     seen, n = ngram_counts(text)
     p = model[seen]
-    share, _ = proportions(p, n)
+    order, _ = proportions(p, n)
     chosen = [int(np.argmax(n @ np.log(p)))]
     _, best = proportions(p[:, chosen], n)
-    for k in np.argsort(-share, kind="stable"):
+    share = np.zeros(model.shape[1])
+    share[chosen] = 1.0
+    for k in np.argsort(-order, kind="stable"):
         if k in chosen:
             continue
         part, found = proportions(p[:, [*chosen, int(k)]], n)
@@ -57,7 +81,7 @@ def infer(text: str | None, model: np.ndarray) -> tuple[list[int], np.ndarray] |
         chosen, best = [*chosen, int(k)], found
         share = np.zeros(model.shape[1])
         share[chosen] = part
-    return sorted(chosen, key=lambda k: -share[k]), share
+    return sorted(chosen, key=lambda k: -share[k]), share, p @ share, n
 
 
 def train(rows: DataFrame) -> tuple[list[str], np.ndarray]:
@@ -116,18 +140,10 @@ def identify(docs: DataFrame, names: list[str], model: np.ndarray) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(predict, "doc_id long, lang_pred string, score double, languages array<struct<lang:string,share:double>>")
 
 
-def with_language(docs: DataFrame, names: list[str], model: np.ndarray, least: float = 0.5) -> DataFrame:
-    """The rows of docs whose text has a language that makes up at least that share of it, columns unchanged.
+def with_language(docs: DataFrame, names: list[str], model: np.ndarray) -> DataFrame:
+    """The rows of docs whose text known languages explain, one or several together, columns unchanged.
 
-    Texts without a letter, null ones included, have none and go.
+    Texts without a letter, null ones included, and texts that no known language fits go.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
-
-    def judge():
-        def passes(texts):
-            found = [infer(t, held.value) for t in texts]
-            return [bool(f) and float(f[1][f[0][0]]) >= least for f in found]
-
-        return passes
-
-    return keep_by_text(docs, judge)
+    return keep_by_text(docs, lambda: lambda texts: [fits(t, held.value) for t in texts])
