@@ -1,5 +1,7 @@
 """Language ID and toxicity: held-out accuracy and odd rows."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,6 +69,33 @@ def test_toxicity_of_held_out_texts(spark, data):
     assert len(rows) > 30 and sum(r.toxic == r.predicted for r in rows) / len(rows) > 0.9
 
 
+def test_terms_of_a_fixed_phrase_are_learned_and_words_of_copies_are_not(spark):
+    rng = random.Random(3)
+    plain = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in "lmnrt"]
+
+    def text(*more):
+        found = rng.choices(plain, k=40)
+        at = rng.randrange(40)
+        return " ".join([*found[:at], *more, *found[at:]])
+
+    copied = text("garden", "window").split()
+    rows = [(i, text("you", "utter", "nitwit"), 1) for i in range(60)]
+    rows += [(100 + i, " ".join([*copied[:i], f"edit{i}", *copied[i + 1 :]]), 1) for i in range(30)]
+    rows += [(200 + i, text("you", "utter") if i % 2 else text(), 0) for i in range(100)]
+    data = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    terms, weights = toxicity.train(data.select("doc_id", "text"), data.select("doc_id", "toxic"))
+    assert terms == ["nitwit"]
+    new = spark.createDataFrame([(1, text("you", "utter", "nitwit")), (2, text())], "doc_id long, text string")
+    assert {r.doc_id: r.predicted for r in toxicity.score(new, terms, weights).collect()} == {1: 1, 2: 0}
+
+
+def test_all_terms_over_the_thresholds_are_kept(spark):
+    bad = [f"bad{k}x" for k in range(1200)]
+    rows = [(i, " ".join(random.Random(i).sample(bad, 1200)), 1) for i in range(12)] + [(50 + i, f"good day {i}", 0) for i in range(12)]
+    data = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    assert len(toxicity.train(data.select("doc_id", "text"), data.select("doc_id", "toxic"))[0]) == 1200
+
+
 def test_automaton_finds_one_edit(spark):
     a = toxicity.Automaton(["villain", "fool"])
     assert a.match("villain") == (0, 0) and a.match("vilain") == (0, 1) and a.match("villlain") == (0, 1) and a.match("vollain") == (0, 1)

@@ -11,15 +11,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitalframe.llm.common import keep_by_text
-from vitalframe.llm.words import REMEMBERED
+from vitalframe.llm.common import keep_by_text, materialize
+from vitalframe.llm.near_dedup import K, signature
+from vitalframe.llm.words import REMEMBERED, WordHashes, shingles, words
 
-#: About as many labelled texts of each label are used; most terms kept; least documents of a term.
-SAMPLE_TEXTS, MAX_TERMS, LEAST_TEXTS = 5000, 1000, 5
-#: How many times likelier a term must be in toxic texts, and the least number of its contexts there, as a share of the toxic texts.
+#: About as many labelled texts of each label are used; least texts of a term.
+SAMPLE_TEXTS, LEAST_TEXTS = 5000, 5
+#: Texts that share this part of their signatures are copies; signatures are met by as many coordinates at a time.
+COPY, BAND = 0.6, 4
+#: How many times likelier a term must be in toxic texts, and the least number of texts with it there, as a share of the toxic texts.
 RATIO, LEAST_SHARE = 10.0, 0.005
 #: Terms of this length on may differ by one edit.
 FUZZY_LENGTH = 5
@@ -139,14 +143,51 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 50
     return w
 
 
+def copy_groups(signs: np.ndarray) -> list[int]:
+    """A group for each row of signatures: that of an earlier first member that it is a copy of, or a new one."""
+    leaders: dict[tuple[int, bytes], list[int]] = {}
+    firsts, groups = [], []
+    for i, sign in enumerate(signs):
+        keys = [(k, sign[k : k + BAND].tobytes()) for k in range(0, K, BAND)]
+        near = sorted({g for key in keys for g in leaders.get(key, ())})
+        same = (signs[[firsts[g] for g in near]] == sign).sum(axis=1) if near else np.empty(0)
+        if len(same) and same.max() >= COPY * K:
+            groups.append(near[int(same.argmax())])
+            continue
+        groups.append(len(firsts))
+        for key in keys:
+            leaders.setdefault(key, []).append(len(firsts))
+        firsts.append(i)
+    return groups
+
+
+def _shingle_key(text: str | None, hashes: WordHashes) -> tuple[np.ndarray, int]:
+    """The shingles of a text and a hash of their set."""
+    found = shingles(hashes.of(words(text)))
+    return found, int(np.uint64(xxhash.xxh3_64_intdigest(found.tobytes())).astype(np.int64))
+
+
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hashes = WordHashes()
+    for batch in batches:
+        rows = []
+        for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            found, key = _shingle_key(text, hashes)
+            if len(found):
+                rows.append((key, toxic, signature(found).tobytes()))
+        columns = list(zip(*rows, strict=True)) or [(), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.binary())], names=["key", "toxic", "sign"])
+
+
 def train(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray]:
     """Lexicon and logistic weights from docs (doc_id, text) and labels (doc_id, toxic 0/1).
 
     Fitted on a bounded sample: about SAMPLE_TEXTS labelled ids of either label, picked by a hash of
-    doc_id. Only these ids are broadcast and only terms over the thresholds (MAX_TERMS at most) and
-    five numbers a sampled text reach the driver. A text counts a word once, by the word before its last
-    place, and of texts with the same word before it one counts: copies of one toxic text do not make
-    terms of all its words. Without texts of both labels: no terms and a score of
+    doc_id. Only these ids are broadcast; only one signature a sampled text, the terms over the thresholds
+    (a share of the toxic texts each, so they are bounded) and five numbers a sampled text reach the driver.
+    A term's texts are counted with copies as one: of texts of a label with near-equal sets of shingles one
+    counts for a word, so that copies of one toxic text do not make terms of all its words, while texts
+    of their own that share a phrase all count. Without texts of both labels: no terms and a score of
     the share of toxic labels.
     """
     labels = labels.filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -155,24 +196,33 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray]:
         return [], np.array([0.0, 0.0, 0.0, 0.0, 4.0 if 1 in sizes else -4.0])
     rate = F.when(F.col("toxic") == 1, min(1.0, SAMPLE_TEXTS / sizes[1])).otherwise(min(1.0, SAMPLE_TEXTS / sizes[0]))
     picked = labels.filter(F.xxhash64(F.col("doc_id"), F.lit("toxic")).bitwiseAND(F.lit((1 << 30) - 1)) < rate * float(1 << 30))
-    sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "toxic")
+    sample = materialize(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic")))
+    signed = sample.mapInArrow(_signed, "key long, toxic int, sign binary").groupBy("key", "toxic").agg(F.min("sign").alias("sign"))
+    group: dict[tuple[int, int], int] = {}
+    texts = {}
+    rows = sorted(signed.collect())
+    for label in (0, 1):
+        part = [r for r in rows if r["toxic"] == label]
+        found = copy_groups(np.array([np.frombuffer(r["sign"], np.uint64) for r in part]).reshape(-1, K))
+        group |= {(label, r["key"]): g for r, g in zip(part, found, strict=True)}
+        texts[label] = len(set(found))
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
         for batch in batches:
             rows = []
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = [w.strip(_EDGES) for w in tokens(text)]
-                rows += [(word, before, toxic) for word, before in dict(zip(found, ["", *found], strict=False)).items() if word]
+                one = group.get((toxic, _shingle_key(text, hashes)[1]))
+                rows += [(word, one, toxic) for word in {w.strip(_EDGES) for w in tokens(text)} if word]
             columns = list(zip(*rows, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int32())], names=["word", "before", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32())], names=["word", "copies", "toxic"])
 
-    toxic, clean = (min(sizes[k], SAMPLE_TEXTS) for k in (1, 0))
-    ratio = ((F.col("t") + 0.5) / (toxic + 1)) / ((F.col("c") + 0.5) / (clean + 1))
+    ratio = ((F.col("t") + 0.5) / (texts[1] + 1)) / ((F.col("c") + 0.5) / (texts[0] + 1))
     found = (
-        sample.mapInArrow(occurrences, "word string, before string, toxic int").distinct()
+        sample.mapInArrow(occurrences, "word string, copies long, toxic int").distinct()
         .groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
-        .filter((F.col("t") >= max(LEAST_TEXTS, LEAST_SHARE * toxic)) & (ratio >= RATIO))
-        .orderBy(ratio.desc(), "word").limit(MAX_TERMS).select("word").collect()
+        .filter((F.col("t") >= max(LEAST_TEXTS, LEAST_SHARE * texts[1])) & (ratio >= RATIO))
+        .select("word").collect()
     )
     terms = sorted(r["word"] for r in found)
     automaton = Automaton(terms)
