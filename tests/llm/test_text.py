@@ -51,6 +51,17 @@ def test_clean_texts_of_one_or_three_languages_stay(spark, data):
     assert {r.doc_id for r in kept.collect()} == {1, 2, 5}
 
 
+def test_any_number_of_languages(spark):
+    rng = random.Random(5)
+    spoken = {f"l{k:03d}": ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(30)] for k in range(150)}
+    rows = [(i, " ".join(rng.choices(spoken[k], k=60)), k) for k in spoken for i in range(3)]
+    names, model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert names == sorted(spoken)
+    new = [(i, " ".join(rng.choices(spoken[k], k=40))) for i, k in enumerate(names)]
+    found = language_id.identify(spark.createDataFrame(new, "doc_id long, text string"), names, model).collect()
+    assert {r.doc_id: r.lang_pred for r in found} == dict(enumerate(names))
+
+
 def test_language_odd_rows(spark, data):
     names, model = language_id.train(table(spark, data, "documents"))
     rows = language_id.identify(odd(spark), names, model).collect()
