@@ -2,11 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
-#: Words remembered by one task before its table of hashes starts anew.
-REMEMBERED = 400_000
+#: Words remembered by one task before its table of hashes starts anew, bytes of the longest remembered one, and bytes of text taken together.
+REMEMBERED, LONGEST, SLICE_BYTES = 200_000, 64, 1 << 20
+
+
+def slices(batches: Iterator[pa.RecordBatch], most: int = SLICE_BYTES, column: int = 1) -> Iterator[pa.RecordBatch]:
+    """The batches, cut between rows so that the texts (or binaries) of a slice make up about `most` bytes; a longer one stands alone."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ends = np.cumsum(pc.fill_null(pc.cast(pc.binary_length(batch.column(column)), pa.int64()), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < len(ends):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+            yield batch.slice(at, to - at)
+            at = to
 
 
 def words(text: str | None) -> list[bytes]:
@@ -18,9 +35,11 @@ class WordHashes(dict):
     """64-bit hash of each word, remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = value
         return value
 
     def of(self, found: list[bytes]) -> np.ndarray:
