@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Bytes of an Arrow batch that is sent to a Python task; a longer row stands alone.
+BATCH_BYTES = 4 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder, read by Spark so that any file system works."""
@@ -40,6 +43,14 @@ def materialize(df: DataFrame, partition_by: list[str] | None = None) -> DataFra
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """df, after the session's Arrow batches for Python tasks are bounded by bytes (BATCH_BYTES), so that long texts do not meet in one."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(conf.get(name).rstrip("bB")) > BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return df
+
+
 def text_crc32(col) -> F.col:
     """Unsigned CRC-32 of the UTF-8 bytes; null stays null."""
     return F.crc32(F.encode(col, "UTF-8"))
@@ -81,4 +92,4 @@ def keep_by_text(docs: DataFrame, judge) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(passes(batch.column(at).to_pylist()), pa.bool_()))
 
-    return docs.mapInArrow(kept, docs.schema)
+    return bounded(docs).mapInArrow(kept, docs.schema)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitalframe.llm.common import keep_by_text
+from vitalframe.llm.common import bounded, keep_by_text
 
 #: N-grams of three bytes go to this many buckets.
 BUCKETS = 1 << 15
@@ -170,7 +170,7 @@ def identify(docs: DataFrame, names: list[str], model: Model) -> DataFrame:
                 [batch.column(0), pa.array(best, pa.string()), pa.array(score, pa.float64()), pa.array(languages, kind)], names=["doc_id", "lang_pred", "score", "languages"]
             )
 
-    return docs.select("doc_id", "text").mapInArrow(predict, "doc_id long, lang_pred string, score double, languages array<struct<lang:string,share:double>>")
+    return bounded(docs.select("doc_id", "text")).mapInArrow(predict, "doc_id long, lang_pred string, score double, languages array<struct<lang:string,share:double>>")
 
 
 def with_language(docs: DataFrame, names: list[str], model: Model) -> DataFrame:

@@ -28,9 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vitalframe.llm.common import materialize
+from vitalframe.llm.common import bounded, materialize
 from vitalframe.llm.components import connected
-from vitalframe.llm.words import WordHashes, shingles, words
+from vitalframe.llm.words import WordHashes, shingles, slices, words
 
 #: Coordinates of a signature, and how many a candidate pair must share.
 K, T = 64, 28
@@ -52,7 +52,7 @@ def signature(found: np.ndarray) -> np.ndarray:
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
-    for batch in batches:
+    for batch in slices(batches):
         sizes, high, low, signs = [], [], [], []
         for ident, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             found = shingles(hashes.of(words(text)))
@@ -76,14 +76,14 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
-    for batch in batches:
+    for batch in slices(batches):
         found = [shingles(hashes.of(words(t))).tobytes() for t in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["id", "members"])
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
-    for batch in batches:
+    for batch in slices(batches):
         found = [shingles(hashes.of(words(t))) for t in batch.column(1).to_pylist()]
         owner = np.repeat(np.array(batch.column(0).to_pylist(), np.int64), [len(x) for x in found])
         yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(np.concatenate(found).view(np.int64))], names=["rep", "s"])
@@ -138,7 +138,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     without words, has an empty set and is linked with nothing. A null doc_id is linked with nothing,
     has a null component_id and is kept. Rows that share a doc_id count as one document. An empty table gives no rows.
     """
-    docs = docs.select("doc_id", "text")
+    docs = bounded(docs.select("doc_id", "text"))
     signed = materialize(docs.mapInArrow(_signed, "doc_id long, n_shingles long, c1 long, c2 long, sig array<long>"))
     classes = materialize(
         signed.filter("c1 is not null").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vitalframe.llm.common import bounded
 from vitalframe.llm.words import mixed, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -337,7 +338,7 @@ def encode_documents(docs: DataFrame, path: str = MODEL, dropout: float = 0.1, s
     texts are taken together up to SLICE_BYTES. All rows are kept; nothing is shuffled. An empty table gives no rows.
     """
     held = docs.sparkSession.sparkContext.broadcast(Vocabulary(path))
-    salted = docs.select("doc_id", "text", F.xxhash64(F.lit(seed), F.col("doc_id")).alias("salt"))
+    salted = bounded(docs).select("doc_id", "text", F.xxhash64(F.lit(seed), F.col("doc_id")).alias("salt"))
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = held.value

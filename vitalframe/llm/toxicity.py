@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitalframe.llm.common import keep_by_text, materialize
+from vitalframe.llm.common import bounded, keep_by_text, materialize
 from vitalframe.llm.near_dedup import K, signature
 from vitalframe.llm.words import REMEMBERED, WordHashes, shingles, words
 
@@ -271,4 +271,4 @@ def score(docs: DataFrame, terms: list[str], weights: np.ndarray) -> DataFrame:
                 [batch.column(0), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array(hits)], names=["doc_id", "score", "predicted", "hits"]
             )
 
-    return docs.select("doc_id", "text").mapInArrow(scored, "doc_id long, score double, predicted int, hits long")
+    return bounded(docs.select("doc_id", "text")).mapInArrow(scored, "doc_id long, score double, predicted int, hits long")
