@@ -3,6 +3,8 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+
 from vitalframe.llm import lm
 from vitalframe.llm.common import table
 
@@ -49,12 +51,17 @@ def test_against_brute_force(spark, sf_dir):
 
 
 def test_odd_rows(spark):
-    rows = [(None, "a b"), (1, None), (2, ""), (3, "A\tb\x0bc a b"), (3, "A\tb\x0bc a b"), (4, "x y " * 3000), (5, "É  x"), (6, "a b c"), (7, "q")]
+    rows = [(None, "a b"), (1, None), (2, ""), (3, "A\tb\x0bc a b"), (3, "A\tb\x0bc a b"), (4, "x y " * 3000), (5, "É  x"), (6, "a b c"), (7, "q"), (9007199254740993, "a b"), (-9007199254740995, "q a")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "text as block", "1 as training")
     assert got(lm.score(docs, block_docs=2)) == brute(rows)
     assert lm.score(docs.limit(0)).count() == 0
 
 
+def test_counts_of_any_size_are_packed():
+    numbers = np.array([0, 254, 255, 256, 1 << 31, (1 << 32) - 1, 1 << 32, 3 << 40, 7], np.uint64)
+    assert lm._unpack(lm._pack(numbers), len(numbers)).tolist() == numbers.tolist()
+
+
 def test_held_out_texts_score_better_than_the_base(spark, sf_dir):
     r = lm.score(table(spark, sf_dir.replace("0.001", "0.01"), "documents")).filter("held_out").selectExpr("sum(score) s", "sum(base_score) b").first()
     assert r.s > r.b

@@ -32,16 +32,21 @@ BLOCK_DOCS, BLOCKS_PER_PART, DISCOUNT, ADD = 2048, 4, 0.75, 0.1
 SAMPLE_DOCS, HOT_SHARE, SPREAD, MOST_HOT = 2000, 0.001, 16, 512
 END, START = np.uint64(1), np.uint64(2)
 _WORD, _PAIR = 0, 1
+_FULL = np.uint64(0xFFFFFFFF)
 
 
 def _pack(numbers: np.ndarray) -> bytes:
-    """Small counts, mostly below 255, as a byte each; the others follow as four bytes, in order."""
-    return np.minimum(numbers, 255).astype(np.uint8).tobytes() + numbers[numbers >= 255].astype(np.uint32).tobytes()
+    """Small counts, mostly below 255, as a byte each; then the others as four bytes, and those that do not fit there as eight."""
+    large = numbers[numbers >= 255].astype(np.uint64)
+    return np.minimum(numbers, 255).astype(np.uint8).tobytes() + np.minimum(large, _FULL).astype(np.uint32).tobytes() + large[large >= _FULL].tobytes()
 
 
 def _unpack(data: bytes, n: int) -> np.ndarray:
-    numbers = np.frombuffer(data, np.uint8, n).astype(np.uint32)
-    numbers[numbers == 255] = np.frombuffer(data[n:], np.uint32)
+    numbers = np.frombuffer(data, np.uint8, n).astype(np.uint64)
+    many = int((numbers == 255).sum())
+    large = np.frombuffer(data, np.uint32, many, n).astype(np.uint64)
+    large[large == _FULL] = np.frombuffer(data, np.uint64, offset=n + 4 * many) if len(data) > n + 4 * many else 0
+    numbers[numbers == 255] = large
     return numbers
 
 
@@ -100,7 +105,8 @@ def _ask(block: int, b: Block, parts: int) -> pd.DataFrame:
         mine = b.word_order[s]
         rows.append((_WORD, p, block, b.words[mine].tobytes(), b"", b"", _pack(b.word_counts[mine])))
     for p, (s, h, sizes) in enumerate(b.pair_slices(parts)):
-        rows.append((_PAIR, p, block, h.tobytes(), _pack(sizes), b.all_pairs[s].tobytes(), _pack(b.all_counts[s])))
+        if len(h):  # every part of the words is asked, as it tells its share of N and V
+            rows.append((_PAIR, p, block, h.tobytes(), _pack(sizes), b.all_pairs[s].tobytes(), _pack(b.all_counts[s])))
     return pd.DataFrame(rows, columns=["kind", "part", "block", "keys", "sizes", "pairs", "counts"])
 
 
@@ -115,13 +121,19 @@ def _numbers(column: pd.Series, hashes: pd.Series) -> np.ndarray:
     return np.concatenate([_unpack(x, len(y) // 8) for x, y in zip(column, hashes, strict=True)])
 
 
+def _added(at: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
+    total = np.zeros(n, np.uint64)
+    np.add.at(total, at, counts)
+    return total
+
+
 def _totals(asked: pd.DataFrame) -> pd.DataFrame:
     """Add up one part over all blocks that asked; answers keep each block's order."""
     keys, key_cuts = _joined(asked["keys"])
     if asked["kind"].iloc[0] == _WORD:
         distinct, at = np.unique(keys, return_inverse=True)
         counts = _numbers(asked["counts"], asked["keys"])
-        total = np.bincount(at, counts, len(distinct)).astype(np.uint32)
+        total = _added(at, counts, len(distinct))
         counted = total[distinct != START]
         extra = np.array([counted.sum(dtype=np.int64), (counted > 0).sum()], np.int64).tobytes()
         answers = [(_pack(x), extra) for x in np.split(total[at], key_cuts)]
@@ -131,8 +143,8 @@ def _totals(asked: pd.DataFrame) -> pd.DataFrame:
         distinct_h, h_at = np.unique(keys, return_inverse=True)
         # The bigram hash covers its first word, so equal hashes have one h; the placeholder 0 counts nothing.
         distinct, first, at = np.unique(pairs, return_index=True, return_inverse=True)
-        total = np.bincount(at, counts, len(distinct)).astype(np.uint32)
-        h_of_pair = np.repeat(h_at, sizes)[first]
+        total = _added(at, counts, len(distinct))
+        h_of_pair = np.repeat(h_at, sizes.astype(np.int64))[first]
         types = np.bincount(h_of_pair[total > 0], minlength=len(distinct_h)).astype(np.uint32)
         answers = [(_pack(x), _pack(t)) for x, t in zip(np.split(total[at], count_cuts), np.split(types[h_at], key_cuts), strict=True)]
     return pd.DataFrame({"kind": asked["kind"], "part": asked["part"], "block": asked["block"], "totals": [a for a, _ in answers], "extra": [e for _, e in answers]})
@@ -201,7 +213,7 @@ def score(docs: DataFrame, modulus: int = 10, held: int = 0, block_docs: int = B
     """Per row of docs (doc_id long, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     The model learns from all rows whose crc32(doc_id as text) mod modulus is not `held`. Tokens are the
-    words [^\\x20\\x09-\\x0D]+ with A-Z lower-cased, then one end. A null text counts as empty; a null doc_id is not learned from
+    words [^\\x20\\x09-\\x0D]+ with A-Z lower-cased, then one end. A null text counts as empty; ids are kept exactly; a null doc_id is not learned from
     and not held out; repeated rows are scored, and learned from, each time. Without training texts every
     count is 0. Scores are base-10 logs. An empty table gives no rows.
     """
@@ -211,7 +223,7 @@ def score(docs: DataFrame, modulus: int = 10, held: int = 0, block_docs: int = B
     parts = max(1, math.ceil(blocks / BLOCKS_PER_PART))
     hot = frequent_words(rows)
     dealt = rows.select(
-        F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"), "doc_id", "text",
+        F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"), F.col("doc_id").cast("string").alias("doc_id"), "text",
         F.coalesce(remainder == held, F.lit(False)).alias("held_out"), F.coalesce(remainder != held, F.lit(False)).alias("training"),
     )
 
@@ -223,6 +235,8 @@ def score(docs: DataFrame, modulus: int = 10, held: int = 0, block_docs: int = B
 
     asked = dealt.groupBy("block").applyInPandas(ask, "kind int, part int, block int, keys binary, sizes binary, pairs binary, counts binary")
     told = asked.groupBy("kind", "part").applyInPandas(_totals, "kind int, part int, block int, totals binary, extra binary")
-    return dealt.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(
-        answer, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    # Ids travel as text: pandas would make floating-point numbers of longs beside a null.
+    scored = dealt.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(
+        answer, "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
+    return scored.withColumn("doc_id", F.col("doc_id").cast("long"))
