@@ -74,5 +74,9 @@ def test_urls(spark, sf_dir):
     rules = spark.createDataFrame(queries.URL_RULES, "host string, path string, verdict string")
     found = url_filters.judge_urls(frame, rules).collect()
     assert sorted(map(str, [tuple(r) for r in found])) == sorted(map(str, [(i, *fits(u, queries.URL_RULES)) for i, u in rows]))
+    bare = [("example.com", "", "block"), ("x.org", "/", "block"), ("org/x", "", "block"), ("org", "", "allow")]
+    ends = [(1, "http://examplefoo.com/"), (2, "http://example.com"), (3, "http://a.example.com?q"), (4, "http://example.com.org/"), (5, "http://x.org/a"), (6, "http://xx.org/a")]
+    judged = url_filters.judge_urls(spark.createDataFrame(ends, "page_id long, url string"), spark.createDataFrame(bare, rules.schema), ranges=3)
+    assert {r.page_id: r.rule for r in judged.collect()} == {1: None, 2: "example.com", 3: "example.com", 4: "org", 5: "x.org/", 6: "org"}
     assert {r.verdict for r in url_filters.judge_urls(frame, rules.limit(0)).collect()} == {"allow"}
     assert url_filters.judge_urls(frame.limit(0), rules).count() == 0

@@ -1,8 +1,8 @@
 """URL filters by a sort-merge range join of reversed-host keys.
 
-A rule (host, path) becomes the key `com.example/en/`; it covers the interval of all keys that begin
-with it. A URL becomes one key for each suffix of its host (`com/en/1`, `com.example/en/1`, ...), as a
-rule covers all subdomains. Keys and rules are cut into the same ranges, sorted, and swept once with a
+A rule (host, path) becomes the key `com.example//en/`: the first slash ends the host, so that a rule covers whole labels
+only. It covers the interval of all keys that begin with it. A URL becomes one key for each suffix of its host
+(`com//en/1`, `com.example//en/1`, ...), as a rule covers all subdomains. Keys and rules are cut into the same ranges, sorted, and swept once with a
 stack of the rules that are still open; the top of the stack is the longest rule on that host suffix.
 """
 
@@ -14,11 +14,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Keys of the bounded sample from which range borders are taken, and the most ranges.
-SAMPLE_KEYS, MAX_RANGES = 20_000, 512
+#: Keys of the bounded sample from which range borders are taken, keys of a range, and the most ranges.
+SAMPLE_KEYS, RANGE_KEYS, MAX_RANGES = 20_000, 100_000, 512
 
 _SUFFIX_KEYS = """
-transform(sequence(1, size(labels)), k -> concat(array_join(slice(labels, 1, k), '.'), path))
+transform(sequence(1, size(labels)), k -> concat(array_join(slice(labels, 1, k), '.'), '/', path))
 """
 
 
@@ -60,12 +60,12 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", range
     rules: host, path, verdict. A rule fits its host and all subdomains if the url's path starts with
     its path; of several, the one with the longest text `host + path` wins, then the longest host, then
     the smaller verdict text. Returns page_id, host, path, rule (null if none fits), verdict (default
-    if none fits). Null or odd urls have empty host and path and fit no rule; rules with null or empty
-    host, null path or null verdict are ignored; equal urls and equal page_ids are all kept; an empty
+    if none fits). Null or odd urls have empty host and path and fit no rule; an empty rule path fits all paths;
+    rules with a host that is null, empty or holds one of /?#, null path or null verdict are ignored; equal urls and equal page_ids are all kept; an empty
     table gives no rows, an empty rule table gives the default everywhere.
 
     Only distinct (host, path) pairs are swept, so a url that fills a third of the table is one point.
-    Range borders come from a bounded sample of the points; a rule is copied to each range that its
+    There are `ranges` ranges, or more for more than RANGE_KEYS keys each. Their borders come from a bounded sample of the points; a rule is copied to each range that its
     interval meets, which adds no more than the open stack at each border.
     """
     spark = pages.sparkSession
@@ -80,14 +80,14 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", range
     n = max(1, keys.count())
     seen = [r[0] for r in keys.filter(F.xxhash64("key").bitwiseAND(F.lit((1 << 30) - 1)) < int((1 << 30) * min(1.0, SAMPLE_KEYS / n))).toLocalIterator()]
     seen.sort()
-    count = min(MAX_RANGES, ranges, max(1, len(seen)))
+    count = min(MAX_RANGES, max(ranges, n // RANGE_KEYS), max(1, len(seen)))
     borders = sorted({seen[len(seen) * i // count] for i in range(1, count)})
     border_array = F.array(*[F.lit(b) for b in borders]) if borders else F.expr("cast(array() as array<string>)")
     part = lambda k: F.size(F.filter(border_array, lambda b: b <= k))
     lowered = F.translate("host", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     ruled = (
-        rules.filter("host is not null and host <> '' and path is not null and verdict is not null")
-        .select(F.concat(F.array_join(F.reverse(F.split(lowered, r"\.", -1)), "."), "path").alias("key"), F.concat("host", "path").alias("rule"), "verdict")
+        rules.filter("host rlike '^[^/?#]+$' and path is not null and verdict is not null")
+        .select(F.concat(F.array_join(F.reverse(F.split(lowered, r"\.", -1)), "."), F.lit("/"), "path").alias("key"), F.concat("host", "path").alias("rule"), "verdict")
         .groupBy("key").agg(F.min(F.struct("verdict", "rule")).alias("x")).select("key", "x.rule", "x.verdict")
     )
     spread = ruled.withColumn("part", F.explode(F.sequence(part(F.col("key")), part(F.concat("key", F.lit("\U0010ffff"))))))
