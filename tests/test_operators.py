@@ -176,7 +176,19 @@ def test_formats(spark, tmp_path):
     r = genomics.fastq_stats(genomics.fastq_records(spark.createDataFrame([("@read1 desc\nATCG\n+\nIIII\n@read2\nGCTA\n+\nHHHH\n",)], "value string"))).first()
     assert tuple(r) == (2, 8, 4, 39.5)
     assert one(spark, *[genomics.phred(F.lit(c)) for c in "!I~A"]) == (0, 40, 93, 32)
-    (tmp_path / "r.fastq").write_text("@a\nAC\n+\n@I\n@b x\nGT\n+\nII\n")
+    (tmp_path / "r.fastq").write_text("@a\nAC\n+\n@I\n@b x\nGT\n+\nII\n\n")
+    (tmp_path / "s.fastq").write_text("".join(f"@{k}\nACGT\n+\n@@+I\n" for k in range(500)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700b")
+    reads = genomics.read_fastq(spark, str(tmp_path / "*.fastq")).collect()
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert {tuple(r) for r in reads if r.sequence != "ACGT"} == {("a", None, "AC", "@I"), ("b", "x", "GT", "II")}
+    assert sorted(int(r.id) for r in reads if r.quality == "@@+I") == list(range(500)) and len(reads) == 502
+    units = spark.createDataFrame([(u,) for u in (" Beats-Per-Minute", "mm Hg", "deg C", "/min", "Cel")], "unit string").select(sanitize.unit_alias("unit").alias("u"))
+    assert [r.u for r in units.collect()] == ["bpm", "mmhg", "c", "/min", "cel"]
+    line = "1\t12345\t.\tA\tT\t.\tPASS\tDB;DP=10\tGT:DP\t0|1:9\t1|1"
+    plain = "1\t7\t.\tA\tT\t.\tPASS\t."
+    both = genomics.vcf_records(spark.createDataFrame([(line,), (plain,)], "value string")).select(genomics.vcf_line().alias("v")).collect()
+    assert [r.v for r in both] == [line, plain]
     vcf = genomics.vcf_records(spark.createDataFrame([("##x",), ("1\t12345\t.\tA\tT\t.\tPASS\tDP=10;DB\tGT:DP\t0|1:9",)], "value string")).first()
     assert (vcf.pos, vcf.qual, vcf.info, vcf.samples) == (12345, None, {"DP": "10", "DB": "true"}, [{"GT": "0|1", "DP": "9"}])
     assert one(spark, ndjson.from_json(F.lit('{"id":"o"}'), "Observation"), ndjson.from_json(F.lit("x"), "Patient")) == (None, None)

@@ -9,9 +9,9 @@ from vitalframe.functions.exprs import ascii_lower, ascii_upper, lookup, norm_da
 
 #: Spellings of a unit, lower-cased -> unit.
 UNIT_ALIASES = {
-    "bpm": "bpm", "beats/min": "bpm", "beats per minute": "bpm", "beat/min": "bpm", "/min": "bpm",
-    "mmhg": "mmhg", "mm[hg]": "mmhg",
-    "c": "c", "°c": "c", "celsius": "c", "degc": "c", "cel": "c",
+    "bpm": "bpm", "beat/min": "bpm", "beats/min": "bpm", "beats per minute": "bpm", "beats-per-minute": "bpm",
+    "mmhg": "mmhg", "mm hg": "mmhg",
+    "c": "c", "celsius": "c", "°c": "c", "degc": "c", "deg c": "c",
 }
 
 

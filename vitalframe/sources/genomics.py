@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from vitalframe.functions.exprs import col
 
@@ -33,10 +34,13 @@ def vcf_records(lines: DataFrame, value: str = "value") -> DataFrame:
 
 
 def vcf_line() -> Column:
-    """A record's text; info in the order of its keys."""
+    """A record's text; info in the order of its keys, each sample in the order of format; a null format leaves both out."""
     dot = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("."))
     pairs = F.transform(F.array_sort(F.map_entries("info")), lambda e: F.when(e["value"] == "true", e["key"]).otherwise(F.concat(e["key"], F.lit("="), e["value"])))
-    return F.concat_ws("\t", "chrom", F.col("pos").cast("string"), dot("id"), "ref", "alt", dot("qual"), dot("filter"), F.when(F.size(pairs) > 0, F.array_join(pairs, ";")).otherwise("."))
+    first = F.concat_ws("\t", "chrom", F.col("pos").cast("string"), dot("id"), "ref", "alt", dot("qual"), dot("filter"), F.when(F.size(pairs) > 0, F.array_join(pairs, ";")).otherwise("."))
+    keys = F.split("format", ":")
+    sample = lambda m: F.array_join(F.transform(F.filter(keys, lambda k: F.map_contains_key(m, k)), lambda k: m[k]), ":")
+    return F.concat_ws("\t", first, "format", F.when(F.col("format").isNotNull(), F.transform("samples", sample)))
 
 
 def vcf_stats(records: DataFrame) -> DataFrame:
@@ -61,7 +65,11 @@ def fastq_records(files: DataFrame, text: str = "value") -> DataFrame:
     four = F.transform(F.sequence(F.lit(0), (F.size("_l") / 4).cast("int") - 1), lambda i: F.slice("_l", i * 4 + 1, 4))
     rows = files.select(lines.alias("_l")).filter(~((F.size("_l") == 1) & (F.col("_l")[0] == "")))
     rows = rows.withColumn("_l", F.when(F.size("_l") % 4 != 0, F.raise_error(F.lit("FASTQ lines are not a multiple of four")).cast("array<string>")).otherwise(F.col("_l")))
-    r = rows.select(F.explode(four).alias("r"))
+    return _fastq_columns(rows.select(F.explode(four).alias("r")))
+
+
+def _fastq_columns(r: DataFrame) -> DataFrame:
+    """The columns of records given as arrays r of four lines."""
     good = F.col("r")[0].startswith("@") & F.col("r")[2].startswith("+") & (F.length(F.col("r")[1]) == F.length(F.col("r")[3]))
     name = F.split(F.substring(F.col("r")[0], 2, 1 << 30), " ", 2)
     checked = r.withColumn("r", F.when(good, F.col("r")).otherwise(F.raise_error(F.lit("not a FASTQ record")).cast("array<string>")))
@@ -69,8 +77,20 @@ def fastq_records(files: DataFrame, text: str = "value") -> DataFrame:
 
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """Records of text files, each split where a line that begins with @ follows a record, so that a large file is many rows."""
-    return fastq_records(spark.read.option("lineSep", "\n@").text(path).select(F.when(F.col("value").startswith("@"), F.col("value")).otherwise(F.concat(F.lit("@"), "value")).alias("value")))
+    """Records of text files: every four lines of a file are one, so a quality line may begin with @. Empty lines at a file's end are left out.
+
+    Lines get their numbers from counts per block of a file, and the four of a record meet by file and number; no file is held whole.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+    blocks = lines.groupBy("file", "start").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"), F.max(F.when(F.col("value") != "", F.col("at"))).alias("last"))
+    before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    shift = F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")
+    placed = blocks.select("file", "start", "last", shift.alias("shift")).withColumn("end", F.max(F.col("last") + F.col("shift")).over(Window.partitionBy("file")))
+    numbered = lines.join(placed, ["file", "start"]).withColumn("line", F.col("at") + F.col("shift")).filter(F.floor(F.col("line") / 4) <= F.floor(F.col("end") / 4))
+    part = lambda k: F.max(F.when(F.col("line") % 4 == k, F.col("value")))
+    records = numbered.groupBy("file", F.floor(F.col("line") / 4).alias("record")).agg(F.array(*[part(k) for k in range(4)]).alias("r"))
+    whole = F.when(F.exists("r", lambda x: x.isNull()), F.raise_error(F.lit("FASTQ lines are not a multiple of four")).cast("array<string>")).otherwise(F.col("r"))
+    return _fastq_columns(records.select(whole.alias("r")))
 
 
 def fastq_text() -> Column:
