@@ -53,6 +53,6 @@ def stratified_shards(docs: DataFrame, shards: int = 8, seed: str = "shard-7", s
     shard = F.when(F.col("_pos") < first, F.floor(F.col("_pos") / (base + 1))).otherwise(extra + F.floor(late / F.greatest(base, F.lit(1))))
     slot = F.when(F.col("_pos") < first, F.col("_pos") % (base + 1)).otherwise(late % F.greatest(base, F.lit(1)))
     return lined.select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "source",
-        shard.cast("int").alias("shard"), slot.cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"),
+        shard.cast("int").alias("shard"), slot.cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "source",
     )
