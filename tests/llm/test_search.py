@@ -7,7 +7,7 @@ import numpy as np
 from vitalframe.llm import ann, queries, topk, url_filters
 from vitalframe.llm.common import table
 
-ODD = [(0, [1.0, 0.0]), (50, [1.0, 0.0]), (50, [1.0, 0.0]), (1, [0.9, 0.1]), (2, [0.0, 0.0]), (3, None), (4, [None, 1.0]), (5, [math.nan, 1.0]), (6, [math.inf, 1.0]), (7, []), (None, [1.0, 1.0]), (8, [1.0, 0.0]), (9, [-1.0, 0.2])]
+ODD = [(0, [1.0, 0.0]), (50, [1.0, 0.0]), (50, [1.0, 0.0]), (1, [0.9, 0.1]), (2, [0.0, 0.0]), (3, None), (4, [None, 1.0]), (5, [math.nan, 1.0]), (6, [math.inf, 1.0]), (7, []), (None, [1.0, 1.0]), (8, [1.0, 0.0]), (9, [-1.0, 0.2]), (10, [1.0]), (100, [1.0, 2.0, 3.0])]
 
 
 def odd(spark):
@@ -55,6 +55,47 @@ def test_odd_vectors(spark):
         assert f(vectors.filter("vec_id in (2, 3)"), asked).count() >= 0
 
 
+def test_graph_search_in_a_shard_of_full_size(spark):
+    rng = np.random.default_rng(3)
+    raw = rng.normal(size=(40, 24))[rng.integers(0, 40, ann.SHARD_ROWS)] + 0.5 * rng.normal(size=(ann.SHARD_ROWS, 24))
+    unit = raw / np.linalg.norm(raw, axis=1, keepdims=True)
+    links, _, entry = ann.build(unit.astype(np.float32))
+    asked = np.arange(0, ann.SHARD_ROWS, 50)
+    nodes, score = ann.search(unit.astype(np.float32), links, entry, unit[asked].astype(np.float32), ann.EF_SEARCH)
+    hits = 0
+    for q, found, near in zip(asked, nodes, score, strict=True):
+        mine = [i for i in found[np.argsort(-near)] if i != q][:5]
+        hits += len(set(mine) & set(np.argsort(-np.where(np.arange(len(unit)) == q, -2, unit @ unit[q]))[:5]))
+    assert hits >= 0.9 * 5 * len(asked)
+
+
+def test_groups_fill_blocks():
+    pivots = np.array([[0.0], [10.0], [1.0], [11.0], [2.0]])
+    first, parts = topk.groups(pivots, {0: 3, 1: 4, 2: 3, 3: 4, 4: 25}, 10)
+    assert parts == {0: 1, 2: 1, 4: 3, 1: 1, 3: 1}
+    assert first[0] == first[2] == 0 and first[4] == 1 and first[1] == first[3] == 4
+    assert topk.groups(pivots, {}, 10) == ({}, {})
+
+
+def test_clusters_are_skipped(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    raw = 40 * rng.normal(size=(8, 8))[np.arange(4000) % 8] + 0.1 * rng.normal(size=(4000, 8))
+    frame = spark.createDataFrame([(i, [float(y) for y in x]) for i, x in enumerate(raw)], "vec_id long, embedding array<double>")
+    kept, sizes = topk.materialize, []
+    monkeypatch.setattr(topk, "materialize", lambda df: sizes.append((df.columns, kept(df))) or sizes[-1][1])
+    monkeypatch.setattr(topk, "BLOCK_QUERIES", 8)
+    found = topk.top_inner_products(frame, frame.filter("vec_id % 50 = 0")).collect()
+    whole = np.floor(256 * raw).astype(np.int64)
+    assert {(r.query_id, r.rank, r.vec_id, r.score) for r in found} == {
+        (q, n, int(i), int(whole[q] @ whole[i])) for q in range(0, 4000, 50) for n, i in enumerate([i for i in np.lexsort((np.arange(4000), -(whole @ whole[q]))) if i != q][:5], 1)
+    }
+    sent = next(df for names, df in sizes if names == ["query_id", "v", "block", "cell"])
+    cells = next(df for names, df in sizes if "away" in names).groupBy("cell").count()
+    asked = sent.groupBy("query_id").count().count()
+    pairs = sent.join(cells, "cell").agg({"count": "sum"}).first()[0]
+    assert pairs < 0.5 * asked * 4000
+
+
 def fits(url, rules):
     rest = url.split("://", 1)[1] if url and "://" in url else ""
     cut = min([rest.find(c) for c in "/?#" if c in rest] or [len(rest)])

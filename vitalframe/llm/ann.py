@@ -16,14 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitalframe.llm.common import materialize
-from vitalframe.llm.vectors import expanded, stacked, usable
+from vitalframe.llm.vectors import expanded, one_width, stacked, usable
 
 #: Vectors of a shard, about; neighbours of a node on the upper levels (twice as many on the lowest).
 SHARD_ROWS, M = 8192, 16
 #: Candidates looked at for a new node's neighbours, and kept while searching.
 EF_BUILD, EF_SEARCH = 96, 96
-#: Queries searched together.
-QUERY_BLOCK = 512
+#: Queries that meet one copy of a graph, about as large as the graph is, and how many of them are searched together.
+QUERY_BLOCK, TOGETHER = 4096, 512
 
 
 def _chosen(candidates: np.ndarray, near: np.ndarray, unit: np.ndarray, m: int) -> list[int]:
@@ -140,15 +140,15 @@ def _unit(raw: np.ndarray) -> np.ndarray:
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int = SHARD_ROWS, ef: int = EF_SEARCH) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest vectors found for each query by cosine.
 
-    vectors, queries: (vec_id long, embedding array<float>) of one width. Vectors that are null, empty or
-    zero or hold a null or non-finite number take no part. A query's own id is no candidate; ties go to
+    vectors, queries: (vec_id long, embedding array<float>). Vectors that are null, empty or zero, hold a null or
+    non-finite number or have another width than most of `vectors` (ties: the smaller width) take no part. An empty table gives no rows. A query's own id is no candidate; ties go to
     the smaller vec_id; with fewer candidates, all are given. Copies of a vector are one node of the graph and
     come back as all their ids, so a hot vector cannot crowd the beam. Rows that repeat an id and vector count once.
     score is the cosine in double precision of the vectors as given.
     """
     nonzero = F.exists("embedding", lambda x: x != 0.0)
-    data = usable(vectors).filter(nonzero)
-    asked = usable(queries).filter(nonzero).dropDuplicates(["vec_id", "embedding"])
+    data, asked = one_width(usable(vectors).filter(nonzero), usable(queries).filter(nonzero), "embedding")
+    asked = asked.dropDuplicates(["vec_id", "embedding"])
     nodes = data.groupBy("embedding").agg(F.min("vec_id").alias("node"))
     shards = max(1, math.ceil(nodes.count() / shard_rows))
     placed = nodes.withColumn("shard", F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int"))
@@ -172,16 +172,21 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int
             ids = np.frombuffer(g["ids"], np.int64)
             raw = np.frombuffer(g["raw"], np.float64).reshape(len(ids), -1)
             links = np.frombuffer(g["links"], np.int32).reshape(g["levels"], len(ids), -1)
-            unit, mine = _unit(raw), _unit(stacked(queries["embedding"]))
-            found, near = search(unit.astype(np.float32), links, int(g["entry"]), mine.astype(np.float32), min(ef, max(2, len(ids))))
-            row, column = np.nonzero(found >= 0)
-            hits = found[row, column]
-            exact = np.einsum("id,id->i", mine[row], unit[hits])
-            rank = np.lexsort((ids[hits], -exact, row))
-            row, hits, exact = row[rank], hits[rank], exact[rank]
-            place = np.arange(len(row)) - np.searchsorted(row, row)
-            keep = place <= k  # one more, as a query may meet itself
-            out = {"query_id": queries["vec_id"].to_numpy()[row[keep]], "node": ids[hits[keep]], "score": exact[keep]}
+            unit = _unit(raw)
+            single = unit.astype(np.float32)
+            parts = []
+            for start in range(0, len(queries), TOGETHER):
+                some = queries.iloc[start : start + TOGETHER]
+                mine = _unit(stacked(some["embedding"]))
+                found, _ = search(single, links, int(g["entry"]), mine.astype(np.float32), min(ef, max(2, len(ids))))
+                row, column = np.nonzero(found >= 0)
+                hits = found[row, column]
+                exact = np.einsum("id,id->i", mine[row], unit[hits])
+                rank = np.lexsort((ids[hits], -exact, row))
+                row, hits, exact = row[rank], hits[rank], exact[rank]
+                keep = np.arange(len(row)) - np.searchsorted(row, row) <= k  # one more, as a query may meet itself
+                parts.append((some["vec_id"].to_numpy()[row[keep]], ids[hits[keep]], exact[keep]))
+            out = dict(zip(out, map(np.concatenate, zip(*parts, strict=True)), strict=True))
         return pd.DataFrame(out).astype({"query_id": "int64", "node": "int64", "score": "float64"})
 
     hits = copies.groupBy("shard", "block").cogroup(spread.groupBy("shard", "block")).applyInPandas(answer, "query_id long, node long, score double")

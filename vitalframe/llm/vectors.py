@@ -15,6 +15,13 @@ def usable(vectors: DataFrame, ident: str = "vec_id", column: str = "embedding")
     return vectors.filter(F.col(ident).isNotNull() & F.col(column).isNotNull() & (F.size(column) > 0) & F.coalesce(finite, F.lit(False))).select(F.col(ident).cast("long").alias(ident), v.alias(column))
 
 
+def one_width(vectors: DataFrame, queries: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """Both frames without the rows whose array in `column` has another length than most of vectors have (ties: the smaller length)."""
+    width = vectors.groupBy(F.size(column).alias("w")).count().orderBy(F.col("count").desc(), "w").first()
+    of = F.size(column) == (width["w"] if width else 0)
+    return vectors.filter(of), queries.filter(of)
+
+
 def stacked(column, width: int | None = None) -> np.ndarray:
     """A pandas column of equal-length vectors as a matrix."""
     return np.array(column.tolist(), dtype=np.float64).reshape(len(column), -1)
