@@ -173,6 +173,19 @@ def test_formats(spark, tmp_path):
     assert [r[0] for r in frame.select(hl7.message_error("m")).collect()] == [None, "message is empty", "first segment is not MSH", "message is empty"]
     parts, there = one(spark, hl7.components(F.lit("A^B&C~D")), hl7.unescaped(hl7.escaped(F.lit("a|b^c\\F\\~&"))))
     assert len(parts) == 2 and parts[0][1] == ["B", "C"] and there == "a|b^c\\F\\~&"
+    own = "MSH|$~\\&|A|B|C|D|2025||ADT|1|P|2.5\rPID|1||P9$X||Doe$Jane||19700102\rORC|NW|| F1 ||||||20240229x\rPV1|1| I |W$101$HOSP|\rOBX|1|NM|HR$Rate||72|bpm\rNK1|1| "
+    frame2 = spark.createDataFrame([(own,), (text,), ("MSH|^~\\&\rPV1|1\rNK1",)], "m string")
+    assert [tuple(r) for r in hl7.patients(frame2, "m").collect()] == [("P9", "Doe", "Jane", "1970-01-02"), ("P12345", "Doe", "Jane", "1985-12-24")]
+    assert [tuple(r) for r in hl7.observations(frame2, "m").collect()] == [("1", "HR", 72.0, "bpm")]
+    assert [tuple(r) for r in hl7.order_events(frame2, "m").collect()] == [("", "NW", "2024-02-29")]
+    assert [tuple(r) for r in hl7.visit_events(frame2, "m").collect()] == [("", "HOSP", None), ("", "", None)]
+    assert [tuple(r) for r in hl7.order_observations(frame2, "m").collect()] == [("1", "GLU", None, None, "2025-01-02")]
+    assert [r[0] for r in frame2.select(hl7.has_contact("m")).collect()] == [False, True, False]
+    built = hl7.generated(F.array(hl7.msh(("A", "B"), ("C", "D"), "2025", "ORU^R01", "7"), hl7.obx(1, "NM", "HR^Rate", None, "72", "bpm")))
+    assert one(spark, built, hl7.message_error(built)) == ("MSH|^~\\&|A|B|C|D|2025||ORU^R01|7|P|2.5\rOBX|1|NM|HR^Rate||72|bpm|||\r", None)
+    assert one(spark, hl7.generated(hl7.segments(F.lit("MSH#^~\\&#A\rPID#1#x")))) == ("MSH#^~\\&#A\rPID#1#x\r",)
+    rate, back = one(spark, units.convert(F.lit(6.0), F.lit("L/min"), F.lit("mL/s")), models.dequantize(models.quantize(F.lit(0.5), 0.01), 0.01))
+    assert round(rate, 9) == 100 and back == 0.5
     r = genomics.fastq_stats(genomics.fastq_records(spark.createDataFrame([("@read1 desc\nATCG\n+\nIIII\n@read2\nGCTA\n+\nHHHH\n",)], "value string"))).first()
     assert tuple(r) == (2, 8, 4, 39.5)
     assert one(spark, *[genomics.phred(F.lit(c)) for c in "!I~A"]) == (0, 40, 93, 32)
@@ -183,8 +196,8 @@ def test_formats(spark, tmp_path):
     spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert {tuple(r) for r in reads if r.sequence != "ACGT"} == {("a", None, "AC", "@I"), ("b", "x", "GT", "II")}
     assert sorted(int(r.id) for r in reads if r.quality == "@@+I") == list(range(500)) and len(reads) == 502
-    units = spark.createDataFrame([(u,) for u in (" Beats-Per-Minute", "mm Hg", "deg C", "/min", "Cel")], "unit string").select(sanitize.unit_alias("unit").alias("u"))
-    assert [r.u for r in units.collect()] == ["bpm", "mmhg", "c", "/min", "cel"]
+    aliases = spark.createDataFrame([(u,) for u in (" Beats-Per-Minute", "mm Hg", "deg C", "/min", "Cel")], "unit string").select(sanitize.unit_alias("unit").alias("u"))
+    assert [r.u for r in aliases.collect()] == ["bpm", "mmhg", "c", "/min", "cel"]
     line = "1\t12345\t.\tA\tT\t.\tPASS\tDB;DP=10\tGT:DP\t0|1:9\t1|1"
     plain = "1\t7\t.\tA\tT\t.\tPASS\t."
     both = genomics.vcf_records(spark.createDataFrame([(line,), (plain,)], "value string")).select(genomics.vcf_line().alias("v")).collect()

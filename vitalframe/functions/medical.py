@@ -18,6 +18,11 @@ def ratio(a, b) -> Column:
     return safe_div(a, b)
 
 
+def difference(a, b) -> Column:
+    """Risk difference of two rates: a - b."""
+    return col(a).cast("double") - col(b)
+
+
 def sensitivity(tp, fn) -> Column:
     return safe_div(tp, col(tp) + col(fn))
 

@@ -17,6 +17,8 @@ UNITS = {
     "Pa": ("pressure", 1.0), "kPa": ("pressure", 1e3), "mmHg": ("pressure", 133.322),
     "g/L": ("mass per volume", 1.0), "mg/dL": ("mass per volume", 0.01), "mg/mL": ("mass per volume", 1.0), "mg/L": ("mass per volume", 1e-3), "g/dL": ("mass per volume", 10.0),
     "mol/L": ("substance per volume", 1.0), "mmol/L": ("substance per volume", 1e-3), "umol/L": ("substance per volume", 1e-6), "U/L": ("substance per volume", 1.0),
+    "g/s": ("mass per time", 1.0), "mg/s": ("mass per time", 1e-3), "g/min": ("mass per time", 1 / 60), "mg/min": ("mass per time", 1e-3 / 60),
+    "L/s": ("volume per time", 1.0), "mL/s": ("volume per time", 1e-3), "L/min": ("volume per time", 1 / 60), "mL/min": ("volume per time", 1e-3 / 60),
 }
 
 

@@ -189,6 +189,11 @@ def quantize(x, scale: float) -> Column:
     return F.least(F.greatest(F.round(col(x) / scale), F.lit(-127.0)), F.lit(127.0)).cast("tinyint")
 
 
+def dequantize(q, scale: float) -> Column:
+    """The inverse of quantize(), but for the rounding."""
+    return col(q).cast("double") * scale
+
+
 def symmetric_scale(frame: DataFrame, x: str) -> DataFrame:
     """One row: largest absolute value / 127."""
     return frame.agg((F.max(F.abs(F.col(x).cast("double"))) / 127).alias("scale"))

@@ -105,6 +105,15 @@ def logistic_fit(frame: DataFrame, y: str, x: str, rate: float, steps: int) -> t
     return slope, intercept
 
 
+def linear_predict(x, slope, intercept) -> Column:
+    return col(x) * slope + intercept
+
+
+def logistic_probability(x, slope, intercept) -> Column:
+    """1 / (1 + exp(-(slope x + intercept))); the predicted class is whether it reaches 0.5."""
+    return 1 / (1 + F.exp(-linear_predict(x, slope, intercept)))
+
+
 def meta_fixed(studies: DataFrame, effect: str, variance: str) -> DataFrame:
     """One row: inverse-variance pooled effect, its error and 95 % bounds, Q and I2 in percent."""
     w, y = 1 / F.col(variance), F.col(effect)

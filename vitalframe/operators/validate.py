@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+from dataclasses import dataclass, field
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -79,6 +82,61 @@ def validate_profile(frame: DataFrame, required: list[str], cardinality: dict[st
     return frame.withColumn("error", first_error(rules))
 
 
+@dataclass(frozen=True)
+class Profile:
+    """What a resource of one type must have; cardinality: least and most elements (None: any number) of an array."""
+
+    name: str
+    resource_type: str
+    required_fields: list[str] = field(default_factory=list)
+    cardinality: dict[str, tuple[int, int | None]] = field(default_factory=dict)
+
+
+#: The profiles that come with the library.
+PROFILES = [
+    Profile("BasicPatient", "Patient", ["id", "given_name"]),
+    Profile("BasicObservation", "Observation", ["id", "code"]),
+    Profile("BasicDiagnosticReport", "DiagnosticReport", ["id", "code"], {"result_codes": (1, 3)}),
+]
+
+
+def load_profiles(text: str) -> list[Profile]:
+    """Profiles from a JSON array of objects with the names of Profile's fields."""
+    return [Profile(**x) for x in json.loads(text)]
+
+
+def read_profiles(spark: SparkSession, path: str) -> list[Profile]:
+    """Profiles from a JSON file, read by Spark so that any file system works."""
+    return load_profiles(spark.read.text(path, wholetext=True).first().value)
+
+
+def profile_error(text, profile: Profile) -> Column:
+    """The first rule of a profile that a JSON object's text breaks, or null. A resourceType counts only where the object has one."""
+    whole = F.try_parse_json(text)
+    at = lambda name: F.try_variant_get(whole, f"$['{name}']", "variant")
+    kind = F.try_variant_get(whole, "$.resourceType", "string")
+    rules: list[Rule] = [
+        (F.coalesce(~F.schema_of_variant(whole).startswith("OBJECT"), F.lit(True)), "not a JSON object"),
+        (ascii_lower(kind) != profile.resource_type.lower(), f"resource is no {profile.resource_type}"),
+    ]
+    for name in profile.required_fields:
+        value, of = at(name), F.coalesce(F.schema_of_variant(at(name)), F.lit("VOID"))
+        rules += [(of == "VOID", f"{name} is missing"), ((of == "STRING") & blank(value.cast("string")), f"{name} is empty")]
+    for name, (least, most) in profile.cardinality.items():
+        of = F.coalesce(F.schema_of_variant(at(name)), F.lit("VOID"))
+        size = F.when(of == "VOID", 0).otherwise(F.size(F.try_variant_get(whole, f"$['{name}']", "array<variant>")))
+        rules.append(((of != "VOID") & ~of.startswith("ARRAY"), f"{name} is not an array"))
+        rules.append(((size < least) | (size > most if most is not None else F.lit(False)), f"{name} has a wrong number of elements"))
+    return first_error(rules)
+
+
+def validate_against(frame: DataFrame, resource: str, profile: Profile) -> DataFrame:
+    """Rows of a resource by a profile: its type must be the profile's, and its columns are checked as JSON."""
+    if resource.lower() != profile.resource_type.lower():
+        return frame.withColumn("error", F.lit(f"resource is no {profile.resource_type}"))
+    return frame.withColumn("error", profile_error(F.to_json(F.struct(*frame.columns)), profile))
+
+
 def duplicate_ids(entries: DataFrame, bundle: str, order: str, ident: str = "id") -> DataFrame:
     """(bundle, id, order): the first entry of each bundle, by order, whose id stood before. Aggregates by id first, so a hot bundle stays spread."""
     seen = entries.groupBy(bundle, ident).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first"))

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from vitalframe.operators import validate
 from vitalframe.plans.frames import WITH, observations, patients, table
 from vitalframe.plans.registry import query
 from vitalframe.plans.timelines import scratch
@@ -43,6 +44,56 @@ def hl7_generate(spark, d):
     return rows.agg(F.count(F.lit(1)).alias("n"), F.sum(again.cast("long")).alias("same"))
 
 
+def _visits(spark, d):
+    """Messages put together by the builders, with marks of their own for every second customer."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_custkey").cast("string").alias("k"), "c_mktsegment", "c_name")
+    cut = F.when(F.col("key") % 2 == 0, F.lit("^")).otherwise(F.lit("$"))
+    day = F.concat(F.lit("202501"), F.lpad((F.col("key") % 28 + 1).cast("string"), 2, "0"))
+    name = F.concat(F.col("c_name"), cut, F.col("c_mktsegment"), cut, F.lit("M"))
+    head = hl7.segment("MSH", {1: "|", 2: F.concat(cut, F.lit("~\\&")), 9: "ADT^A01", 12: "2.5"})
+    visit = hl7.segment("PV1", {2: "I", 3: F.concat(F.lit("W"), cut, F.lit("HOSP")), 10: F.when(F.col("key") % 3 == 0, F.lit("CARD")), 19: F.concat(F.lit("VN"), F.col("k")), 44: F.concat(day, F.lit("0930"))})
+    order = hl7.segment("ORC", {1: "NW", 2: F.concat(F.lit("O"), F.col("k")), 9: day})
+    asked = hl7.segment("OBR", {1: "1", 2: F.when(F.col("key") % 2 == 0, F.col("k")), 3: F.concat(F.lit("F"), F.col("k")), 4: "GLU^Glucose", 7: day})
+    parts = F.array(head, hl7.pid(1, F.col("k"), "", name, "19700102", "F", address=F.concat(F.lit("1 Road"), cut, cut, F.lit("Town"))), visit, order, asked)
+    return c.select("key", hl7.generated(parts).alias("message"))
+
+
+_DAY = "'2025-01-' || lpad((c_custkey % 28 + 1)::varchar, 2, '0')"
+
+
+@query("hl7_pv1_event", f"select c_custkey as key, 'VN' || c_custkey as id, case when c_custkey % 3 = 0 then 'CARD' else 'HOSP' end as code, {_DAY} as start_date from customer")
+def hl7_pv1_event(spark, d):
+    return hl7.visit_events(_visits(spark, d), "message", "key")
+
+
+@query("hl7_orc_event", f"select c_custkey as key, 'O' || c_custkey as id, 'NW' as code, {_DAY} as start_date from customer")
+def hl7_orc_event(spark, d):
+    return hl7.order_events(_visits(spark, d), "message", "key")
+
+
+@query("hl7_obr_time", f"select c_custkey as key, case when c_custkey % 2 = 0 then '' else 'F' end || c_custkey as id, 'GLU' as code, null::double as value, null::varchar as unit, {_DAY} as date from customer")
+def hl7_obr_time(spark, d):
+    # OBR-4 has the usual mark, which only every second message names.
+    rows = hl7.order_observations(_visits(spark, d), "message", "key")
+    return rows.withColumn("code", hl7.component(F.col("code"), 1))
+
+
+@query("hl7_patient_info", "select c_custkey as key, '1' as set_id, c_custkey::varchar as patient_id, '' as patient_identifier_list, c_name as last_name, c_mktsegment as first_name, 'M' as middle_name, null::varchar as suffix, null::varchar as prefix, '19700102' as birth_date, 'F' as gender, '1 Road' as address_street, 'Town' as address_city, null::varchar as address_state, null::varchar as address_zip, '' as phone_number from customer")
+def hl7_patient_info(spark, d):
+    return hl7.patient_info(_visits(spark, d), "message", "key")
+
+
+@query("profile_errors", """select c_custkey as key, case when c_custkey % 7 = 0 then 'resource is no DiagnosticReport' when c_custkey % 5 = 0 then 'code is missing' when c_custkey % 11 = 0 then 'code is empty'
+ when c_custkey % 13 = 0 then 'result_codes is not an array' when c_custkey % 4 = 0 then 'result_codes has a wrong number of elements' end as error from customer""")
+def profile_errors(spark, d):
+    key = F.col("c_custkey")
+    kind = F.when(key % 7 == 0, F.lit("Patient")).otherwise(F.lit("diagnosticreport"))
+    code = F.when(key % 5 == 0, F.lit("null")).when(key % 11 == 0, F.lit('" "')).otherwise(F.lit('"x"'))
+    results = F.when(key % 13 == 0, F.lit('"[1]"')).when(key % 4 == 0, F.lit("[]")).otherwise(F.lit('["a","b"]'))
+    text = F.concat(F.lit('{"resourceType":"'), kind, F.lit('","id":"'), key.cast("string"), F.lit('","code":'), code, F.lit(',"result_codes":'), results, F.lit("}"))
+    return table(spark, d, "customer").select(key.alias("key"), validate.profile_error(text, validate.PROFILES[2]).alias("error"))
+
+
 @query("vcf_stats_roundtrip", """with v as (select 'A' as r, case p_partkey % 5 when 0 then 'G' when 1 then 'T' when 2 then 'ATT' when 3 then 'C' else 'A,G' end as a, unnest(string_split(case p_partkey % 5 when 0 then 'G' when 1 then 'T' when 2 then 'ATT' when 3 then 'C' else 'T,G' end, ',')) as x from part)
  select (select count(*) from part) as records, count(*) filter (where length(x) = 1) as snps, count(*) filter (where x = 'G') as transitions, count(*) filter (where x in ('T', 'C')) as transversions, count(*) filter (where length(x) > 1) as insertions, 0::bigint as deletions from v""")
 def vcf_stats_roundtrip(spark, d):

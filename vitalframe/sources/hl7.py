@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitalframe.functions.exprs import blank, col, lookup
+from vitalframe.functions.exprs import blank, col, lookup, uni_trim
 
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
@@ -33,14 +33,27 @@ def field(segment: Column, n: int) -> Column:
     return F.get(segment["fields"], F.lit(n - 1))
 
 
-def component(value: Column, n: int, mark: str = "^") -> Column:
-    return F.get(F.split(value, f"\\Q{mark}\\E", -1), F.lit(n - 1))
+def marks(message) -> Column:
+    """The marks that MSH names, each the usual one where it is absent: component, repetition, escape, part."""
+    names = {"component": "^", "repetition": "~", "escape": "\\", "part": "&"}
+    found = field(first_of(segments(message), "MSH"), 2)
+    at = lambda i, usual: F.coalesce(F.when(F.length(found) > i, F.substring(found, i + 1, 1)), F.lit(usual))
+    return F.named_struct(*[x for i, (name, usual) in enumerate(names.items()) for x in (F.lit(name), at(i, usual))])
 
 
-def components(value) -> Column:
-    """Repetitions (~), components (^) and parts (&) as nested arrays."""
-    parts = lambda x, mark: F.split(x, f"\\Q{mark}\\E", -1)
-    return F.transform(parts(col(value), "~"), lambda r: F.transform(parts(r, "^"), lambda c: parts(c, "&")))
+def _split(value: Column, mark) -> Column:
+    return F.split(value, F.concat(F.lit("\\Q"), F.lit(mark) if isinstance(mark, str) else mark, F.lit("\\E")), F.lit(-1))
+
+
+def component(value: Column, n: int, mark="^") -> Column:
+    """The n-th component of a field; mark is a text or a column."""
+    return F.get(_split(value, mark), F.lit(n - 1))
+
+
+def components(value, of: Column | None = None) -> Column:
+    """Repetitions, components and parts as nested arrays, cut at the marks of a message (see marks()) or at ~, ^ and &."""
+    repetition, between, part = (of["repetition"], of["component"], of["part"]) if of is not None else ("~", "^", "&")
+    return F.transform(_split(col(value), repetition), lambda r: F.transform(_split(r, between), lambda c: _split(c, part)))
 
 
 def of_name(found, name: str) -> Column:
@@ -90,14 +103,36 @@ def unescaped(text) -> Column:
 
 
 def generated(found) -> Column:
-    """The message text of an array of segments."""
+    """The message text of an array of segments, with the field separator of its MSH."""
+    sep = F.coalesce(field(first_of(found, "MSH"), 1), F.lit("|"))
+    joined = lambda fields: F.call_function("array_join", fields, sep, F.lit(""))
+
     def line(s):
         later = F.slice(s["fields"], F.lit(2), F.greatest(F.size(s["fields"]) - 1, F.lit(0)))
-        return F.when(s["name"] == "MSH", F.concat(F.lit("MSH|"), F.array_join(later, "|", ""))).otherwise(F.concat(s["name"], F.lit("|"), F.array_join(s["fields"], "|", "")))
+        return F.concat(s["name"], sep, joined(F.when(s["name"] == "MSH", later).otherwise(s["fields"])))
 
     return F.concat(F.array_join(F.transform(col(found), line), "\r"), F.lit("\r"))
 
 
+def segment(name: str, fields: dict[int, object]) -> Column:
+    """A segment struct with the given fields by their HL7 number, empty between them; null values are empty."""
+    text = lambda x: F.coalesce((x if isinstance(x, Column) else F.lit(x)).cast("string"), F.lit(""))
+    return F.named_struct(F.lit("name"), F.lit(name), F.lit("fields"), F.array(*[text(fields.get(n, "")) for n in range(1, max(fields) + 1)]))
+
+
+def msh(sending, receiving, at, kind, control_id, processing="P", version="2.5") -> Column:
+    """An MSH with the usual separators; sending and receiving are pairs of application and facility."""
+    return segment("MSH", dict(enumerate(["|", "^~\\&", *sending, *receiving, at, "", kind, control_id, processing, version], 1)))
+
+
+def pid(set_id, patient_id, identifiers, name, birth_date, gender, mother="", address="", phone="") -> Column:
+    return segment("PID", {1: set_id, 2: patient_id, 3: identifiers, 5: name, 6: mother, 7: birth_date, 8: gender, 11: address, 13: phone})
+
+
+def obx(set_id, value_type, code, sub_id, value, unit="", reference="", flags="", probability="") -> Column:
+    return segment("OBX", dict(enumerate([set_id, value_type, code, sub_id, value, unit, reference, flags, probability], 1)))
+
+
 def _iso(date: Column) -> Column:
     dashed = F.concat_ws("-", F.substring(date, 1, 4), F.substring(date, 5, 2), F.substring(date, 7, 2))
     return F.when(date.rlike(r"^\d{8}$"), dashed).otherwise(date)
@@ -109,22 +144,34 @@ def _filled(c: Column) -> Column:
 
 def patients(frame: DataFrame, message: str, *keep: str) -> DataFrame:
     """(keep, id, family_name, given_name, birth_date): one row for each message with a PID that has an id."""
-    pid = F.col("_pid")
-    rows = frame.select(*keep, first_of(segments(message), "PID").alias("_pid")).filter(pid.isNotNull())
-    ident = F.coalesce(_filled(component(field(pid, 3), 1)), _filled(field(pid, 2)))
+    s, cut = F.col("_s"), F.col("_marks.component")
+    rows = frame.select(*keep, first_of(segments(message), "PID").alias("_s"), marks(message).alias("_marks")).filter(s.isNotNull())
+    ident = F.coalesce(_filled(component(field(s, 3), 1, cut)), _filled(field(s, 2)))
     return rows.select(
-        *keep, ident.alias("id"), component(field(pid, 5), 1).alias("family_name"), component(field(pid, 5), 2).alias("given_name"), _iso(field(pid, 7)).alias("birth_date")
+        *keep, ident.alias("id"), component(field(s, 5), 1, cut).alias("family_name"), component(field(s, 5), 2, cut).alias("given_name"), _iso(field(s, 7)).alias("birth_date")
     ).filter("id is not null")
 
 
+def patient_info(frame: DataFrame, message: str, *keep: str) -> DataFrame:
+    """(keep and 15 texts as they stand): one row for each PID. An absent name or address has an empty first part."""
+    flat = frame.select(*keep, F.explode(of_name(segments(message), "PID")).alias("_s"), marks(message).alias("_marks"))
+    s, part = F.col("_s"), lambda n, i: component(F.coalesce(field(F.col("_s"), n), F.lit("")), i, F.col("_marks.component"))
+    plain = {1: "set_id", 2: "patient_id", 3: "patient_identifier_list", 7: "birth_date", 8: "gender", 13: "phone_number"}
+    names = enumerate(("last_name", "first_name", "middle_name", "suffix", "prefix"), 1)
+    places = {1: "address_street", 3: "address_city", 4: "address_state", 5: "address_zip"}
+    return flat.select(
+        *keep, *[field(s, n).alias(a) for n, a in plain.items()], *[part(5, i).alias(a) for i, a in names], *[part(11, i).alias(a) for i, a in places.items()]
+    )
+
+
 def observations(frame: DataFrame, message: str, *keep: str) -> DataFrame:
     """(keep, id, code, value, unit): one row for each OBX. TS and CWE values and texts that are no number give null."""
-    flat = frame.select(*keep, F.posexplode(of_name(segments(message), "OBX")).alias("_i", "_s"))
-    s = F.col("_s")
+    flat = frame.select(*keep, F.posexplode(of_name(segments(message), "OBX")).alias("_i", "_s"), marks(message).alias("_marks"))
+    s, cut = F.col("_s"), F.col("_marks.component")
     text = field(s, 5)
     value = F.when(~F.coalesce(field(s, 2), F.lit("")).isin("TS", "CWE") & text.rlike(NUMBER), text.try_cast("double"))
     ident = F.coalesce(_filled(field(s, 1)), (F.col("_i") + 1).cast("string"))
-    return flat.select(*keep, ident.alias("id"), component(field(s, 3), 1).alias("code"), value.alias("value"), _filled(component(field(s, 6), 1)).alias("unit"))
+    return flat.select(*keep, ident.alias("id"), component(field(s, 3), 1, cut).alias("code"), value.alias("value"), _filled(component(field(s, 6), 1, cut)).alias("unit"))
 
 
 def orders(frame: DataFrame, message: str, *keep: str) -> DataFrame:
@@ -136,6 +183,47 @@ def orders(frame: DataFrame, message: str, *keep: str) -> DataFrame:
     return flat.select(*keep, ident.alias("id"), component(field(s, 4), 1).alias("code"), F.get(dates, F.lit(0)).alias("date"))
 
 
+def _dated(text) -> Column:
+    """YYYY-MM-DD of a text that begins with eight digits; null otherwise."""
+    return F.when(text.rlike(r"^\d{8}"), _iso(F.substring(text, 1, 8)))
+
+
+def order_observations(frame: DataFrame, message: str, *keep: str) -> DataFrame:
+    """(keep, id, code, value, unit, date): one row for each OBR, without value and unit, with the day of its first date as YYYY-MM-DD."""
+    none = F.lit(None)
+    return orders(frame, message, *keep).select(*keep, F.trim("id").alias("id"), F.coalesce("code", F.lit("")).alias("code"), none.cast("double").alias("value"), none.cast("string").alias("unit"), _dated(F.col("date")).alias("date"))
+
+
+def visit_events(frame: DataFrame, message: str, *keep: str) -> DataFrame:
+    """(keep, id, code, start_date): an event for each message with a PV1.
+
+    id: the visit number, PV1-19, or a filled field beside it (20, 18, 21); code: the last component of the hospital
+    service, PV1-10, or of 11, 9, 3 or 2; start_date: the day of the last field that begins with eight digits. Absent: "", "" and null.
+    """
+    rows = frame.select(*keep, first_of(segments(message), "PV1").alias("_s"), marks(message).alias("_marks")).filter("_s is not null")
+    s, trimmed = F.col("_s"), lambda n: uni_trim(field(F.col("_s"), n))
+    last = lambda n: F.element_at(_split(trimmed(n), F.col("_marks.component")), -1)
+    dates = F.filter(F.transform(s["fields"], uni_trim), lambda f: f.rlike(r"^\d{8}"))
+    return rows.select(
+        *keep,
+        F.coalesce(*[_filled(trimmed(n)) for n in (19, 20, 18, 21)], F.lit("")).alias("id"),
+        F.coalesce(*[F.when(last(n) != "", last(n)) for n in (10, 11, 9, 3, 2)], F.lit("")).alias("code"),
+        _dated(F.try_element_at(dates, F.lit(-1))).alias("start_date"),
+    )
+
+
+def order_events(frame: DataFrame, message: str, *keep: str) -> DataFrame:
+    """(keep, id, code, start_date): an event for each message with an ORC, from its order number (ORC-2, else 3), control (1) and date (9)."""
+    rows = frame.select(*keep, first_of(segments(message), "ORC").alias("_s")).filter("_s is not null")
+    trimmed = lambda n: uni_trim(field(F.col("_s"), n))
+    return rows.select(*keep, F.coalesce(trimmed(2), trimmed(3), F.lit("")).alias("id"), F.coalesce(trimmed(1), F.lit("")).alias("code"), _dated(trimmed(9)).alias("start_date"))
+
+
+def has_contact(message) -> Column:
+    """Whether a message has a next of kin with a name."""
+    return F.coalesce(F.exists(of_name(segments(message), "NK1"), lambda s: ~blank(field(s, 2))), F.lit(False))
+
+
 def contacts(frame: DataFrame, message: str, *keep: str) -> DataFrame:
     """(keep, family_name, given_name): next of kin with a name."""
     flat = frame.select(*keep, F.explode(of_name(segments(message), "NK1")).alias("_s"))
