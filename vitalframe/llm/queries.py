@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalframe.llm import ann, language_id, lm, mixing, near_dedup, sharding, subwords, topk, toxicity, url_filters
+from vitalframe.llm import ann, language_id, lm, mixing, near_dedup, sharding, subwords, topk, toxicity, url_filters, whitening
 from vitalframe.llm.common import id_remainder, table
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -60,7 +60,11 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_minhash_dedup, op3_sentencepiece, op4_hnsw_search, op5_voronoi_topk, op6_url_filter, op7_language_id, op8_toxicity, op9_sharding, op10_lm_score)}
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_minhash_dedup, op3_sentencepiece, op4_hnsw_search, op5_voronoi_topk, op6_url_filter, op7_language_id, op8_toxicity, op9_sharding, op10_lm_score, op13_embedding_whitening)}
 
 ORACLE_SQL = {
     "op2_minhash_dedup": r"""
