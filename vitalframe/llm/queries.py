@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalframe.llm import ann, language_id, lm, mixing, near_dedup, sharding, subwords, topk, toxicity, url_filters, whitening
+from vitalframe.llm import ann, collocations, language_id, lm, mixing, near_dedup, sharding, subwords, topk, toxicity, url_filters, whitening
 from vitalframe.llm.common import id_remainder, table
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -60,11 +60,15 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_minhash_dedup, op3_sentencepiece, op4_hnsw_search, op5_voronoi_topk, op6_url_filter, op7_language_id, op8_toxicity, op9_sharding, op10_lm_score, op13_embedding_whitening)}
+QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_minhash_dedup, op3_sentencepiece, op4_hnsw_search, op5_voronoi_topk, op6_url_filter, op7_language_id, op8_toxicity, op9_sharding, op10_lm_score, op12_phrase_collocations, op13_embedding_whitening)}
 
 ORACLE_SQL = {
     "op2_minhash_dedup": r"""
@@ -92,6 +96,31 @@ s as (
   from v q join v d on q.vec_id <> d.vec_id where q.vec_id % 50 = 0),
 r as (select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score from s)
 select * from r where rank <= 5
+""",
+    "op12_phrase_collocations": r"""
+with p as (
+  select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+w as (select lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') as w from p),
+g as (
+  select lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) as phrase
+  from w, (values (1), (2), (3), (4)) as sizes(k) where len(w) >= k),
+f as materialized (select lang, k, phrase, count(*) as f from g group by all having count(*) >= 30),
+n as (select lang, sum(len(w))::bigint as n from w group by lang),
+c as (select lang, k, phrase, f as a, string_split(phrase, ' ') as w from f where k > 1),
+cuts as (select lang, phrase, a, k, w, unnest(range(1, k)) as cut from c),
+scored as (
+  select c.lang, c.phrase, c.a, x.f as l, y.f as r, ((2000000::hugeint * c.a) // (x.f + y.f))::bigint as score
+  from cuts c join f x on x.lang = c.lang and x.phrase = array_to_string(c.w[1:c.cut], ' ')
+  join f y on y.lang = c.lang and y.phrase = array_to_string(c.w[c.cut + 1:], ' ')
+  qualify row_number() over (partition by c.lang, c.phrase order by (2000000::hugeint * c.a) // (x.f + y.f), c.cut) = 1),
+inner_sizes as (select lang, w, a as f, k, unnest(range(2, k)) as m from c where k > 2),
+inside as (
+  select lang, phrase, max(f) as longer
+  from (select lang, f, unnest(list_transform(range(1, k - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) as phrase from inner_sizes) group by all),
+ranked as (
+  select s.*, row_number() over (partition by s.lang order by score desc, a desc, s.phrase) as rank
+  from scored s left join inside i on i.lang = s.lang and i.phrase = s.phrase where longer is null or 100 * longer < 80 * a)
+select r.lang, rank, phrase, a, l, r.r, n.n, score from ranked r join n on n.lang = r.lang where rank <= 2000
 """,
     "op6_url_filter": r"""
 with parts as (
