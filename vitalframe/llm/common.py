@@ -29,10 +29,10 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def materialize(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
+def materialize(df: DataFrame, partition_by: list[str] | None = None, stages: list[str] | None = None) -> DataFrame:
     """Cut the lineage: write df as Parquet in the shared folder and read it back.
 
-    The files outlive any executor, so a lost one costs only its running tasks.
+    The files outlive any executor, so a lost one costs only its running tasks. The folder is added to `stages`, for discard().
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
@@ -40,9 +40,19 @@ def materialize(df: DataFrame, partition_by: list[str] | None = None) -> DataFra
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+    if stages is not None:
+        stages.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, stages: list[str]) -> None:
+    """Delete folders that materialize() wrote and that nothing reads any more."""
+    for path in stages:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    stages.clear()
+
+
 def bounded(df: DataFrame) -> DataFrame:
     """df, after the session's Arrow batches for Python tasks are bounded by bytes (BATCH_BYTES), so that long texts do not meet in one."""
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"

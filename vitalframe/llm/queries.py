@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalframe.llm import ann, collocations, language_id, lm, mixing, near_dedup, sharding, subwords, topk, toxicity, url_filters, whitening
+from vitalframe.llm import ann, collocations, language_id, lm, mixing, near_dedup, ngram_join, sharding, subwords, topk, toxicity, url_filters, whitening
 from vitalframe.llm.common import id_remainder, table
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -60,6 +60,10 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_components(table(spark, sf_dir, "documents"))
+
+
 def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
 
@@ -68,7 +72,7 @@ def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_minhash_dedup, op3_sentencepiece, op4_hnsw_search, op5_voronoi_topk, op6_url_filter, op7_language_id, op8_toxicity, op9_sharding, op10_lm_score, op12_phrase_collocations, op13_embedding_whitening)}
+QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_minhash_dedup, op3_sentencepiece, op4_hnsw_search, op5_voronoi_topk, op6_url_filter, op7_language_id, op8_toxicity, op9_sharding, op10_lm_score, op11_ngram_join, op12_phrase_collocations, op13_embedding_whitening)}
 
 ORACLE_SQL = {
     "op2_minhash_dedup": r"""
@@ -96,6 +100,22 @@ s as (
   from v q join v d on q.vec_id <> d.vec_id where q.vec_id % 50 = 0),
 r as (select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score from s)
 select * from r where rank <= 5
+""",
+    "op11_ngram_join": r"""
+with recursive w as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
+  from documents),
+s as (
+  select doc_id, case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+    else list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) end as s from w),
+e as materialized (select doc_id, unnest(s) as g, len(s) as n from s),
+f as materialized (select * from e qualify count(*) over (partition by g) > 1),
+links as materialized (
+  select a.doc_id as a, b.doc_id as b from f a join f b on a.g = b.g and a.doc_id <> b.doc_id
+  group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+reach(a, b) as (select doc_id, doc_id from documents union select r.a, l.b from reach r join links l on r.b = l.a)
+select s.doc_id, len(s.s)::bigint as n_shingles, min(r.b) as component_id
+from s join reach r on r.a = s.doc_id group by s.doc_id, s.s
 """,
     "op12_phrase_collocations": r"""
 with p as (
