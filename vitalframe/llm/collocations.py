@@ -25,7 +25,7 @@ from vitalframe.llm.common import bounded, materialize
 from vitalframe.llm.words import mixed, slices
 
 #: Bytes of text of a shard, longest phrase in words, and the filter's size: at least 16 bits a frequent pair up to 2**MOST_BITS bits (16 MB).
-SHARD_BYTES, LONGEST, MOST_BITS, PROBES = 32 << 20, 4, 27, 3
+SHARD_BYTES, LONGEST, MOST_BITS, PROBES = 14 << 20, 4, 27, 3
 #: Slices into which the candidates of a language are dealt before its list is cut.
 SLICES = 64
 
@@ -45,20 +45,20 @@ class Shard:
         found, known = data.replace(_BREAK, b" \xff ").split(), self.known
         for word in set(found):
             known.setdefault(word, len(known))
-        self.ids.append(np.fromiter(map(known.__getitem__, found), np.int64, len(found)))
+        self.ids.append(np.fromiter(map(known.__getitem__, found), np.int32, len(found)))
 
     def finish(self) -> None:
         self.words = list(self.known)
-        self.r1 = np.concatenate([*self.ids, np.zeros(LONGEST, np.int64)])
+        self.r1 = np.concatenate([*self.ids, np.zeros(LONGEST, np.int32)])
         ends = np.flatnonzero(self.r1 == 0)
         at = np.arange(len(self.r1))
-        self.left = ends[np.searchsorted(ends, at)] - at  # words up to the end of the piece
+        self.left = (ends[np.searchsorted(ends, at)] - at).astype(np.int32)  # words up to the end of the piece
         self.ids, self.known = [], {}
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
         """Places of the first occurrence of each distinct pair of words, and counts: the intervals of depth two."""
         at = np.flatnonzero(self.left >= 2)
-        _, first, counts = np.unique(self.r1[at] * len(self.words) + self.r1[at + 1], return_index=True, return_counts=True)
+        _, first, counts = np.unique(self.r1[at] * np.int64(len(self.words)) + self.r1[at + 1], return_index=True, return_counts=True)
         return at[first], counts
 
     def intervals(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -66,9 +66,9 @@ class Shard:
         size = len(self.r1) - LONGEST
         if size <= 0:
             return
-        key = self.r1[:-1] * len(self.words) + self.r1[1:]
-        distinct, r2 = np.unique(key, return_inverse=True)
-        r4 = r2[:-2] * len(distinct) + r2[2:]
+        distinct, r2 = np.unique(self.r1[:-1] * np.int64(len(self.words)) + self.r1[1:], return_inverse=True)
+        r4 = r2[:-2] * np.int64(len(distinct)) + r2[2:]
+        del distinct
         order = np.argsort(r4[:size], kind="stable")  # the suffix array, to a depth of four words
         a, b = order[:-1], order[1:]
         one, two = self.r1[a] == self.r1[b], r2[a] == r2[b]
