@@ -1,3 +1,4 @@
+import random
 import re
 
 from vitalframe.llm import near_dedup
@@ -53,3 +54,24 @@ def test_kept_rows_keep_their_columns(spark):
     out = near_dedup.without_near_duplicates(docs)
     assert out.columns == docs.columns
     assert sorted(str(r.doc_id) for r in out.collect()) == ["1", "3", "4", "None"]
+
+
+def test_texts_of_repeated_ids_stay(spark):
+    """A text that is a copy of nothing stays, whatever other rows share its doc_id; of equal rows the first stays."""
+    text, other, third = "a b c d e f g", "quite another text of seven words here", "and one more of this kind it is"
+    rows = [(1, text, 1), (5, text, 2), (5, other, 3), (7, third, 4), (7, "words " * 9, 5), (7, third, 6), (8, third + "  ", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, digest int")
+    assert sorted(r.digest for r in near_dedup.without_near_duplicates(docs).collect()) == [1, 3, 4, 5]
+    found = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(docs).collect()}
+    assert found == {(1, 3, 1, True), (5, 3, 1, False), (5, 3, 5, True), (7, 4, 7, True), (7, 1, 7, True), (8, 4, 7, False)}
+
+
+def test_shared_edits_around_one_text(spark):
+    """Loose copies with few kinds of edits, of several lengths: linked and unlinked pairs on both sides of the band of sizes."""
+    rnd = random.Random(1)
+    base = [f"w{i}" for i in range(160)]
+    rows = []
+    for i in range(150):
+        words = [rnd.choice(["e0", "e1", "e2"]) if rnd.random() < rnd.choice([0.01, 0.03, 0.06]) else w for w in base]
+        rows.append((i, " ".join(words[: rnd.choice([160, 150, 125, 118, 90])])))
+    assert got(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)

@@ -15,7 +15,7 @@ def test_rows_are_those_of_the_stages(spark, sf_dir):
     kept = spark.createDataFrame(rows, docs.schema)
     names, model = language_id.train(kept.filter(id_remainder(kept.doc_id, 4) != 2))
     found = [(r, language_id.infer(r.text, model)) for r in rows]
-    rows = [r for r, f in found if f and f[1][f[0][0]] >= 0.5]
+    rows = [r for r, f in found if f and language_id.fits(r.text, model)]
     stay = {i for i, _, _, k in brute([(r.doc_id, r.text) for r in rows]) if k}
     out = corpus_pipeline.run(spark, sf_dir).collect()
     assert sorted(r.doc_id for r in out) == sorted(stay)

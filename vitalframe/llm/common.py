@@ -66,6 +66,11 @@ def text_crc32(col) -> F.col:
     return F.crc32(F.encode(col, "UTF-8"))
 
 
+def text_digest(col):
+    """The 16 bytes of the MD5 of a text; null stays null."""
+    return F.unhex(F.md5(F.encode(col, "UTF-8")))
+
+
 def id_remainder(col, modulus: int):
     """crc32 of the id written as text, modulo; the fold of a document. A null id has no fold (null)."""
     return F.crc32(F.encode(col.cast("string"), "UTF-8")) % F.lit(modulus)

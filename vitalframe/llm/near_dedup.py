@@ -19,7 +19,9 @@ texts around one common passage have many of them.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vitalframe.llm.common import bounded, materialize
+from vitalframe.llm.common import bounded, discard, materialize, text_digest
 from vitalframe.llm.components import connected
 from vitalframe.llm.words import WordHashes, shingles, slices, words
 
@@ -50,43 +52,44 @@ def signature(found: np.ndarray) -> np.ndarray:
     return least
 
 
+def _digest(found: np.ndarray) -> int:
+    """The node of a non-empty set: a 64-bit hash of it."""
+    return int(np.frombuffer(xxhash.xxh3_64_digest(found.tobytes()), np.int64)[0])
+
+
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for batch in slices(batches):
-        sizes, high, low, signs = [], [], [], []
+        sizes, nodes, signs = [], [], []
         for ident, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             found = shingles(hashes.of(words(text)))
             sizes.append(len(found))
             if len(found) and ident is not None:
-                digest = np.frombuffer(xxhash.xxh3_128_digest(found.tobytes()), np.int64)
-                high.append(int(digest[0]))
-                low.append(int(digest[1]))
+                nodes.append(_digest(found))
                 signs.append(signature(found).view(np.int64))
             else:
-                high.append(None)
-                low.append(None)
+                nodes.append(None)
         keys = pa.array(np.concatenate(signs) if signs else np.empty(0, np.int64))
-        lengths = [0 if h is None else K for h in high]
+        lengths = [0 if x is None else K for x in nodes]
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), keys)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), lists],
-            names=["doc_id", "n_shingles", "c1", "c2", "sig"],
+            [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), lists],
+            names=["doc_id", "digest", "n_shingles", "node", "sig"],
         )
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for batch in slices(batches):
-        found = [shingles(hashes.of(words(t))).tobytes() for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["id", "members"])
+        found = [f for f in (shingles(hashes.of(words(t))) for t in batch.column(1).to_pylist()) if len(f)]
+        yield pa.RecordBatch.from_arrays([pa.array([_digest(f) for f in found], pa.int64()), pa.array([f.tobytes() for f in found], pa.binary())], names=["node", "members"])
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = WordHashes()
     for batch in slices(batches):
-        found = [shingles(hashes.of(words(t))) for t in batch.column(1).to_pylist()]
-        owner = np.repeat(np.array(batch.column(0).to_pylist(), np.int64), [len(x) for x in found])
-        yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(np.concatenate(found).view(np.int64))], names=["rep", "s"])
+        found = [np.frombuffer(m, np.int64) for m in batch.column(1).to_pylist()]
+        owner = np.repeat(batch.column(0).to_numpy(), [len(f) for f in found])
+        yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(np.concatenate(found))], names=["node", "s"])
 
 
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,17 +104,24 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def picked(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """docs semi- or anti-joined with ids (doc_id): by broadcast while they are few enough, else by a shuffle."""
+    """docs semi- or anti-joined with ids (doc_id, and other columns that docs has): by broadcast while they are few enough, else by a shuffle."""
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, "doc_id", how)
+    return docs.join(F.broadcast(ids) if few else ids, ids.columns, how)
+
 
+def full_sets(nodes: DataFrame, classes: DataFrame, docs: DataFrame, stages: list[str]) -> DataFrame:
+    """(node, members): the full sets of nodes (node), from the text of each one's first document."""
+    wanted = materialize(classes.join(nodes.distinct(), "node", "left_semi").select("node", F.col("rep").alias("doc_id")), stages=stages)
+    found = picked(docs.select("doc_id", "text"), wanted.select("doc_id").distinct(), "left_semi").mapInArrow(_sets, "node long, members binary")
+    # Other rows of these ids may hold other texts, or the same one again.
+    return found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
-def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of document ids with the overlap of their full sets and whether that links them."""
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = picked(docs.select("doc_id", "text"), ids, "left_semi").mapInArrow(_sets, "id long, members binary")
-    left = sets.select(F.col("id").alias("a"), F.col("members").alias("x"))
-    right = sets.select(F.col("id").alias("b"), F.col("members").alias("y"))
+
+def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, stages: list[str]) -> DataFrame:
+    """The pairs (a, b) of nodes with the overlap of their full sets and whether that links them."""
+    sets = materialize(full_sets(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))), classes, docs, stages), stages=stages)
+    left = sets.select(F.col("node").alias("a"), F.col("members").alias("x"))
+    right = sets.select(F.col("node").alias("b"), F.col("members").alias("y"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_overlaps, "a long, b long, overlap long, linked boolean")
 
 
@@ -121,86 +131,113 @@ def _open(members: DataFrame) -> DataFrame:
     return members.join(keys, "key", "left_semi")
 
 
-def _lone_shingles(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """(rep, lone): how many shingles each of the documents ids (doc_id) has that no other of them has; none: no row.
-
-    These cannot be in an intersection, so a document's links are bounded by the rest.
-    """
-    flat = picked(docs, ids, "left_semi").mapInArrow(_members, "rep long, s long")
-    return flat.groupBy("s").agg(F.count(F.lit(1)).alias("k"), F.min("rep").alias("rep")).filter("k = 1").groupBy("rep").agg(F.count(F.lit(1)).alias("lone"))
+def _lone_shingles(nodes: DataFrame, classes: DataFrame, docs: DataFrame, stages: list[str]) -> DataFrame:
+    """(node, lone): how many shingles each of the nodes (node) has that no other of them has; none: no row.
 
-
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per row of docs (doc_id long, text): doc_id, n_shingles, component_id, kept.
-
-    Links: shingle sets (five words) with 100 * intersection >= 75 * union. component_id is the smallest
-    doc_id reachable by links; kept tells whether that is the document itself. A null text, or one
-    without words, has an empty set and is linked with nothing. A null doc_id is linked with nothing,
-    has a null component_id and is kept. Rows that share a doc_id count as one document. An empty table gives no rows.
+    These cannot be in an intersection, so a set's links are bounded by the rest.
     """
-    docs = bounded(docs.select("doc_id", "text"))
-    signed = materialize(docs.mapInArrow(_signed, "doc_id long, n_shingles long, c1 long, c2 long, sig array<long>"))
-    classes = materialize(
-        signed.filter("c1 is not null").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
-    )
-    postings = classes.select("rep", "n", F.explode("sig").alias("key"))
-    lists = postings.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("rep").alias("lead")).filter("members > 1")
-    shared = materialize(postings.join(lists, "key"))
-
-    stars = shared.filter("rep <> lead").groupBy("rep", "lead").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") >= T)
-    stars = materialize(stars.select(F.col("lead").alias("a"), F.col("rep").alias("b")))
-    compared = materialize(confirm(stars, docs))
-    joined = connected(compared.filter("linked").select("a", "b"))
+    flat = full_sets(nodes, classes, docs, stages).mapInArrow(_members, "node long, s long")
+    return flat.groupBy("s").agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("node")).filter("k = 1").groupBy("node").agg(F.count(F.lit(1)).alias("lone"))
+
+
+def _judged(docs: DataFrame) -> DataFrame:
+    """One row per row of docs (doc_id long, text): doc_id, digest (of the text), n_shingles, node, component (of nodes), component_id; see near_duplicates()."""
+    stages: list[str] = []
+    keep = partial(materialize, stages=stages)
+    docs = bounded(docs.select("doc_id", "text", text_digest(F.col("text")).alias("digest")))
+    signed = materialize(docs.mapInArrow(_signed, "doc_id long, digest binary, n_shingles long, node long, sig array<long>"))
+    classes = keep(signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")))
+    postings = classes.select("node", "n", F.explode("sig").alias("key"))
+    lists = postings.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("lead")).filter("members > 1")
+    shared = keep(postings.join(lists, "key"))
+
+    stars = shared.filter("node <> lead").groupBy("node", "lead").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") >= T)
+    stars = keep(stars.select(F.col("lead").alias("a"), F.col("node").alias("b")))
+    compared = keep(confirm(stars, classes, docs, stages))
+    joined = connected(compared.filter("linked").select("a", "b"), stages=stages)
     # The member that a set overlaps most with is its centre; a centre is its own.
-    centres = compared.groupBy(F.col("b").alias("rep")).agg(F.max(F.struct("overlap", F.col("a").alias("centre"))).alias("x")).select("rep", "x.centre", "x.overlap")
+    centres = compared.groupBy(F.col("b").alias("node")).agg(F.max(F.struct("overlap", F.col("a").alias("centre"))).alias("x")).select("node", "x.centre", "x.overlap")
 
-    own = Window.partitionBy("rep")
+    own = Window.partitionBy("node")
     prefix = (
         shared.withColumn("rank", F.row_number().over(own.orderBy("members", "key")))
         .withColumn("single", K - F.count(F.lit(1)).over(own))
         .filter(F.col("rank") + F.col("single") <= K - T + 1)
-        .select("rep", "n", "key")
+        .select("node", "n", "key")
     )
-    prefix = prefix.join(joined.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    open_members = materialize(_open(prefix))
-    lone = materialize(_lone_shingles(open_members.select(F.col("rep").alias("doc_id")).distinct(), docs))
-    linkable = open_members.join(lone, "rep", "left").withColumn("m", F.col("n") - F.coalesce("lone", F.lit(0))).filter("4 * m >= 3 * n").drop("lone")
-    linkable = linkable.join(centres, "rep", "left").withColumn("overlap", F.coalesce("overlap", "n")).withColumn("centre", F.coalesce("centre", "rep"))
-    left = materialize(_open(linkable))
+    prefix = prefix.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    open_members = keep(_open(prefix))
+    lone = keep(_lone_shingles(open_members.select("node"), classes, docs, stages))
+    linkable = open_members.join(lone, "node", "left").withColumn("m", F.col("n") - F.coalesce("lone", F.lit(0))).filter("4 * m >= 3 * n").drop("lone")
+    linkable = linkable.join(centres, "node", "left").withColumn("overlap", F.coalesce("overlap", "n")).withColumn("centre", F.coalesce("centre", "node"))
+    left = keep(_open(linkable))
     # Sets around one centre meet once, by the centre, and share at most what the smaller overlap holds of it and the
     # smaller rest outside of it. Others meet by each key that they share.
-    columns = ("rep", "n", "m", "component", "centre", "overlap")
+    # Sizes are in bands as wide as a link allows; each set goes into its own and the next, and a pair is taken from the upper one.
+    columns = ("node", "n", "m", "component", "centre", "overlap", "band")
     again = lambda df, *keys: df.select(*keys, *[F.col(c).alias(f"{c}2") for c in columns if c not in keys])
-    ordered = F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")
+    ordered = F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")
     apart = F.col("component") < F.col("component2")
+    left = left.withColumn("band", F.floor(F.log("n") / F.lit(math.log(4 / 3) + 1e-9)))
+    cell = F.explode(F.array("band", F.col("band") + 1)).alias("cell")
+    upper = F.col("cell") == F.greatest("band", "band2")
     enough = lambda most: F.expr(f"7 * ({most}) >= 3 * (n + n2)")
-    around = left.select(*columns).distinct()
-    inside = around.join(again(around, "centre"), "centre").filter(apart & enough("least(overlap, overlap2) + least(m - overlap, m2 - overlap2)")).select(*ordered)
-    between = left.join(again(left, "key"), "key").filter(apart & (F.col("centre") != F.col("centre2")) & enough("least(m, m2)")).select(*ordered).distinct()
-    across = materialize(inside.unionByName(between).join(stars, ["a", "b"], "left_anti"))
-    signs = classes.select("rep", "sig")
+    around = left.select(*columns).distinct().select("*", cell)
+    left = left.select("*", cell)
+    inside = around.join(again(around, "centre", "cell"), ["centre", "cell"]).filter(apart & upper & enough("least(overlap, overlap2) + least(m - overlap, m2 - overlap2)")).select(*ordered)
+    between = left.join(again(left, "key", "cell"), ["key", "cell"]).filter(apart & upper & (F.col("centre") != F.col("centre2")) & enough("least(m, m2)")).select(*ordered).distinct()
+    across = keep(inside.unionByName(between).join(stars, ["a", "b"], "left_anti"))
+    signs = classes.select("node", "sig")
     same = F.aggregate(F.zip_with("x", "y", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, v: s + v)
     close = (
-        across.join(signs.select(F.col("rep").alias("a"), F.col("sig").alias("x")), "a")
-        .join(signs.select(F.col("rep").alias("b"), F.col("sig").alias("y")), "b")
+        across.join(signs.select(F.col("node").alias("a"), F.col("sig").alias("x")), "a")
+        .join(signs.select(F.col("node").alias("b"), F.col("sig").alias("y")), "b")
         .filter(same >= T)
         .select("a", "b")
     )
-    more = confirm(materialize(close), docs)
-    final = connected(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more.filter("linked").select("a", "b")))
+    more = confirm(keep(close), classes, docs, stages)
+    final = connected(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more.filter("linked").select("a", "b")), stages=stages)
+
+    named = classes.select("node", "rep").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    named = materialize(named.join(least, "component").select("node", "component", "component_id"))
+    discard(docs.sparkSession, stages)
+    return signed.select("doc_id", "digest", "n_shingles", "node").join(named, "node", "left")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """One row per row of docs (doc_id long, text): doc_id, n_shingles, component_id, kept.
 
-    reps = classes.select("c1", "c2", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left")
-    reps = reps.select("c1", "c2", F.coalesce("component", "rep").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles", "c1", "c2").join(reps, ["c1", "c2"], "left")
+    Links: shingle sets (five words) with 100 * intersection >= 75 * union. component_id is the smallest
+    doc_id reachable by links; kept tells whether that is the document itself. A null text, or one
+    without words, has an empty set and is linked with nothing. A null doc_id is linked with nothing,
+    has a null component_id and is kept. Rows that share a doc_id are each
+    judged by their own text. Other columns are ignored, texts count whole, and an empty table gives no rows.
+    """
+    found = _judged(docs)
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of docs that near_duplicates() keeps, columns unchanged; of rows with one doc_id, one stays."""
-    gone = materialize(near_duplicates(docs).filter("not kept").select("doc_id").distinct())
-    left = picked(docs, gone, "left_anti")
-    repeated = materialize(docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
-    if repeated.isEmpty():
-        return left
-    return picked(left, repeated, "left_anti").unionByName(picked(left, repeated, "left_semi").dropDuplicates(["doc_id"]))
+    """One row of docs for each group of near-duplicates, columns unchanged: that of the smallest doc_id, then of the smallest digest of the text.
+
+    Rows with different texts that are linked with nothing all stay, whether they share a doc_id or not; so do rows without words or id.
+    Of rows that agree in doc_id and text, the first by their other columns stays.
+    """
+    row = F.struct("doc_id", "digest")
+    stages: list[str] = []
+    judged = materialize(_judged(docs).filter("component is not null").select("component", row.alias("row")), stages=stages)
+    first = judged.groupBy("component").agg(F.min("row").alias("first"))
+    gone = materialize(judged.join(first, "component").filter("row <> first").select("row.*").distinct())
+    again = materialize(judged.join(first, "component").filter("row = first").groupBy("row").count().filter("count > 1").select("row.*"))
+    discard(docs.sparkSession, stages)
+    # A digest column of the documents' own stays out of the way.
+    ids, digest = ["doc_id", "_text_digest"], text_digest(F.col("text"))
+    named = lambda rows: rows.withColumnRenamed("digest", "_text_digest")
+    left = picked(docs.withColumn("_text_digest", digest), named(gone), "left_anti")
+    if not again.isEmpty():
+        order = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
+        single = picked(left, named(again), "left_semi").withColumn("_place", F.row_number().over(Window.partitionBy(*ids).orderBy(order))).filter("_place = 1").drop("_place")
+        left = picked(left, named(again), "left_anti").unionByName(single)
+    return left.drop("_text_digest")
