@@ -129,6 +129,31 @@ def test_privacy(spark):
         privacy.laplace_scale(1.0, 0.0)
 
 
+def test_typed_rules(spark):
+    """JSON types count, and evidence names the conditions that decided."""
+    rows = ['{"k":"5"}', '{"k":null}', '{"k":"[x]"}', '{"k":5}', '{"k":5.0}', '{"k":["x",1]}', '{"k":" "}', '{"k":[]}', '{"k":{"b":1,"a":[2]}}', '{"k":true}', "no json", None, "[1]", "{}"]
+    frame = spark.createDataFrame(list(enumerate(rows)), "i int, d string")
+
+    def passing(expr):
+        return [r.i for r in frame.filter(compliance.rule_condition("d", expr)).orderBy("i").collect()]
+
+    assert passing({"GreaterThan": {"path": "k", "value": 1}}) == [3, 4]
+    assert passing({"Equals": {"path": "k", "value": 5}}) == [3] and passing({"Equals": {"path": "k", "value": 5.0}}) == [4]
+    assert passing({"Equals": {"path": "k", "value": "5"}}) == [0] and passing({"Equals": {"path": "k", "value": None}}) == [1] and passing({"Equals": {"path": "k", "value": True}}) == [9]
+    assert passing({"Equals": {"path": "k", "value": {"a": [2], "b": 1}}}) == [8]
+    assert passing({"Exists": {"path": "k"}}) == list(range(10)) and passing({"Exists": {"path": "k", "should_exist": False}}) == [10, 11, 12, 13]
+    assert passing({"Contains": {"path": "k", "item": "x"}}) == [2, 5] and passing({"Contains": {"path": "k", "item": 1}}) == [5]
+    assert passing({"Regex": {"path": "k", "pattern": "5"}}) == [0]
+    assert passing({"NonEmpty": {"path": "k"}}) == [0, 1, 2, 3, 4, 5, 8, 9]
+    assert passing({"And": []}) == list(range(14)) and passing({"Or": []}) == []
+    rules = {"r": ("Error", {"And": [{"Exists": {"path": "k"}}, {"Or": [{"Equals": {"path": "k", "value": 5}}, {"Regex": {"path": "k", "pattern": "5"}}]}, {"Exists": {"path": "z"}}]})}
+    found = {r.i: r for r in compliance.evaluate_rules(frame, "d", rules, "i", evidence=True).collect()}
+    assert [tuple(e) for e in found[3].evidence] == [("k", "5"), ("k", "5"), ("z", None)]
+    assert [tuple(e) for e in found[9].evidence] == [("k", "true")] * 3 and [tuple(e) for e in found[13].evidence] == [("k", None)]
+    assert found[3].message == "Rule 'r' failed (severity: Error); evidence: k=5, k=5, z"
+    assert one(spark, models.json_risk(F.lit('{"a":"5","b":0.25,"c":null}'), ["a", "b", "c"])) == (0.25,)
+
+
 def test_compliance(spark):
     doc = '{"patient":{"id":"p","name":{"given":["A"]}},"age":40,"tags":["phi"],"note":"SSN 123-45-6789"}'
     frame = spark.createDataFrame([(doc,), ("{}",), (None,)], "d string")

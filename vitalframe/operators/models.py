@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vitalframe.functions.exprs import clamp, col, safe_div
+from vitalframe.operators.compliance import JsonValue
 
 
 def linear_score(features, weights: list[float], bias: float) -> Column:
@@ -29,9 +30,9 @@ def contributions(frame: DataFrame, features: str, names: list[str], weights: li
 
 
 def json_risk(document, features: list[str]) -> Column:
-    """Mean of the named numbers that the JSON text has, in 0 to 1; 0 without any."""
-    texts = [F.get_json_object(col(document), f"$.{f}") for f in features]
-    numbers = F.array_compact(F.array(*[F.when(t.rlike(r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$"), t.try_cast("double")) for t in texts]))
+    """Mean of the named numbers that the JSON text has, in 0 to 1; 0 without any. A text of digits is no number."""
+    parsed = F.try_parse_json(col(document))
+    numbers = F.array_compact(F.array(*[JsonValue.at(parsed, f).number for f in features]))
     return clamp(safe_div(F.aggregate(numbers, F.lit(0.0), lambda s, v: s + v), F.size(numbers), 0.0), 0.0, 1.0)
 
 

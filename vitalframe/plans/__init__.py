@@ -1,3 +1,3 @@
 """Registered queries: importing this package fills the registry."""
 
-from vitalframe.plans import clinical, formats, modelling, protection, statistics, timelines  # noqa: F401
+from vitalframe.plans import clinical, formats, modelling, protection, rules, statistics, timelines  # noqa: F401

@@ -77,7 +77,7 @@ _RULES = {
     "low_or_seven": ("Warning", {"Or": [{"LessThan": {"path": "k", "value": 20}}, {"Regex": {"path": "k", "pattern": "7"}}]}), "not_42": ("Warning", {"Not": {"Equals": {"path": "k", "value": 42}}}),
 }
 _K = "try_cast(json_extract_string(props, '$.k') as double)"
-_CHECKS = {"k_over_50": ("Error", f"coalesce({_K} > 50, false)"), "k_exists": ("Info", f"{_K} is not null"), "low_or_seven": ("Warning", f"coalesce({_K} < 20, false) or contains(json_extract_string(props, '$.k'), '7')"), "not_42": ("Warning", f"coalesce({_K} <> 42, true)")}
+_CHECKS = {"k_over_50": ("Error", f"coalesce({_K} > 50, false)"), "k_exists": ("Info", f"{_K} is not null"), "low_or_seven": ("Warning", f"coalesce({_K} < 20, false) or coalesce(json_type(props, '$.k') = 'VARCHAR' and contains(json_extract_string(props, '$.k'), '7'), false)"), "not_42": ("Warning", f"coalesce({_K} <> 42, true)")}
 _RESULTS = " union all ".join(f"select event_id, '{k}' as rule, '{s}' as severity, {c} as passed from events" for k, (s, c) in _CHECKS.items())
 
 
