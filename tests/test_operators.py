@@ -3,8 +3,10 @@
 import math
 import struct
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from vitalframe.functions import medical, units
 from vitalframe.operators import compliance, guard, linking, models, privacy, sanitize, series, stats, survival, validate
@@ -174,6 +176,45 @@ def test_guard(spark, tmp_path):
     guard.guarded_write(guard.derive(frame, "h", compliance.hashed("name"), "name", deidentified="Anonymized").select("h"), str(tmp_path / "y"))
 
 
+def test_guard_follows_the_plan(spark, tmp_path):
+    """No expression over PHI gets past the guard, whatever makes it."""
+    people = guard.labelled(spark.createDataFrame([(1, "a", "x", 2.0), (2, "b", "y", 3.0)], "id int, name string, code string, size double"), name="PHI", code="Pseudonymized")
+    other = spark.createDataFrame([(1, "m")], "id int, note string")
+    people.createOrReplaceTempView("guarded_people")
+
+    @F.pandas_udf("string")
+    def shout(s: pd.Series) -> pd.Series:
+        return s.str.upper()
+
+    def through(batches):
+        yield from batches
+
+    leaks = [
+        people.select(F.upper("name")), people.select(F.upper("name").alias("name")), people.withColumn("name", F.concat("name", F.lit("!"))), people.withColumnRenamed("name", "n").select("n"),
+        people.select(F.struct("id", F.struct("name")).alias("s")).select("s.*"), people.select(F.length("name").alias("n")), people.groupBy("id").agg(F.max("name").alias("m")), people.groupBy("name").count(),
+        people.groupBy(F.substring("name", 1, 1).alias("initial")).agg(F.sum("size").alias("s")), people.join(other, "id").select(F.coalesce("note", "name").alias("c")), people.select("id", F.explode(F.split("name", "")).alias("e")),
+        other.select("note").union(people.select("name")), people.select(shout("name").alias("u")), people.select("name", "id").mapInPandas(through, "q string, id int"), people.select(F.row_number().over(Window.orderBy("name")).alias("r")),
+        people.select(F.lead("name").over(Window.orderBy("id")).alias("r")), spark.sql("select (select max(name) from guarded_people) as m, id from guarded_people"), people.alias("a").join(people.alias("b"), "id").select("a.name"), people.groupBy().pivot("id", [1, 2]).agg(F.first("name")),
+        people.select("id", "name").unpivot("id", ["name"], "k", "v"), people.groupBy("id").applyInPandas(lambda f: f[["id", "name"]], "id int, anything string"), people.distinct().filter("id > 1").orderBy("id").limit(1), people.select(F.when(F.col("name") == "a", 1).otherwise(0).alias("is_a")),
+    ]
+    for i, frame in enumerate(leaks):
+        assert guard.violations(frame, "print"), i
+        with pytest.raises(PermissionError):
+            guard.guarded_write(frame, str(tmp_path / f"leak{i}"))
+    safe = [people.select("id", "size"), people.groupBy("id").agg(F.sum("size").alias("s")), people.join(other, "id").select("id", "note"), people.filter("name = 'a'").select("id"), people.groupBy().count(), people.select("id", F.lit("x").alias("name"))]
+    for i, frame in enumerate(safe):
+        assert guard.violations(frame, "file") == [], i
+    assert guard.labels(people.select(F.upper("code").alias("c"), F.concat("code", F.col("id").cast("string")).alias("d"))) == {"c": "Pseudonymized", "d": "Pseudonymized"}
+    hashed = guard.derive(people, "h", compliance.hashed("name"), "name", deidentified="Anonymized")
+    assert guard.violations(hashed.select("id", F.upper("h").alias("u")), "file") == [] and guard.label_of(hashed.withColumn("h", F.concat("h", "name")), "h") == "PHI"
+    mailed = guard.labelled(people.select("id", "name"), name="Authorized:log")
+    assert [s for s in guard.SINKS if not guard.violations(mailed, s)] == ["log"]
+    assert guard.joined("Authorized:log", "Authorized:print") == "PHI" and guard.joined("Authorized", "Pseudonymized") == "PHI" and guard.joined("Authorized:log", "Anonymized") == "Authorized:log"
+    path = str(tmp_path / "kept")
+    people.write.parquet(path)
+    assert guard.label_of(spark.read.parquet(path).select(F.lower("name").alias("n")), "n") == "PHI"
+
+
 def test_models(spark):
     rows = spark.createDataFrame([(True, 0.9), (True, 0.8), (False, 0.6), (True, 0.4), (False, 0.2)], "y boolean, s double")
     r = models.confusion(rows, F.col("y"), "s").first()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from vitalframe.operators import compliance, guard, privacy
 from vitalframe.plans.frames import WITH, patients, table, updates
@@ -127,9 +128,12 @@ def retention_range_join(spark, d):
     return compliance.retention_join(table(spark, d, "events").select("event_id", "value"), "value", policies).select("event_id", F.coalesce("action", F.lit("None")).alias("action"))
 
 
-@query("privacy_guard", WITH + "select id, '[REDACTED]' as name from patients")
+@query("privacy_guard", WITH + "select id, '[REDACTED]' as name, length(id)::int as n, count(*) over (partition by length(id)) as same from patients")
 def privacy_guard(spark, d):
     people = guard.labelled(patients(spark, d), family_name="PHI", given_name="PHI", birth_date="PHI")
     safe = guard.derive(people, "name", compliance.redacted("family_name"), "family_name", deidentified="Anonymized")
-    bad = guard.violations(safe, "file")
-    return safe.drop(*bad)
+    # Columns made from labelled ones, under new names, by an expression, a window and a join: the guard finds them all.
+    named = safe.groupBy("id").agg(F.max(F.upper("family_name")).alias("shout"))
+    made = safe.withColumn("born", F.substring("birth_date", 1, 4)).withColumn("n", F.length("id")).withColumn("same", F.count(F.lit(1)).over(Window.partitionBy("n")))
+    made = made.join(named, "id").withColumn("pair", F.struct("n", "given_name"))
+    return made.drop(*guard.violations(made, "file"))
