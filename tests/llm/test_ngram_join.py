@@ -44,7 +44,7 @@ def edited(rnd, words, rate, vocabulary):
     return [rnd.choice(vocabulary) if rnd.random() < rate else w for w in words]
 
 
-@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("seed", range(2))
 def test_clusters_around_the_threshold(spark, seed):
     """Loose copies of a few texts, edited with few words, so that edits are shared, chains form and no level of pivots decides alone."""
     rnd = random.Random(seed)

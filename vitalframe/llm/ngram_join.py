@@ -12,7 +12,7 @@ exact; those within R are links. Then |d(x, p) - d(y, p)| <= R and size(x) >= 0.
 each pivot's region falls into cells one window wide in both, and every set also goes into the next cell up (the
 boundary). A cell whose sets are one component already is done; the others are regions of the next level with a
 pivot of their own. After LEVELS of that, pairs of different components in one cell are compared, after a bound on
-their intersection from counts of 64 parts of the shingles (again windows of the metric: to 64 fixed pivots at once).
+their intersection from counts of PARTS parts of the shingles (again windows of the metric: to that many fixed pivots at once).
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from vitalframe.llm.near_dedup import picked
 from vitalframe.llm.words import WordHashes, shingles, slices, words
 
 #: Words of a shingle, levels of pivots, and parts of the shingles whose counts bound an intersection.
-WIDTH, LEVELS, PARTS = 3, 3, 64
+WIDTH, LEVELS, PARTS = 3, 3, 128
 #: A window is a little wider than R, against rounding; links themselves are decided in whole numbers.
 R, SLACK = 0.1, 1e-9
 
@@ -65,9 +65,9 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         found = [shingles(hashes.of(words(t)), WIDTH) for t in batch.column(1).to_pylist()]
         found = [f for f in found if len(f)]
-        parts = [np.bincount((f >> np.uint64(58)).astype(np.int64), minlength=PARTS).astype(np.int32).tobytes() for f in found]
+        parts = [np.bincount((f >> np.uint64(40)).astype(np.int64) % PARTS, minlength=PARTS).astype(np.int32) for f in found]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([_digest(f) for f in found], pa.int64()), pa.array([len(f) for f in found], pa.int64()), pa.array(parts, pa.binary()), pa.array([f.tobytes() for f in found], pa.binary())],
+            [pa.array([_digest(f) for f in found], pa.int64()), pa.array([len(f) for f in found], pa.int64()), pa.array(parts, pa.list_(pa.int32())), pa.array([f.tobytes() for f in found], pa.binary())],
             names=["node", "n", "parts", "members"],
         )
 
@@ -86,17 +86,9 @@ def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out, pa.int64())], names=["a", "b", "common"])
 
 
-def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs (a, b, x, y) whose counts of the parts leave room for a link."""
-    for batch in batches:
-        if batch.num_rows:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.int32).reshape(-1, PARTS).astype(np.int64) for c in ("x", "y"))
-            yield batch.select(["a", "b"]).filter(pa.array(linked(np.minimum(x, y).sum(axis=1), x.sum(axis=1), y.sum(axis=1))))
-
-
-def _beside(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
-    """pairs (a, b) with the column of both sets as x and y."""
-    of = lambda node, name: sets.select(F.col("node").alias(node), F.col(column).alias(name))
+def _beside(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs (a, b) with the members of both sets as x and y."""
+    of = lambda node, name: sets.select(F.col("node").alias(node), F.col("members").alias(name))
     return pairs.select("a", "b").join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y")
 
 
@@ -130,7 +122,7 @@ def links(sets: DataFrame, stages: list[str]) -> DataFrame:
         near = materialize(near, stages=stages)
         fresh = near.filter("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
         fresh = fresh if measured is None else fresh.join(measured, ["a", "b"], "left_anti")
-        new = materialize(_beside(fresh, sets, "members").mapInArrow(_common, "a long, b long, common long"), stages=stages)
+        new = materialize(_beside(fresh, sets).mapInArrow(_common, "a long, b long, common long"), stages=stages)
         measured = new if measured is None else measured.unionByName(new)
         size = sets.select("node", "n")
         sized = new.join(size.select(F.col("node").alias("a"), "n"), "a").join(size.select(F.col("node").alias("b"), F.col("n").alias("m")), "b")
@@ -148,14 +140,20 @@ def links(sets: DataFrame, stages: list[str]) -> DataFrame:
         regions = placed.select(F.xxhash64("pivot", "d", "s").alias("region"), "node", "n", "weight", "d", "s", "by_distance", "by_size")
 
     rows = materialize(_open(regions, components), stages=stages)
-    other = rows.select("region", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "component", "by_distance", "by_size")])
+    # Shingles that no other set in an open cell has are in none of the intersections still asked for. So I <= min(m, m2) for the
+    # rest m of a set, and as a link needs 19 I >= 9 (n + n2), each set has a largest size that a partner may have.
+    left = flat.join(rows.select("node").distinct(), "node", "left_semi")
+    shared = left.join(left.groupBy("s").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").select("s"), "s", "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("m"))
+    rows = rows.join(shared, "node").withColumn("most", F.expr("(19 * m) div 9 - n")).filter("10 * m >= 9 * n")
+    rows = materialize(rows.join(sets.select("node", "parts"), "node"), stages=stages)
+    other = rows.select("region", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "most", "component", "by_distance", "by_size", "parts")])
+    within = F.aggregate(F.zip_with("parts", "parts2", lambda x, y: F.least(x, y)), F.lit(0), lambda total, v: total + v)
     # A pair shares up to four cells and is taken from the upper one.
     upper = (F.col("d") == F.greatest("by_distance", "by_distance2")) & (F.col("s") == F.greatest("by_size", "by_size2"))
-    sizes = (10 * F.col("n") >= 9 * F.col("n2")) & (10 * F.col("n2") >= 9 * F.col("n"))
-    pairs = rows.join(other, "region").filter((F.col("component") < F.col("component2")) & upper & sizes)
+    sizes = (F.col("n2") <= F.col("most")) & (F.col("n") <= F.col("most2"))
+    pairs = rows.join(other, "region").filter((F.col("component") < F.col("component2")) & upper & sizes & linked(within, F.col("n"), F.col("n2")))
     pairs = pairs.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct().join(measured, ["a", "b"], "left_anti")
-    close = materialize(_beside(pairs, sets, "parts").mapInArrow(_possible, "a long, b long"), stages=stages)
-    last = _beside(close, sets, "members").mapInArrow(_common, "a long, b long, common long")
+    last = _beside(materialize(pairs, stages=stages), sets).mapInArrow(_common, "a long, b long, common long")
     size = sets.select("node", "n")
     last = last.join(size.select(F.col("node").alias("a"), "n"), "a").join(size.select(F.col("node").alias("b"), F.col("n").alias("m")), "b").filter(linked(F.col("common"), F.col("n"), F.col("m")))
     return found.unionByName(last.select("a", "b"))
@@ -180,7 +178,7 @@ def join_components(docs: DataFrame) -> DataFrame:
     classes = materialize(signed.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n")), stages=stages)
     left = materialize(classes.join(lone, "node", "left").filter("10 * (n - coalesce(lone, 0)) >= 9 * n").select("node", "rep"), stages=stages)
     texts = picked(docs, left.select(F.col("rep").alias("doc_id")).distinct(), "left_semi")
-    sets = texts.mapInArrow(_sets, "node long, n long, parts binary, members binary")
+    sets = texts.mapInArrow(_sets, "node long, n long, parts array<int>, members binary")
     sets = materialize(sets.join(left.select("node"), "node", "left_semi").dropDuplicates(["node"]), stages=stages)
 
     several = signed.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("x")).filter("b <> x").select("doc_id", "b")
