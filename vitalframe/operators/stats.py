@@ -7,9 +7,9 @@ from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from vitalframe.functions.exprs import col, safe_div
+from vitalframe.functions.shared import discard, written
 
 Z95 = 1.959963984540054
 
@@ -95,13 +95,16 @@ def linear_fit(frame: DataFrame, y: str, x: str, *by: str) -> DataFrame:
 
 
 def logistic_fit(frame: DataFrame, y: str, x: str, rate: float, steps: int) -> tuple[float, float]:
-    """(slope, intercept) after `steps` of full-batch gradient descent from 0: one aggregate job a step, nothing but two sums reaches the driver."""
-    rows = frame.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    """(slope, intercept) after `steps` of full-batch gradient descent from 0 over rows counted by (x, y) once: one aggregate job a step, nothing but two sums reaches the driver."""
+    rows = written(frame.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")))
     slope = intercept = 0.0
     for _ in range(steps):
         miss = 1 / (1 + F.exp(-(F.col("x") * slope + intercept))) - F.col("y")
-        gx, g = rows.agg(F.avg(miss * F.col("x")), F.avg(miss)).first()
-        slope, intercept = slope - rate * gx, intercept - rate * g
+        gx, g, n = rows.agg(F.sum(miss * F.col("x") * F.col("n")), F.sum(miss * F.col("n")), F.sum("n")).first()
+        if not n:
+            break
+        slope, intercept = slope - rate * gx / n, intercept - rate * g / n
+    discard(rows)
     return slope, intercept
 
 
@@ -144,40 +147,6 @@ def age_standardized_rate(rate, weight) -> Column:
     return safe_div(F.sum(col(rate) * col(weight)), F.sum(weight))
 
 
-def bootstrap_mean(frame: DataFrame, value: str, rounds: int, confidence: float, seed: int = 1) -> DataFrame:
-    """One row: bounds of the mean by a Poisson bootstrap.
-
-    Each row draws its count in every resample from a hash of (value, its number among equal values, round),
-    so a resample is a sum that combines before the shuffle.
-    """
-    keyed = frame.select(F.col(value).cast("double").alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    rows = keyed.select("v", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i")).select("v", "i", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("b"))
-    u = (F.pmod(F.xxhash64("v", "i", "b", F.lit(seed)), F.lit(1 << 40)) + 0.5) / (1 << 40)
-    limits, total = [], 0.0
-    for k in range(8):  # Poisson(1) distribution function
-        total += math.exp(-1) / math.factorial(k)
-        limits.append(total)
-    drawn = sum(((u > x).cast("int") for x in limits), F.lit(0))
-    means = rows.withColumn("c", drawn).groupBy("b").agg(safe_div(F.sum(F.col("v") * F.col("c")), F.sum("c")).alias("m"))
-    tail = (1 - confidence) / 2
-    return means.agg(F.percentile("m", F.lit(tail)).alias("low"), F.percentile("m", F.lit(1 - tail)).alias("high"))
-
-
-def permutation_p(frame: DataFrame, value: str, group: str, a, b, rounds: int, seed: int = 1) -> DataFrame:
-    """One row: share of label shuffles whose difference of means is at least the seen one, with add-one smoothing.
-
-    In each round the na rows with the smallest keyed hash take label a, as a window over the round's rows.
-    """
-    rows = frame.filter(F.col(group).isin(a, b)).select(F.col(value).cast("double").alias("v"), (F.col(group) == a).alias("is_a"), F.monotonically_increasing_id().alias("i"))
-    seen = rows.agg(F.sum(F.col("is_a").cast("long")).alias("na"), F.avg(F.when(F.col("is_a"), F.col("v"))).alias("ma"), F.avg(F.when(~F.col("is_a"), F.col("v"))).alias("mb"))
-    spread = rows.select("v", "i", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"))
-    rank = F.row_number().over(Window.partitionBy("round").orderBy(F.xxhash64("i", "round", F.lit(seed)), "i"))
-    drawn = spread.withColumn("r", rank).crossJoin(F.broadcast(seen))
-    side = F.col("r") <= F.col("na")
-    each = drawn.groupBy("round").agg(F.abs(F.avg(F.when(side, F.col("v"))) - F.avg(F.when(~side, F.col("v")))).alias("d"), F.first(F.abs(F.col("ma") - F.col("mb"))).alias("seen"))
-    return each.agg(((F.sum((F.col("d") >= F.col("seen")).cast("long")) + 1) / (F.lit(rounds) + 1)).alias("p"))
-
-
 def power_two_sample(effect: float, n: int, alpha: float) -> float:
     """Power of a two-sided test with n rows a group, by the normal approximation; 0 for invalid input."""
     if n < 2 or not 0 < alpha < 1:

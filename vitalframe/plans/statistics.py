@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vitalframe.functions import medical
-from vitalframe.operators import stats
+from vitalframe.operators import resampling, stats
 from vitalframe.plans.frames import WITH, observations, table
 from vitalframe.plans.registry import query
 
@@ -124,11 +124,24 @@ def sir_model(spark, d):
     return rounded(p.select("k", F.posexplode(path).alias("step", "x")).select("k", "step", "x.s", "x.i", "x.r"))
 
 
+def _interval(spark, d, statistic):
+    """Bounds for each type of event."""
+    rows = table(spark, d, "events")
+    kinds = [r[0] for r in rows.select("event_type").distinct().orderBy("event_type").collect()]
+    found = [(k, *resampling.bootstrap_ci(rows.filter(F.col("event_type") == k), "value", statistic, 200, 0.95)) for k in kinds]
+    return spark.createDataFrame(found, "event_type string, low double, high double")
+
+
 @query("bootstrap_mean")
 def bootstrap_mean(spark, d):
-    return stats.bootstrap_mean(table(spark, d, "events").filter("event_type = 'view'"), "value", 100, 0.95)
+    return _interval(spark, d, "mean")
+
+
+@query("bootstrap_median")
+def bootstrap_median(spark, d):
+    return _interval(spark, d, "median")
 
 
 @query("permutation_test")
 def permutation_test(spark, d):
-    return stats.permutation_p(table(spark, d, "events"), "value", "event_type", "view", "click", 50)
+    return resampling.permutation_p(table(spark, d, "events"), "value", "event_type", "view", "click", 200)
