@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vitalframe.functions import medical, units
-from vitalframe.operators import compliance, guard, linking, models, privacy, sanitize, series, stats, survival, validate
+from vitalframe.operators import compliance, guard, isotonic, linking, models, privacy, sanitize, series, stats, survival, validate
 from vitalframe.operators.query import Predicate, Query
 from vitalframe.sources import genomics, hl7, imaging, ndjson
 from vitalframe.streaming import live
@@ -222,7 +222,7 @@ def test_models(spark):
     assert round(models.auc_rank(rows, F.col("y"), "s").first().auc, 9) == round(5 / 6, 9)
     assert models.auc_rank(rows.filter("y"), F.col("y"), "s").first().auc == 0.5 and models.auc_rank(rows.limit(0), F.col("y"), "s").first().auc == 0
     assert round(models.brier(spark.createDataFrame([(True, 0.9), (False, 0.2), (True, 0.4)], "y boolean, s double"), F.col("y"), "s").first().brier, 9) == round(0.41 / 3, 9)
-    steps = models.isotonic_fit(spark.createDataFrame([(False, 0.1), (True, 0.2), (False, 0.3), (True, 0.9)], "y boolean, s double"), F.col("y"), "s").orderBy("low").collect()
+    steps = isotonic.isotonic_fit(spark.createDataFrame([(False, 0.1), (True, 0.2), (False, 0.3), (True, 0.9)], "y boolean, s double"), F.col("y"), "s").orderBy("low").select("low", "value").collect()
     assert [tuple(r) for r in steps] == [(0.1, 0.0), (0.2, 0.5), (0.9, 1.0)]
     assert one(spark, models.json_risk(F.lit('{"age":40,"bp":120}'), ["age", "bp"]), models.json_risk(F.lit("{}"), ["age"]), models.linear_score(F.array(F.lit(0.5)), [0.5, 9.0], 0.1)) == (1.0, 0.0, 0.35)
     registry = models.ModelRegistry()

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vitalframe.functions.exprs import clamp, col, safe_div
+from vitalframe.functions.shared import discard, written
 from vitalframe.operators.compliance import JsonValue
 
 
@@ -93,11 +94,12 @@ def auc_of_points(points: DataFrame) -> DataFrame:
 def auc_rank(frame: DataFrame, label: Column, score: str, buckets: int = 32) -> DataFrame:
     """One row: the rank statistic with average ranks for ties; 0.5 with one class only, 0 without rows.
 
-    Rows are counted by distinct score, these are cut into buckets by approximate quantiles (at most
+    Rows without a score, or with NaN, are left out. Rows are counted by distinct score, these are cut into buckets by approximate quantiles (at most
     `buckets` numbers on the driver), and the rows before a score are those of lower buckets plus a
     running count inside its own, so no window holds all scores.
     """
-    cells = frame.filter(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("s")).agg(F.count(F.lit(1)).alias("n"), F.sum(label.cast("long")).alias("p"))
+    cells = frame.filter(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double"))).groupBy(F.col(score).cast("double").alias("s")).agg(F.count(F.lit(1)).alias("n"), F.sum(label.cast("long")).alias("p"))
+    cells = written(cells)  # read three times
     edges = sorted(set(cells.approxQuantile("s", [i / buckets for i in range(1, buckets)], 0.01)))
     bucket = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col("s"))) if edges else F.lit(0)
     cells = cells.withColumn("b", bucket)
@@ -139,8 +141,8 @@ def group_bias(frame: DataFrame, score: str, group: str) -> DataFrame:
 
 
 def platt_fit(frame: DataFrame, label: Column, score: str, rate: float, steps: int, start: tuple[float, float] = (0.0, 0.0), smooth: bool = True) -> tuple[float, float]:
-    """(a, b) of 1 / (1 + exp(-(a s + b))) by gradient descent; one aggregate a step over rows counted by (score, label) first."""
-    cells = frame.groupBy(F.col(score).cast("double").alias("s"), label.alias("y")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    """(a, b) of 1 / (1 + exp(-(a s + b))) by gradient descent; one aggregate a step over rows counted by (score, label) first, which are written once."""
+    cells = written(frame.groupBy(F.col(score).cast("double").alias("s"), label.alias("y")).agg(F.count(F.lit(1)).cast("double").alias("n")))
     totals = cells.agg(F.sum(F.when(F.col("y"), F.col("n")).otherwise(0.0)), F.sum("n")).first()
     positive, every = totals[0] or 0.0, totals[1] or 0.0
     if not every:
@@ -154,37 +156,10 @@ def platt_fit(frame: DataFrame, label: Column, score: str, rate: float, steps: i
         a, b = a - rate * ga / every, b - rate * gb / every
         if max(abs(ga), abs(gb)) / every < 1e-8:
             break
+    discard(cells)
     return a, b
 
 
-def isotonic_blocks(cells: np.ndarray) -> np.ndarray:
-    """Pool adjacent violators over rows (score, weight, mean) sorted by score: rows (first score, weight, mean)."""
-    blocks: list[list[float]] = []
-    for s, w, m in cells:
-        blocks.append([s, w, m])
-        while len(blocks) > 1 and blocks[-2][2] >= blocks[-1][2]:
-            _, w2, m2 = blocks.pop()
-            blocks[-1][1:] = [blocks[-1][1] + w2, (blocks[-1][1] * blocks[-1][2] + w2 * m2) / (blocks[-1][1] + w2)]
-    return np.array(blocks).reshape(-1, 3)
-
-
-def isotonic_fit(frame: DataFrame, label: Column, score: str, digits: int = 4) -> DataFrame:
-    """(low, value): steps of the isotonic fit of label on score.
-
-    Scores are rounded to `digits` places and counted, which bounds what is pooled to 10**digits + 1 rows for scores in 0 to 1.
-    """
-    cells = frame.groupBy(F.round(F.col(score).cast("double"), digits).alias("s")).agg(F.count(F.lit(1)).cast("double").alias("w"), F.avg(label.cast("double")).alias("m"))
-
-    def pooled(frames):
-        import pandas as pd
-
-        rows = pd.concat(list(frames), ignore_index=True).sort_values("s").to_numpy(float)
-        found = isotonic_blocks(rows)
-        yield pd.DataFrame({"low": found[:, 0], "value": found[:, 2]})
-
-    return cells.coalesce(1).mapInPandas(pooled, "low double, value double")
-
-
 def quantize(x, scale: float) -> Column:
     """x / scale rounded half away from zero, in -127 to 127, as a byte."""
     return F.least(F.greatest(F.round(col(x) / scale), F.lit(-127.0)), F.lit(127.0)).cast("tinyint")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vitalframe.operators import models
+from vitalframe.operators import isotonic, models
 from vitalframe.plans.frames import WITH, scores, table
 from vitalframe.plans.registry import query
 from vitalframe.plans.statistics import rounded
@@ -119,6 +119,26 @@ def platt_scaling(spark, d):
     return spark.createDataFrame([models.platt_fit(scores(spark, d), _label(), "score", 0.5, 10)], "a double, b double")
 
 
-@query("isotonic")
-def isotonic(spark, d):
-    return models.isotonic_fit(scores(spark, d), _label(), "score")
+#: The fit by its minimax formula: the largest over starts of the smallest mean over ends.
+_ISOTONIC = WITH + """, c as (select score as s, count(*) as n, count(*) filter (where label) as k from scores group by score),
+ p as (select s, row_number() over (order by s) as i, sum(n) over (order by s) as n, sum(k) over (order by s) as k, n as n1, k as k1 from c),
+ m as (select a.i as j, b.i as e, (b.k - a.k + a.k1) / (b.n - a.n + a.n1) as mean from p a join p b on a.i <= b.i),
+ low as (select j, e, min(mean) over (partition by j order by e desc) as x from m),
+ fit as (select p.s, max(x) as v, p.n1, p.k1 from low join p on p.i = low.e group by p.s, p.n1, p.k1)
+"""
+
+
+@query("isotonic", _ISOTONIC + "select d.doc_id, round(v, 6) as calibrated from scores d join fit on fit.s = d.score")
+def isotonic_(spark, d):
+    rows = scores(spark, d)
+    return rounded(isotonic.isotonic_step(rows.select("doc_id", "score"), "score", isotonic.isotonic_fit(rows, _label(), "score")).select("doc_id", "calibrated"))
+
+
+@query("isotonic_interpolated", _ISOTONIC + """, t as (select s, v, sum(n1 * v - k1) over (order by s) - (n1 * v - k1) as gap from fit), b as (select s as low, v from t where abs(gap) < 1e-6), l as (select low, v, lead(low) over (order by low) as up, lead(v) over (order by low) as w from b),
+ x as (select doc_id, least(score * 1.07, 1) as q from scores), f as (select min(low) as first, max(low) as last from b)
+ select doc_id, round(case when q < first or q >= last then v else v + (q - low) / (up - low) * (w - v) end, 5) as calibrated
+ from x, f join l on (q >= low and (up is null or q < up)) or (q < first and low = first)""")
+def isotonic_interpolated(spark, d):
+    rows = scores(spark, d)
+    asked = rows.select("doc_id", F.least(F.col("score") * 1.07, F.lit(1.0)).alias("q"))
+    return rounded(isotonic.isotonic_interpolated(asked, "q", isotonic.isotonic_fit(rows, _label(), "score")).select("doc_id", "calibrated"), 5)
