@@ -1,16 +1,23 @@
-"""Language-model scores by a weighted backoff automaton over bigrams.
-
-States are words (and the start of a text). A known bigram (h, w) is an arc of weight
-log10((c(hw) - D) / c(h) + fail(h) p0(w)); every state has a failure arc of weight log10 fail(h), with
-fail(h) = D types(h) / c(h), to the one-word state, whose arcs weigh log10 p0(w). So the weights are those of
-absolute discounting with interpolation and sum to one over the words. A text is read once from left to
-right: the state is the word before, and an arc or the failure path is taken for each token.
-
-The model is never whole in one place. Documents are dealt into blocks. A block asks for the counts of
-its own distinct words and bigrams; the asked keys, with the block's own training counts, meet by key,
-are added up over all blocks, and the totals go back in the order asked. Whatever the hot word, a block
-asks once for it. The bigrams after a word meet in one part, which also counts their types; those after
-the few most frequent words are dealt over several.
+"""Language-model scores by a weighted backoff automaton over trigrams.
+
+States are pairs of words, words, and a root; a text starts in the state of its start. A known trigram is an arc of a pair's
+state, a known bigram one of a word's, and every word one of the root; each leads to the state of the longest known end of what
+was read. Every state has a failure arc to the state of its last word, or to the root. Weights are log10 probabilities of absolute
+discounting with interpolation: with p(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)),
+
+    p(w | v)    = max(c(vw) - D, 0) / c(v) + f(v) p(w),           f(v)  = D types(v) / c(v)
+    p(w | u, v) = (c(uvw) - D) / c(uv) + f(uv) p(w | v)            if c(uvw) >= 2, else f(uv) p(w | v)
+
+where f(uv) is what the arcs of uv leave, so that all sums are one. Trigrams seen once are no arcs. A text is read once from left to right:
+an arc is taken, or the failure arc and then another one, and the log-probabilities add up. The long texts of a block are read
+in pieces side by side, each from the state that the two words before it lead to.
+
+The model is never whole in one place. Documents are dealt into blocks of about BLOCK_BYTES. A block asks for the counts of
+its own distinct words and bigrams; the asked keys, with the block's own training counts, meet by key, are added up over
+all blocks, and the totals go back in the order asked. Then it asks for its trigrams whose two bigrams occur twice at least. The
+answers are the block's part of the automaton. Whatever the hot word, a block asks once for it; what follows a frequent word or pair
+is dealt over several parts. A message holds a key at least, so their number grows no faster than the input.
+Keys are 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -20,19 +27,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitalframe.llm.common import id_remainder
 from vitalframe.llm.words import WordHashes, mixed, words
 
-#: Documents of a block, blocks per part of the keys, discount, and the constants of the one-word base.
-BLOCK_DOCS, BLOCKS_PER_PART, DISCOUNT, ADD = 2048, 4, 0.75, 0.1
+#: Bytes of text of a block, discount, the constant of the one-word base, and the least count of a trigram's arc.
+BLOCK_BYTES, DISCOUNT, ADD, LEAST = 20 << 20, 0.75, 0.1, 2
 #: About so many documents are looked at for frequent words; a word with this share of them is dealt over SPREAD parts; most such words.
 SAMPLE_DOCS, HOT_SHARE, SPREAD, MOST_HOT = 2000, 0.001, 16, 512
+#: A pair that occurs so often is dealt over SPREAD parts. Words of a piece that is read beside others.
+HOT_PAIR, PIECE = 200_000, 1024
 END, START = np.uint64(1), np.uint64(2)
-_WORD, _PAIR = 0, 1
+_WORD, _PAIR, _TRIPLE, _SUMS = 0, 1, 2, 3
 _FULL = np.uint64(0xFFFFFFFF)
+_K = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _pack(numbers: np.ndarray) -> bytes:
@@ -51,63 +64,123 @@ def _unpack(data: bytes, n: int) -> np.ndarray:
 
 
 class Block:
-    """The tokens of a block of documents, its distinct words and bigrams, and the order in which it asks for them."""
-
-    def __init__(self, frame: pd.DataFrame, parts: int, hot: np.ndarray):
-        hashes = WordHashes()
-        tokens = [np.append(hashes.of(words(t)), END) for t in frame["text"]]
-        self.sizes = np.array([len(t) for t in tokens], np.int64)
-        training = np.repeat(frame["training"].to_numpy(bool), self.sizes)
-        w = np.concatenate(tokens)
-        h = np.concatenate([[START], w[:-1]])
-        h[np.cumsum(self.sizes)[:-1]] = START
-        self.words, self.word_at = np.unique(np.append(w, START), return_inverse=True)
-        self.word_at = self.word_at[:-1]
-        starts = np.searchsorted(self.words, START)
-        self.word_counts = np.bincount(self.word_at[training], minlength=len(self.words)).astype(np.uint32)
-        self.word_counts[starts] = int(frame["training"].sum())
-        pairs, first, self.pair_at = np.unique(mixed(h * np.uint64(0x9E3779B97F4A7C15) + w), return_index=True, return_inverse=True)
-        counts = np.bincount(self.pair_at[training], minlength=len(pairs)).astype(np.uint32)
-        self.pair_h, self.pair_w = h[first], w[first]
-        self.asked_pairs = len(pairs)
-        # A frequent word is asked of all its parts, so that its types can be added up.
-        extra = np.repeat(hot, SPREAD)
-        place = np.tile(np.arange(SPREAD, dtype=np.uint64), len(hot))
-        all_h = np.concatenate([self.pair_h, extra])
-        part = all_h % np.uint64(parts)
-        is_hot = np.isin(self.pair_h, hot)
-        part[: len(pairs)][is_hot] = (self.pair_h[is_hot] + mixed(self.pair_w[is_hot]) % np.uint64(SPREAD)) % np.uint64(parts)
-        part[len(pairs) :] = (extra + place) % np.uint64(parts)
-        self.pair_order = np.lexsort((np.concatenate([pairs, np.zeros(len(extra), np.uint64)]), all_h, part))
-        self.all_h, self.part = all_h[self.pair_order], part[self.pair_order]
-        self.all_pairs = np.concatenate([pairs, np.zeros(len(extra), np.uint64)])[self.pair_order]
-        self.all_counts = np.concatenate([counts, np.zeros(len(extra), np.uint32)])[self.pair_order]
-        self.word_part = self.words % np.uint64(parts)
-        self.word_order = np.lexsort((self.words, self.word_part))
-
-    def pair_slices(self, parts: int) -> list[tuple[slice, np.ndarray, np.ndarray]]:
-        """For each part: its place in the asked bigrams, the distinct h there and how many bigrams each has."""
-        bounds = np.searchsorted(self.part, np.arange(parts + 1, dtype=np.uint64))
+    """The tokens of a block of documents as local ids (0 the start, 1 the end), and its distinct bigrams."""
+
+    def __init__(self, texts: list[str], training: np.ndarray):
+        flat = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.large_string())))
+        full = pc.greater(pc.binary_length(flat.flatten()), 0)
+        found = flat.flatten().filter(full).dictionary_encode()
+        upto = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])
+        lengths = np.diff(upto[np.concatenate([[0], np.cumsum(pc.list_value_length(flat).to_numpy(zero_copy_only=False))])])
+        hashes = [xxhash.xxh3_64_intdigest(x) for x in found.dictionary.cast(pa.large_binary()).to_pylist()]
+        self.hash = np.concatenate([[START, END], np.array(hashes, np.uint64)])
+        self.sizes = lengths + 1
+        self.last = np.cumsum(self.sizes) - 1
+        self.first = self.last - lengths
+        self.w = np.ones(int(self.sizes.sum()), np.int32)
+        inside = np.ones(len(self.w), bool)
+        inside[self.last] = False
+        self.w[inside] = found.indices.to_numpy(zero_copy_only=False) + 2
+        self.training = np.repeat(training, self.sizes)
+        self.training_texts = int(training.sum())
+        h = np.empty_like(self.w)
+        h[1:] = self.w[:-1]
+        h[self.first] = 0
+        self.width = np.int64(len(self.hash))
+        self.pair_key, pair_at = np.unique(h * self.width + self.w, return_inverse=True)
+        self.pair_at = pair_at.astype(np.int32)
+        self.pair_h, self.pair_w = (self.pair_key // self.width).astype(np.int32), (self.pair_key % self.width).astype(np.int32)
+        self.pair_hash = mixed(self.hash[self.pair_h] * _K + self.hash[self.pair_w])
+
+    def asked_words(self, parts: int) -> Asked:
+        counts = np.bincount(self.w[self.training], minlength=len(self.hash))
+        counts[0] = self.training_texts
+        return Asked(_WORD, self.hash, np.zeros(len(self.hash), np.uint64), counts, parts)
+
+    def asked_pairs(self, parts: int, hot: np.ndarray) -> Asked:
+        counts = np.bincount(self.pair_at[self.training], minlength=len(self.pair_key))
+        return Asked(_PAIR, self.hash[self.pair_h], self.pair_hash, counts, parts, hot, self.hash[self.pair_w])
+
+    def triples(self, pair_totals: np.ndarray) -> None:
+        """Find the distinct trigrams (pair before, word) whose two bigrams occur LEAST times at least."""
+        often = pair_totals >= LEAST
+        at = np.flatnonzero(often[self.pair_at])
+        start = np.zeros(len(self.w), bool)
+        start[self.first] = True
+        at = at[~start[at]]
+        at = at[often[self.pair_at[at - 1]]]
+        self.triple_key, place = np.unique(self.pair_at[at - 1] * self.width + self.w[at], return_inverse=True)
+        self.triple_counts = np.bincount(place[self.training[at]], minlength=len(self.triple_key))
+        self.triple_pair, self.triple_w = self.triple_key // self.width, (self.triple_key % self.width).astype(np.int32)
+
+    def asked_triples(self, parts: int, pair_totals: np.ndarray) -> Asked:
+        """The trigrams, and an empty item for each pair that none of them begins with, as its failure arc is needed all the same."""
+        alone = np.setdiff1d(np.flatnonzero((pair_totals >= LEAST) & (self.pair_w != 1)), self.triple_pair)
+        pair = np.concatenate([self.triple_pair, alone])
+        before, word = self.pair_hash[pair], np.concatenate([self.hash[self.triple_w], np.zeros(len(alone), np.uint64)])
+        item = np.where(word > 0, mixed(before * _K + word), np.uint64(0))
+        hot = np.unique(before[pair_totals[pair] >= HOT_PAIR])
+        return Asked(_TRIPLE, before, item, np.concatenate([self.triple_counts, np.zeros(len(alone), np.int64)]), parts, hot, word)
+
+
+class Asked:
+    """What a block asks for: items (hashes) of groups (hashes), in the order in which they are sent, with the block's own counts.
+
+    A group goes to one part; the items of a hot one are dealt over SPREAD parts, which are all asked for it, so that what they say of the group can be added up.
+    """
+
+    def __init__(self, kind: int, group: np.ndarray, item: np.ndarray, counts: np.ndarray, parts: int, hot: np.ndarray | None = None, by: np.ndarray | None = None):
+        self.kind, self.n = kind, len(group)
+        part = group % np.uint64(parts)
+        if hot is not None and len(hot):
+            is_hot = np.isin(group, hot)
+            hot = np.intersect1d(hot, group[is_hot])
+            part[is_hot] = (group[is_hot] + mixed(by[is_hot]) % np.uint64(SPREAD)) % np.uint64(parts)
+            extra = np.repeat(hot, SPREAD)
+            part = np.concatenate([part, (extra + np.tile(np.arange(SPREAD, dtype=np.uint64), len(hot))) % np.uint64(parts)])
+            group, item, counts = np.concatenate([group, extra]), np.concatenate([item, np.zeros(len(extra), np.uint64)]), np.concatenate([counts, np.zeros(len(extra), counts.dtype)])
+        self.order = np.lexsort((item, group, part))
+        self.part, self.group, self.item, self.counts = part[self.order], group[self.order], item[self.order], counts[self.order]
+
+    def messages(self) -> Iterator[tuple[int, slice, np.ndarray, np.ndarray]]:
+        """For each part that is asked: its number and slice, the distinct groups there and how many items each has."""
+        if not len(self.part):
+            return
+        starts = np.flatnonzero(np.concatenate([[True], self.part[1:] != self.part[:-1]]))
+        for a, b in zip(starts, np.append(starts[1:], len(self.part)), strict=True):
+            groups, first = np.unique(self.group[a:b], return_index=True)
+            yield int(self.part[a]), slice(a, b), groups, np.diff(np.append(first, b - a))
+
+    def rows(self, block: int) -> list[tuple]:
         out = []
-        for a, b in zip(bounds, bounds[1:], strict=False):
-            h, first = np.unique(self.all_h[a:b], return_index=True)
-            out.append((slice(a, b), h, np.diff(np.append(first, b - a)).astype(np.uint32)))
+        for part, s, groups, sizes in self.messages():
+            plain = self.kind == _WORD  # a word is its own group
+            out.append((self.kind, part, block, groups.tobytes(), b"" if plain else _pack(sizes), b"" if plain else self.item[s].tobytes(), _pack(self.counts[s])))
         return out
 
-    def word_slices(self, parts: int) -> list[slice]:
-        bounds = np.searchsorted(self.word_part[self.word_order], np.arange(parts + 1, dtype=np.uint64))
-        return [slice(a, b) for a, b in zip(bounds, bounds[1:], strict=False)]
-
-
-def _ask(block: int, b: Block, parts: int) -> pd.DataFrame:
-    rows = []
-    for p, s in enumerate(b.word_slices(parts)):
-        mine = b.word_order[s]
-        rows.append((_WORD, p, block, b.words[mine].tobytes(), b"", b"", _pack(b.word_counts[mine])))
-    for p, (s, h, sizes) in enumerate(b.pair_slices(parts)):
-        if len(h):  # every part of the words is asked, as it tells its share of N and V
-            rows.append((_PAIR, p, block, h.tobytes(), _pack(sizes), b.all_pairs[s].tobytes(), _pack(b.all_counts[s])))
-    return pd.DataFrame(rows, columns=["kind", "part", "block", "keys", "sizes", "pairs", "counts"])
+    def told(self, told: dict[tuple[int, int], tuple[bytes, bytes, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Totals of the items, in the block's own order; and of the distinct groups their hashes, how many items they have in all and with how many occurrences."""
+        totals, groups_all, types, sums = np.zeros(len(self.order), np.uint64), [], [], []
+        for part, s, groups, _ in self.messages():
+            total, t, c = told[self.kind, part]
+            totals[s] = _unpack(total, s.stop - s.start)
+            if t:
+                groups_all.append(groups)
+                types.append(_unpack(t, len(groups)))
+                sums.append(_unpack(c, len(groups)) if c else np.zeros(len(groups), np.uint64))
+        back = np.empty(len(totals), np.uint64)
+        back[self.order] = totals
+        if not groups_all:
+            return back[: self.n], np.empty(0, np.uint64), np.empty(0), np.empty(0)
+        groups, at = np.unique(np.concatenate(groups_all), return_inverse=True)
+        add = lambda x: np.bincount(at, np.concatenate(x).astype(float), len(groups))
+        return back[: self.n], groups, add(types), add(sums)
+
+
+_ASKED = "kind int, part int, block int, keys binary, sizes binary, items binary, counts binary"
+_ASKED_NAMES = ["kind", "part", "block", "keys", "sizes", "items", "counts"]
+_TOLD = "kind int, part int, block int, totals binary, types binary, sums binary, tokens long, distinct long"
+_TOLD_NAMES = ["kind", "part", "block", "totals", "types", "sums", "tokens", "distinct"]
 
 
 def _joined(column: pd.Series) -> tuple[np.ndarray, np.ndarray]:
@@ -128,64 +201,123 @@ def _added(at: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
 
 
 def _totals(asked: pd.DataFrame) -> pd.DataFrame:
-    """Add up one part over all blocks that asked; answers keep each block's order."""
+    """Add up one part over all blocks that asked; answers keep each block's order. A part of words also tells its share of N and V."""
+    kind, part = int(asked["kind"].iloc[0]), int(asked["part"].iloc[0])
     keys, key_cuts = _joined(asked["keys"])
-    if asked["kind"].iloc[0] == _WORD:
+    if kind == _WORD:
         distinct, at = np.unique(keys, return_inverse=True)
-        counts = _numbers(asked["counts"], asked["keys"])
-        total = _added(at, counts, len(distinct))
+        total = _added(at, _numbers(asked["counts"], asked["keys"]), len(distinct))
         counted = total[distinct != START]
-        extra = np.array([counted.sum(dtype=np.int64), (counted > 0).sum()], np.int64).tobytes()
-        answers = [(_pack(x), extra) for x in np.split(total[at], key_cuts)]
-    else:
-        sizes, counts = _numbers(asked["sizes"], asked["keys"]), _numbers(asked["counts"], asked["pairs"])
-        pairs, count_cuts = _joined(asked["pairs"])
-        distinct_h, h_at = np.unique(keys, return_inverse=True)
-        # The bigram hash covers its first word, so equal hashes have one h; the placeholder 0 counts nothing.
-        distinct, first, at = np.unique(pairs, return_index=True, return_inverse=True)
-        total = _added(at, counts, len(distinct))
-        h_of_pair = np.repeat(h_at, sizes.astype(np.int64))[first]
-        types = np.bincount(h_of_pair[total > 0], minlength=len(distinct_h)).astype(np.uint32)
-        answers = [(_pack(x), _pack(t)) for x, t in zip(np.split(total[at], count_cuts), np.split(types[h_at], key_cuts), strict=True)]
-    return pd.DataFrame({"kind": asked["kind"], "part": asked["part"], "block": asked["block"], "totals": [a for a, _ in answers], "extra": [e for _, e in answers]})
-
-
-def _scored(frame: pd.DataFrame, b: Block, told: pd.DataFrame, parts: int) -> pd.DataFrame:
-    word_totals, pair_totals = np.zeros(len(b.words)), np.zeros(len(b.all_pairs))
-    types = np.zeros(len(b.words))
-    tokens = distinct = 0
-    word_slices, pair_slices = b.word_slices(parts), b.pair_slices(parts)
-    for kind, part, totals, extra in zip(told["kind"], told["part"], told["totals"], told["extra"], strict=True):
-        if kind == _WORD:
-            mine = b.word_order[word_slices[part]]
-            word_totals[mine] = _unpack(totals, len(mine))
-            n, v = np.frombuffer(extra, np.int64)
-            tokens, distinct = tokens + int(n), distinct + int(v)
-        else:
-            where, h, _ = pair_slices[part]
-            pair_totals[where] = _unpack(totals, where.stop - where.start)
-            at = np.searchsorted(b.words, h)
-            known = (at < len(b.words)) & (b.words[np.minimum(at, len(b.words) - 1)] == h)
-            np.add.at(types, at[known], _unpack(extra, len(h))[known])
-    back = np.empty(len(pair_totals))
-    back[b.pair_order] = pair_totals
-    pair_totals = back[: b.asked_pairs]
-
-    p0 = (word_totals + ADD) / (tokens + ADD * (distinct + 1))
-    one_word = np.log10(p0)
-    seen = np.maximum(word_totals, 1)
-    fail = np.where((word_totals > 0) & (types > 0), DISCOUNT * types / seen, 1.0)
-    h, w = np.searchsorted(b.words, b.pair_h), np.searchsorted(b.words, b.pair_w)
-    known = pair_totals > 0
-    arc = np.log10(np.where(known, np.maximum(pair_totals - DISCOUNT, 0) / seen[h] + fail[h] * p0[w], 1.0))
-    weight = np.where(known, arc, np.log10(fail[h]) + one_word[w])
-
-    first = np.cumsum(b.sizes) - b.sizes
+        rows = [(kind, part, b, _pack(x), b"", b"", None, None) for b, x in zip(asked["block"], np.split(total[at], key_cuts), strict=True)]
+        rows.append((_SUMS, part, -1, b"", b"", b"", int(counted.sum(dtype=np.uint64)), int((counted > 0).sum())))
+        return pd.DataFrame(rows, columns=_TOLD_NAMES)
+    sizes, counts = _numbers(asked["sizes"], asked["keys"]), _numbers(asked["counts"], asked["items"])
+    items, cuts = _joined(asked["items"])
+    groups, group_at = np.unique(keys, return_inverse=True)
+    # The hash of an item covers its group, so equal hashes have one group; the placeholder 0 counts nothing.
+    distinct, first, at = np.unique(items, return_index=True, return_inverse=True)
+    total = _added(at, counts, len(distinct))
+    owner = np.repeat(group_at, sizes.astype(np.int64))[first]
+    kept = total >= (1 if kind == _PAIR else LEAST)
+    types = np.bincount(owner[kept], minlength=len(groups))
+    # The occurrences of all bigrams after a word are those of the word.
+    sums = _added(owner[kept], total[kept], len(groups)) if kind == _TRIPLE else None
+    answers = zip(asked["block"], np.split(total[at], cuts), np.split(types[group_at], key_cuts), np.split(sums[group_at], key_cuts) if sums is not None else [None] * len(asked), strict=True)
+    return pd.DataFrame([(kind, part, b, _pack(x), _pack(t), b"" if c is None else _pack(c), None, None) for b, x, t, c in answers], columns=_TOLD_NAMES)
+
+
+def _by_part(told: pd.DataFrame) -> dict[tuple[int, int], tuple[bytes, bytes, bytes]]:
+    return {(k, p): (x, t, c) for k, p, x, t, c in zip(told["kind"], told["part"], told["totals"], told["types"], told["sums"], strict=True)}
+
+
+class Automaton:
+    """The part of the model that a block needs: arcs and failure arcs with their weights.
+
+    A state is 0 for the root, 1 + word, or 1 + words + pair. Arcs of a state are found by (state, word) in sorted keys.
+    """
+
+    def __init__(self, b: Block, words_: np.ndarray, pairs: np.ndarray, types: np.ndarray, triples: np.ndarray, arcs: np.ndarray, kept: np.ndarray, tokens: int, distinct: int):
+        """words_, pairs, triples: totals; types: bigrams after a word; arcs, kept: arcs after a pair and their occurrences."""
+        p0 = (words_ + ADD) / (tokens + ADD * (distinct + 1))
+        seen = np.maximum(words_, 1.0)
+        fail1 = np.where((words_ > 0) & (types > 0), DISCOUNT * types / seen, 1.0)
+        p1 = np.maximum(pairs - DISCOUNT, 0) * (pairs > 0) / seen[b.pair_h] + fail1[b.pair_h] * p0[b.pair_w]
+        fail2 = np.where(arcs > 0, 1 - (kept - DISCOUNT * arcs) / np.maximum(pairs, 1.0), 1.0)
+        self.width, self.words = b.width, len(b.hash)
+        self.root = np.log10(p0)
+        self.state_of_pair = np.where(arcs > 0, 1 + self.words + np.arange(len(pairs)), 1 + b.pair_w)
+        self.fail1, self.fail2, self.under = np.log10(fail1), np.log10(fail2), 1 + b.pair_w.astype(np.int64)
+        known = np.flatnonzero(pairs > 0)
+        self.key1, self.weight1, self.next1 = b.pair_key[known], np.log10(p1[known]), self.state_of_pair[known]
+        # The bigram at the end of each trigram, in the block's sorted keys.
+        end = np.searchsorted(b.pair_key, b.pair_w[b.triple_pair] * b.width + b.triple_w)
+        p2 = (triples - DISCOUNT) / np.maximum(pairs[b.triple_pair], 1.0) + fail2[b.triple_pair] * p1[end]
+        arc = np.flatnonzero(triples >= LEAST)
+        self.key2, self.weight2, self.next2 = b.triple_key[arc], np.log10(p2[arc]), self.state_of_pair[end[arc]]
+
+    @staticmethod
+    def _found(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(keys):
+            return np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
+        at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+        return at, keys[at] == asked
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states after reading a word in each of the states, and the weights on the way."""
+        weight, after = np.zeros(len(state)), np.empty(len(state), np.int64)
+        deep = np.flatnonzero(state > self.words)
+        rest = np.ones(len(state), bool)
+        if len(deep):
+            pair = state[deep] - 1 - self.words
+            at, hit = self._found(self.key2, pair * self.width + word[deep])
+            weight[deep] = np.where(hit, self.weight2[at] if len(self.key2) else 0.0, self.fail2[pair])
+            after[deep] = np.where(hit, self.next2[at] if len(self.key2) else 0, 0)
+            rest[deep[hit]] = False
+            state = state.copy()
+            state[deep[~hit]] = self.under[pair[~hit]]
+        left = np.flatnonzero(rest)
+        one = state[left] - 1
+        at, hit = self._found(self.key1, one * self.width + word[left])
+        root = self.fail1[one] + self.root[word[left]]
+        weight[left] += np.where(hit, self.weight1[at] if len(self.key1) else 0.0, root)
+        after[left] = np.where(hit, self.next1[at] if len(self.key1) else 0, 1 + word[left])
+        return after, weight
+
+    def read(self, b: Block) -> np.ndarray:
+        """The log-probability of each text of the block, read from left to right."""
+        pieces = -(-b.sizes // PIECE)
+        text = np.repeat(np.arange(len(b.sizes)), pieces)
+        number = np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        start = b.first[text] + number * PIECE
+        length = np.minimum(PIECE, b.last[text] + 1 - start)
+        state = np.where(number == 0, 1, self.state_of_pair[b.pair_at[start - 1]])  # 1: the start of a text
+        order = np.argsort(-length, kind="stable")
+        start, state, length = start[order], state[order], length[order]
+        sums = np.zeros(len(text))
+        active = np.searchsorted(-length, -np.arange(PIECE), "left")  # pieces that are longer than so many words
+        for t in range(int(length.max(initial=0))):
+            n = active[t]
+            state[:n], weight = self.step(state[:n], b.w[start[:n] + t])
+            sums[:n] += weight
+        return np.bincount(text[order], sums, len(b.sizes))
+
+
+def _scored(frame: pd.DataFrame, b: Block, told: pd.DataFrame, parts: int, hot: np.ndarray) -> pd.DataFrame:
+    answers = _by_part(told)
+    tokens, distinct = (int(told[c].iloc[0]) for c in ("tokens", "distinct"))
+    words_ = b.asked_words(parts).told(answers)[0].astype(float)
+    pairs, groups, types, _ = b.asked_pairs(parts, hot).told(answers)
+    pairs = pairs.astype(float)
+    place = lambda groups, values, of: np.where(np.isin(of, groups), values[np.minimum(np.searchsorted(groups, of), max(len(groups) - 1, 0))], 0.0) if len(groups) else np.zeros(len(of))
+    types = place(groups, types, b.hash)
+    b.triples(pairs)
+    triples, groups, arcs, kept = b.asked_triples(parts, pairs).told(answers)
+    triples = triples[: len(b.triple_key)]
+    model = Automaton(b, words_, pairs, types, triples.astype(float), place(groups, arcs, b.pair_hash), place(groups, kept, b.pair_hash), tokens, distinct)
     return pd.DataFrame({
         "doc_id": frame["doc_id"], "held_out": frame["held_out"], "n_tokens": b.sizes,
-        "n_known": np.add.reduceat((word_totals > 0)[b.word_at].astype(np.int64), first),
-        "train_tokens": np.full(len(frame), tokens, np.int64),
-        "base_score": np.add.reduceat(one_word[b.word_at], first), "score": np.add.reduceat(weight[b.pair_at], first),
+        "n_known": np.add.reduceat((words_ > 0)[b.w].astype(np.int64), b.first), "train_tokens": np.full(len(frame), tokens, np.int64),
+        "base_score": np.add.reduceat(model.root[b.w], b.first), "score": model.read(b),
     })
 
 
@@ -209,34 +341,50 @@ def frequent_words(docs: DataFrame) -> np.ndarray:
     return np.unique(np.append(keep.view(np.uint64), START))
 
 
-def score(docs: DataFrame, modulus: int = 10, held: int = 0, block_docs: int = BLOCK_DOCS) -> DataFrame:
+def score(docs: DataFrame, modulus: int = 10, held: int = 0, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per row of docs (doc_id long, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     The model learns from all rows whose crc32(doc_id as text) mod modulus is not `held`. Tokens are the
     words [^\\x20\\x09-\\x0D]+ with A-Z lower-cased, then one end. A null text counts as empty; ids are kept exactly; a null doc_id is not learned from
     and not held out; repeated rows are scored, and learned from, each time. Without training texts every
-    count is 0. Scores are base-10 logs. An empty table gives no rows.
+    count is 0. Scores are base-10 logs. Texts count whole at any length; a text longer than a block makes a longer one. Other columns are ignored.
+    An empty table gives no rows.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     remainder = id_remainder(F.col("doc_id"), modulus)
-    blocks = max(1, math.ceil(rows.count() / block_docs))
-    parts = max(1, math.ceil(blocks / BLOCKS_PER_PART))
+    size = rows.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
+    parts = blocks = max(1, math.ceil(size / block_bytes))
     hot = frequent_words(rows)
     dealt = rows.select(
         F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"), F.col("doc_id").cast("string").alias("doc_id"), "text",
         F.coalesce(remainder == held, F.lit(False)).alias("held_out"), F.coalesce(remainder != held, F.lit(False)).alias("training"),
     )
 
+    def of(frame: pd.DataFrame) -> Block:
+        return Block(frame["text"].tolist(), frame["training"].to_numpy(bool))
+
     def ask(frame: pd.DataFrame) -> pd.DataFrame:
-        return _ask(int(frame["block"].iloc[0]), Block(frame, parts, hot), parts)
+        b, block = of(frame), int(frame["block"].iloc[0])
+        return pd.DataFrame(b.asked_words(parts).rows(block) + b.asked_pairs(parts, hot).rows(block), columns=_ASKED_NAMES)
 
-    def answer(key: tuple, frame: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        return _scored(frame, Block(frame, parts, hot), told, parts)
+    def ask_triples(key: tuple, frame: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        b = of(frame)
+        pairs = b.asked_pairs(parts, hot).told(_by_part(told))[0]
+        b.triples(pairs)
+        return pd.DataFrame(b.asked_triples(parts, pairs).rows(int(key[0])), columns=_ASKED_NAMES)
 
-    asked = dealt.groupBy("block").applyInPandas(ask, "kind int, part int, block int, keys binary, sizes binary, pairs binary, counts binary")
-    told = asked.groupBy("kind", "part").applyInPandas(_totals, "kind int, part int, block int, totals binary, extra binary")
+    def answer(key: tuple, frame: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        return _scored(frame, of(frame), told, parts, hot)
+
+    by_block = dealt.groupBy("block")
+    told = by_block.applyInPandas(ask, _ASKED).groupBy("kind", "part").applyInPandas(_totals, _TOLD)
+    sums = told.filter(F.col("kind") == _SUMS).agg(F.sum("tokens").alias("tokens"), F.sum("distinct").alias("distinct"))
+    first = told.filter(F.col("kind") != _SUMS).drop("tokens", "distinct")
+    second = by_block.cogroup(first.filter(F.col("kind") == _PAIR).groupBy("block")).applyInPandas(ask_triples, _ASKED)
+    second = second.groupBy("kind", "part").applyInPandas(_totals, _TOLD).drop("tokens", "distinct")
+    both = first.unionByName(second).crossJoin(F.broadcast(sums))  # one row of sums
     # Ids travel as text: pandas would make floating-point numbers of longs beside a null.
-    scored = dealt.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(
+    scored = by_block.cogroup(both.groupBy("block")).applyInPandas(
         answer, "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
     return scored.withColumn("doc_id", F.col("doc_id").cast("long"))
