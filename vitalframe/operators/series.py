@@ -95,12 +95,14 @@ def ring(frame: DataFrame, key: str, order: str, capacity: int) -> DataFrame:
 def alerts(readings: DataFrame, rules: DataFrame) -> DataFrame:
     """One row for each reading and rule of its metric that fires, batch or stream.
 
-    readings: metric, value, ...; rules (small, broadcast): metric, rule, kind (above, below, outside), low, high.
+    readings: metric, value, ...; rules (broadcast by Spark where they are small enough): metric, rule, kind (above, below, outside), low, high.
     above and below include their bound; outside does not include its bounds.
     """
     fires = F.expr("(kind = 'above' and value >= high) or (kind = 'below' and value <= low) or (kind = 'outside' and (value < low or value > high))")
-    hit = readings.join(F.broadcast(rules), "metric").filter(fires)
-    return hit.withColumn("message", F.concat("metric", F.lit(" triggered alert: "), F.col("value").cast("string"))).drop("kind", "low", "high")
+    hit = readings.join(rules, "metric").filter(fires)
+    whole = (F.col("value") == F.floor("value")) & (F.abs("value") < 1e15)
+    text = F.when(whole, F.col("value").cast("long").cast("string")).otherwise(F.col("value").cast("string"))
+    return hit.withColumn("message", F.concat("metric", F.lit(" triggered alert: "), text)).drop("kind", "low", "high")
 
 
 def device_message(text: Column) -> Column:

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from vitalframe.functions.shared import shared_dir
 from vitalframe.operators import series, survival
 from vitalframe.plans import frames
 from vitalframe.plans.frames import WITH, table
@@ -88,23 +89,56 @@ def device_messages(spark, d):
     return live.readings(lines).groupBy("device_id", "metric").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
+def _stream(spark, d):
+    """The events as a stream, and a folder of its own for what the stream writes."""
+    stream = live.file_stream(spark, d, table(spark, d, "events").schema, "events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    return stream, f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+
+
 @query("stream_window_counts", "select event_type, count(*) as n, count(distinct date_trunc('day', ts)) as days from events group by 1")
 def stream_window_counts(spark, d):
-    path = f"{scratch(spark)}/stream-{uuid.uuid4().hex}"
-    stream = live.file_stream(spark, d, table(spark, d, "events").schema, "events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    # A last row per type far ahead closes all windows, as append mode holds open ones back.
-    last = live.window_stats(stream, "ts", "event_type", "value", "1 day", "0 seconds")
-    live.run_once(last, f"{path}/memory", f"{path}/ck", mode="append")
-    closed = spark.read.schema("start timestamp, end timestamp, event_type string, n long, mean double").parquet(f"{path}/memory")
-    edge = closed.agg(F.coalesce(F.max("end"), F.lit("1970-01-01").cast("timestamp")).alias("edge"))
-    rest = table(spark, d, "events").withColumn("t", F.col("ts").cast("timestamp")).crossJoin(F.broadcast(edge)).filter("t >= edge")
-    rest = rest.groupBy(F.window("t", "1 day").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
-    return closed.select("start", "event_type", "n").unionByName(rest).groupBy("event_type").agg(F.sum("n").alias("n"), F.count_distinct("start").alias("days"))
-
-
-def scratch(spark) -> str:
-    """The folder that driver and executors share."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/vitalframe").rstrip("/")
+    stream, path = _stream(spark, d)
+    # In update mode a window's row is written again whenever it changes, so the newest one counts, the open windows included.
+    live.write_batches(live.window_stats(stream, "ts", "event_type", "value", "1 day", "0 seconds"), f"{path}/out", f"{path}/ck")
+    found = live.latest(spark, f"{path}/out", "start", "event_type")
+    return found.groupBy("event_type").agg(F.sum("n").alias("n"), F.count_distinct("start").alias("days"))
+
+
+@query("stream_stats", "select event_type, count(value) as n, round(avg(value), 6) as mean, round(var_samp(value), 4) as variance, round(stddev_samp(value), 5) as sd from events group by 1")
+def stream_stats(spark, d):
+    stream, path = _stream(spark, d)
+    live.write_batches(live.running_stats(stream, "event_type", "value"), f"{path}/out", f"{path}/ck")
+    found = live.latest(spark, f"{path}/out", "event_type")
+    return found.select("event_type", "n", F.round("mean", 6).alias("mean"), F.round("variance", 4).alias("variance"), F.round("sd", 5).alias("sd"))
+
+
+@query("stream_ring", "select user_id, greatest(count(*) - 3, 0) as dropped, array_to_string(list_reverse(list(round(value, 2) order by ts desc)[1:3]), ';') as items from events group by 1")
+def stream_ring(spark, d):
+    stream, path = _stream(spark, d)
+    with live.rocksdb(spark):
+        live.write_batches(live.ring(stream.select("user_id", "ts", "value"), "user_id", 3), f"{path}/out", f"{path}/ck")
+    found = live.latest(spark, f"{path}/out", "key")
+    return found.select(F.col("key").alias("user_id"), "dropped", F.array_join(F.transform("items", lambda v: F.round(v, 2).cast("string")), ";").alias("items"))
+
+
+@query("stream_smoothed", """with recursive e as (select event_id, user_id, ts, value, row_number() over (partition by user_id order by ts) as i from events),
+ s as (select event_id, user_id, i, value as x from e where i = 1 union all select e.event_id, e.user_id, e.i, 0.3 * e.value + 0.7 * s.x from s join e on e.user_id = s.user_id and e.i = s.i + 1)
+ select user_id, count(*) as n, round(max(x), 5) as highest, round(sum(x), 3) as total from s group by 1""")
+def stream_smoothed(spark, d):
+    stream, path = _stream(spark, d)
+    with live.rocksdb(spark):
+        live.write_batches(live.smoothed(stream.select("user_id", "ts", "value"), "user_id", 0.3), f"{path}/out", f"{path}/ck", "append")
+    found = spark.read.parquet(f"{path}/out")
+    return found.groupBy(F.col("key").alias("user_id")).agg(F.count(F.lit(1)).alias("n"), F.round(F.max("smoothed"), 5).alias("highest"), F.round(F.sum("smoothed"), 3).alias("total"))
+
+
+@query("stream_alerts", """select event_id, event_type as metric, r as rule, event_type || ' triggered alert: ' || case when value = floor(value) then value::bigint::varchar else value::varchar end as message
+ from (select *, unnest(case event_type when 'view' then case when value >= 150 then ['high view'] else [] end when 'click' then list_concat(case when value <= 5 then ['low click'] else [] end, case when value < 2 or value > 200 then ['odd click'] else [] end) else [] end) as r from events)""")
+def stream_alerts(spark, d):
+    rules = spark.createDataFrame(_RULES, "metric string, rule string, kind string, low double, high double")
+    stream, path = _stream(spark, d)
+    live.write_batches(live.alert_rows(stream.withColumnRenamed("event_type", "metric"), rules, "event_id"), f"{path}/out", f"{path}/ck", "append")
+    return spark.read.parquet(f"{path}/out").select("event_id", "metric", "rule", "message")
 
 
 _KM = WITH + ", c as (select g, t, count(*) as c, count(*) filter (where e) as d, count(*) filter (where cause = 1) as d1, count(*) filter (where cause = 2) as d2 from survival group by g, t), n as (select *, sum(c) over (partition by g order by t desc)::bigint as n from c)"
