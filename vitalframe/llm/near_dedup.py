@@ -10,7 +10,7 @@ first K - T + 1 to meet every partner, so common passages fall into the skipped
 lists of one member are dropped at once, and so is a set with more than K - T of them.
 
 Links come in two steps, so that no group of copies is expanded into all its pairs. First each set is
-compared with the smallest member of its lists (if they share T lists at least). What this links is one
+compared with the member of its lists that has the smallest doc_id (if they share T lists at least). What this links is one
 component. Then lists that still span several components are compared across components, and only there.
 Before that, the members of such lists lose those that cannot be linked: shingles that no other member has
 are in no intersection, which bounds the overlap of any pair exactly. Loosely edited copies of one text and
@@ -147,9 +147,9 @@ def _judged(docs: DataFrame) -> DataFrame:
     docs = bounded(docs.select("doc_id", "text", text_digest(F.col("text")).alias("digest")))
     signed = materialize(docs.mapInArrow(_signed, "doc_id long, digest binary, n_shingles long, node long, sig array<long>"))
     classes = keep(signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")))
-    postings = classes.select("node", "n", F.explode("sig").alias("key"))
-    lists = postings.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("lead")).filter("members > 1")
-    shared = keep(postings.join(lists, "key"))
+    postings = classes.select("node", "rep", "n", F.explode("sig").alias("key"))
+    lists = postings.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("rep", "node"))["node"].alias("lead")).filter("members > 1")
+    shared = keep(postings.drop("rep").join(lists, "key"))
 
     stars = shared.filter("node <> lead").groupBy("node", "lead").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") >= T)
     stars = keep(stars.select(F.col("lead").alias("a"), F.col("node").alias("b")))
