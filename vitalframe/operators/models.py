@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -140,6 +141,67 @@ def group_bias(frame: DataFrame, score: str, group: str) -> DataFrame:
     return frame.groupBy(group).agg(F.avg(score).alias("mean_score"), F.count(F.lit(1)).alias("n"))
 
 
+#: What a metric needs: aggregates of the label, the score and whether it reaches the threshold. All of a list are one aggregate.
+def _ratio(top, bottom) -> Column:
+    return safe_div(F.sum(top.cast("double")), F.sum(bottom.cast("double")), 0.0)
+
+
+METRICS = {
+    "accuracy": lambda y, s, p: F.coalesce(F.avg((y == p).cast("double")), F.lit(0.0)),
+    "precision": lambda y, s, p: _ratio(y & p, p),
+    "recall": lambda y, s, p: _ratio(y & p, y),
+    "specificity": lambda y, s, p: _ratio(~y & ~p, ~y),
+    "f1": lambda y, s, p: safe_div(2 * F.sum((y & p).cast("double")), F.sum(y.cast("double")) + F.sum(p.cast("double")), 0.0),
+    "brier": lambda y, s, p: F.coalesce(F.avg((s - y.cast("double")) * (s - y.cast("double"))), F.lit(0.0)),
+    "log_loss": lambda y, s, p: F.coalesce(F.avg(-F.ln(clamp(F.when(y, s).otherwise(1 - s), 1e-15, 1.0))), F.lit(0.0)),
+    "ece": lambda y, s, p: safe_div(sum((F.abs(F.sum(F.when(F.least(F.floor(s * 10), F.lit(9)) == b, s - y.cast("double")).otherwise(0.0))) for b in range(10)), F.lit(0.0)), F.count(F.lit(1)), 0.0),
+}
+
+
+def validate_model(frame: DataFrame, label: Column, score: str, metrics: list, threshold: float = 0.5, *by: str) -> DataFrame:
+    """(by, metric, value): all metrics in one pass over the rows.
+
+    metrics: names of METRICS, or pairs of a name and a function of label, score and prediction that gives an aggregate. Rows without label
+    or score are left out; without rows there is one row of zeros a metric where no groups are asked for.
+    """
+    named = [(m, METRICS[m]) if isinstance(m, str) else m for m in metrics]
+    rows = frame.select(*by, label.alias("_y"), F.col(score).cast("double").alias("_s")).filter("_y is not null and _s is not null and not isnan(_s)")
+    y, s, p = F.col("_y"), F.col("_s"), F.col("_s") >= threshold
+    one = rows.groupBy(*by).agg(*[f(y, s, p).alias(f"_m{i}") for i, (_, f) in enumerate(named)])
+    values = F.array(*[F.struct(F.lit(n).alias("metric"), F.col(f"_m{i}").cast("double").alias("value")) for i, (n, _) in enumerate(named)])
+    return one.select(*by, F.explode(values).alias("_x")).select(*by, "_x.*")
+
+
+def importance_rows(frame: DataFrame, features: list[str], model, *keep: str, magnitudes: list[float] | None = None) -> DataFrame:
+    """(keep, importance array): how much each feature moves the model's output at each row.
+
+    model: a function from a matrix (a row for each case, a column for each feature) to its outputs. Each feature is moved by 1e-3
+    times its magnitude both ways; the importance is the mean of the slope's size and of the larger change of the output.
+    The copies of a batch are scored in one call. Null features count as 0.
+    """
+    step, size = 1e-3, np.ones(len(features)) if magnitudes is None else np.maximum(np.abs(magnitudes), 1e-6)
+    rows = frame.select(*keep, F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features]).alias("importance"))
+
+    def score(batches):
+        for batch in batches:
+            x = np.array(batch.column("importance").to_pylist(), float).reshape(batch.num_rows, len(features))
+            moves = np.concatenate([np.zeros((1, len(features))), np.diag(step * size), -np.diag(step * size)])
+            y = np.asarray(model((x[None, :, :] + moves[:, None, :]).reshape(-1, len(features))), float).reshape(len(moves), len(x)) if len(x) else np.zeros((len(moves), 0))
+            up, down = y[1 : 1 + len(features)], y[1 + len(features) :]
+            found = 0.5 * (np.abs(up - down) / (2 * step) + np.maximum(np.abs(up - y[0]), np.abs(down - y[0])))
+            columns = [c for c, n in zip(batch.columns, batch.schema.names, strict=True) if n != "importance"]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(list(found.T), pa.list_(pa.float64()))], names=batch.schema.names)
+
+    return rows.mapInArrow(score, rows.schema)
+
+
+def feature_importance(frame: DataFrame, features: list[str], model, magnitudes: list[float] | None = None) -> DataFrame:
+    """(feature, importance): the mean of importance_rows() for each feature."""
+    each = importance_rows(frame, features, model, magnitudes=magnitudes)
+    means = each.agg(*[F.avg(F.col("importance")[i]).alias(f"_f{i}") for i in range(len(features))])
+    return means.select(F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(f"_f{i}").alias("importance")) for i, n in enumerate(features)])).alias("_x")).select("_x.*")
+
+
 def platt_fit(frame: DataFrame, label: Column, score: str, rate: float, steps: int, start: tuple[float, float] = (0.0, 0.0), smooth: bool = True) -> tuple[float, float]:
     """(a, b) of 1 / (1 + exp(-(a s + b))) by gradient descent; one aggregate a step over rows counted by (score, label) first, which are written once."""
     cells = written(frame.groupBy(F.col(score).cast("double").alias("s"), label.alias("y")).agg(F.count(F.lit(1)).cast("double").alias("n")))

@@ -7,7 +7,6 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from vitalframe.functions.exprs import ascii_lower, blank, finite, uni_trim
 
@@ -156,9 +155,9 @@ def bundle_errors(entries: DataFrame, bundle: str, kind: str, order: str) -> Dat
 
 
 def transaction_outcome(entries: DataFrame, bundle: str, order: str, failed: str) -> DataFrame:
-    """What processing in order would do: per bundle, entries applied before the first failure and whether all were."""
-    first_bad = F.min(F.when(F.col(failed), F.col(order))).over(Window.partitionBy(bundle))
-    marked = entries.withColumn("_bad", first_bad)
+    """What processing in order would do: per bundle, entries applied before the first failure and whether all were. bundles.process() does all kinds of bundles."""
+    first = entries.filter(F.col(failed)).groupBy(bundle).agg(F.min(order).alias("_bad"))
+    marked = entries.join(first, bundle, "left")
     applied = F.sum((F.col("_bad").isNull() | (F.col(order) < F.col("_bad"))).cast("long"))
     return marked.groupBy(bundle).agg(applied.alias("applied"), F.max("_bad").isNull().alias("committed"))
 

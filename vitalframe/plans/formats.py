@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from vitalframe.operators import validate
 from vitalframe.plans.frames import WITH, observations, patients, table
 from vitalframe.plans.registry import query
-from vitalframe.plans.timelines import scratch
+from vitalframe.functions.shared import shared_dir
 from vitalframe.sources import genomics, hl7, ndjson
 
 
@@ -111,7 +111,7 @@ def fastq_stats_roundtrip(spark, d):
 
 @query("ndjson_roundtrip", WITH + "select id, code, value, unit from observations")
 def ndjson_roundtrip(spark, d):
-    path = f"{scratch(spark)}/ndjson-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/ndjson-{uuid.uuid4().hex}"
     ndjson.write_ndjson(observations(spark, d).select("id", "code", "value", "unit"), path)
     return ndjson.read_ndjson(spark, path, "Observation")
 
