@@ -87,14 +87,19 @@ def test_hot_pairs_and_words_are_spread(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     expected = brute(rows)
     assert got(lm.score(docs, block_bytes=3000)) == expected
-    frame = lm.Block([t for _, t in rows], np.ones(len(rows), bool))
-    asked = frame.asked_pairs(64, frame.hash[:5])
-    hot = frame.hash[3]
-    assert len({p for p, _, groups, _ in asked.messages() if hot in groups}) == lm.SPREAD
+    hot = lm.WordHashes()[b"the"]
+    frame = lm.Block([t for _, t in rows], np.ones(len(rows), bool), 64, np.array([hot], np.uint64))
+    pairs = [row for row in frame.ask(0) if row[0] == lm._PAIR]
+    assert len({row[1] for row in pairs}) == lm.SPREAD and all(np.frombuffer(row[3], np.uint64).tolist() == [hot] for row in pairs)
     monkeypatch.setattr(lm, "HOT_PAIR", 10)
     frame.triples(np.full(len(frame.pair_key), 50, np.uint64))
-    spread = frame.asked_triples(64, np.full(len(frame.pair_key), 50, np.uint64))
-    assert len(spread.order) - spread.n == lm.SPREAD * (frame.pair_w != 1).sum()
+    spread = frame.asked_triples()
+    assert len(spread.order) - spread.n == lm.SPREAD * (frame.pair_w != frame.end).sum()
+
+
+def test_packed_hashes():
+    hashes = np.array([0, 1, (1 << 48) - 1, 1 << 63, 12345678901234567890], np.uint64)
+    assert lm._from_six(lm._six(hashes)).tolist() == [int(h) % (1 << 48) for h in hashes]
 
 
 def test_probabilities_sum_to_one(spark):

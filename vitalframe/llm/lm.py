@@ -17,7 +17,7 @@ its own distinct words and bigrams; the asked keys, with the block's own trainin
 all blocks, and the totals go back in the order asked. Then it asks for its trigrams whose two bigrams occur twice at least. The
 answers are the block's part of the automaton. Whatever the hot word, a block asks once for it; what follows a frequent word or pair
 is dealt over several parts. A message holds a key at least, so their number grows no faster than the input.
-Keys are 64-bit hashes.
+Words and pairs are 64-bit hashes, what follows them is told apart by 48 bits of its own.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ from vitalframe.llm.common import id_remainder
 from vitalframe.llm.words import WordHashes, mixed, words
 
 #: Bytes of text of a block, discount, the constant of the one-word base, and the least count of a trigram's arc.
-BLOCK_BYTES, DISCOUNT, ADD, LEAST = 20 << 20, 0.75, 0.1, 2
+BLOCK_BYTES, DISCOUNT, ADD, LEAST = 16 << 20, 0.75, 0.1, 2
 #: About so many documents are looked at for frequent words; a word with this share of them is dealt over SPREAD parts; most such words.
 SAMPLE_DOCS, HOT_SHARE, SPREAD, MOST_HOT = 2000, 0.001, 16, 512
 #: A pair that occurs so often is dealt over SPREAD parts. Words of a piece that is read beside others.
@@ -63,84 +63,147 @@ def _unpack(data: bytes, n: int) -> np.ndarray:
     return numbers
 
 
+def _six(hashes: np.ndarray) -> bytes:
+    """The low 48 bits of hashes."""
+    return hashes.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _from_six(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
+
+
 class Block:
-    """The tokens of a block of documents as local ids (0 the start, 1 the end), and its distinct bigrams."""
+    """The tokens of a block of documents as local ids, and its distinct bigrams. Ids follow the parts and hashes of the words, so bigrams sorted by id are in the order in which they are asked for."""
 
-    def __init__(self, texts: list[str], training: np.ndarray):
+    def __init__(self, texts: list[str], training: np.ndarray, parts: int, hot: np.ndarray):
         flat = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.large_string())))
         full = pc.greater(pc.binary_length(flat.flatten()), 0)
         found = flat.flatten().filter(full).dictionary_encode()
         upto = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])
         lengths = np.diff(upto[np.concatenate([[0], np.cumsum(pc.list_value_length(flat).to_numpy(zero_copy_only=False))])])
-        hashes = [xxhash.xxh3_64_intdigest(x) for x in found.dictionary.cast(pa.large_binary()).to_pylist()]
-        self.hash = np.concatenate([[START, END], np.array(hashes, np.uint64)])
+        hashes = np.array([START, END, *(xxhash.xxh3_64_intdigest(x) for x in found.dictionary.cast(pa.large_binary()).to_pylist())], np.uint64)
+        indices = found.indices.to_numpy(zero_copy_only=False)
+        del flat, full, found
+        order = np.lexsort((hashes, hashes % np.uint64(parts)))
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        self.parts, self.hash, self.start, self.end = parts, hashes[order], int(place[0]), int(place[1])
+        self.is_hot = np.isin(self.hash, hot)
         self.sizes = lengths + 1
         self.last = np.cumsum(self.sizes) - 1
         self.first = self.last - lengths
-        self.w = np.ones(int(self.sizes.sum()), np.int32)
+        self.w = np.full(int(self.sizes.sum()), self.end, np.int32)
         inside = np.ones(len(self.w), bool)
         inside[self.last] = False
-        self.w[inside] = found.indices.to_numpy(zero_copy_only=False) + 2
+        self.w[inside] = place[indices + 2]
         self.training = np.repeat(training, self.sizes)
         self.training_texts = int(training.sum())
         h = np.empty_like(self.w)
         h[1:] = self.w[:-1]
-        h[self.first] = 0
+        h[self.first] = self.start
         self.width = np.int64(len(self.hash))
         self.pair_key, pair_at = np.unique(h * self.width + self.w, return_inverse=True)
         self.pair_at = pair_at.astype(np.int32)
         self.pair_h, self.pair_w = (self.pair_key // self.width).astype(np.int32), (self.pair_key % self.width).astype(np.int32)
-        self.pair_hash = mixed(self.hash[self.pair_h] * _K + self.hash[self.pair_w])
 
-    def asked_words(self, parts: int) -> Asked:
-        counts = np.bincount(self.w[self.training], minlength=len(self.hash))
-        counts[0] = self.training_texts
-        return Asked(_WORD, self.hash, np.zeros(len(self.hash), np.uint64), counts, parts)
-
-    def asked_pairs(self, parts: int, hot: np.ndarray) -> Asked:
-        counts = np.bincount(self.pair_at[self.training], minlength=len(self.pair_key))
-        return Asked(_PAIR, self.hash[self.pair_h], self.pair_hash, counts, parts, hot, self.hash[self.pair_w])
+    def pair_hash(self, pairs: np.ndarray) -> np.ndarray:
+        return mixed(self.hash[self.pair_h[pairs]] * _K + self.hash[self.pair_w[pairs]])
+
+    def _plain(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bigrams after words that are not hot; and for each part its first word and its first of these bigrams."""
+        plain = np.flatnonzero(~self.is_hot[self.pair_h])
+        words_ = np.searchsorted(self.hash % np.uint64(self.parts), np.arange(self.parts + 1, dtype=np.uint64))
+        return plain, words_, np.searchsorted(self.pair_h[plain], words_)
+
+    def ask(self, block: int) -> list[tuple]:
+        """Messages for its words and what follows them; what follows hot words is dealt over several parts."""
+        word_counts = np.bincount(self.w[self.training], minlength=len(self.hash))
+        word_counts[self.start] = self.training_texts
+        pair_counts = np.bincount(self.pair_at[self.training], minlength=len(self.pair_key))
+        plain, words_, pairs = self._plain()
+        out = []
+        for p in np.flatnonzero(np.diff(words_)):
+            ws, mine = slice(words_[p], words_[p + 1]), plain[pairs[p] : pairs[p + 1]]
+            sizes = np.bincount(self.pair_h[mine] - words_[p], minlength=ws.stop - ws.start)
+            counts = np.concatenate([word_counts[ws], pair_counts[mine]])
+            out.append((_WORD, int(p), block, self.hash[ws].tobytes(), _pack(sizes), _six(self.hash[self.pair_w[mine]]), _pack(counts)))
+        hot = np.flatnonzero(self.is_hot[self.pair_h])
+        return out + self._hot_pairs().rows(block, pair_counts[hot])
+
+    def _hot_pairs(self) -> Asked:
+        hot = np.flatnonzero(self.is_hot[self.pair_h])
+        return Asked(_PAIR, self.hash[self.pair_h[hot]], self.hash[self.pair_w[hot]], self.parts, np.ones(len(hot), bool))
+
+    def told(self, answers: dict[tuple[int, int], tuple[bytes, bytes, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Totals of the words and of the bigrams, and how many different bigrams follow a word."""
+        words_of, pairs_of, types = np.zeros(len(self.hash)), np.zeros(len(self.pair_key)), np.zeros(len(self.hash))
+        plain, words_, pairs = self._plain()
+        for p in np.flatnonzero(np.diff(words_)):
+            ws, mine = slice(words_[p], words_[p + 1]), plain[pairs[p] : pairs[p + 1]]
+            total, t, _ = answers[_WORD, int(p)]
+            n = ws.stop - ws.start
+            found = _unpack(total, n + len(mine))
+            words_of[ws], pairs_of[mine], types[ws] = found[:n], found[n:], _unpack(t, n)
+        totals, groups, t, _ = self._hot_pairs().told(answers)
+        pairs_of[np.flatnonzero(self.is_hot[self.pair_h])] = totals
+        for g, n in zip(groups, t, strict=True):
+            types[np.flatnonzero(self.is_hot & (self.hash == g))] = n
+        return words_of, pairs_of, types
 
     def triples(self, pair_totals: np.ndarray) -> None:
-        """Find the distinct trigrams (pair before, word) whose two bigrams occur LEAST times at least."""
+        """Find the distinct trigrams (pair before, word) whose two bigrams occur LEAST times at least, and where they stand."""
         often = pair_totals >= LEAST
-        at = np.flatnonzero(often[self.pair_at])
-        start = np.zeros(len(self.w), bool)
-        start[self.first] = True
-        at = at[~start[at]]
-        at = at[often[self.pair_at[at - 1]]]
+        ok = often[self.pair_at]
+        both = np.zeros(len(self.w), bool)
+        both[1:] = ok[1:] & ok[:-1]
+        both[self.first] = False
+        at = np.flatnonzero(both)
         self.triple_key, place = np.unique(self.pair_at[at - 1] * self.width + self.w[at], return_inverse=True)
         self.triple_counts = np.bincount(place[self.training[at]], minlength=len(self.triple_key))
-        self.triple_pair, self.triple_w = self.triple_key // self.width, (self.triple_key % self.width).astype(np.int32)
-
-    def asked_triples(self, parts: int, pair_totals: np.ndarray) -> Asked:
-        """The trigrams, and an empty item for each pair that none of them begins with, as its failure arc is needed all the same."""
-        alone = np.setdiff1d(np.flatnonzero((pair_totals >= LEAST) & (self.pair_w != 1)), self.triple_pair)
-        pair = np.concatenate([self.triple_pair, alone])
-        before, word = self.pair_hash[pair], np.concatenate([self.hash[self.triple_w], np.zeros(len(alone), np.uint64)])
-        item = np.where(word > 0, mixed(before * _K + word), np.uint64(0))
-        hot = np.unique(before[pair_totals[pair] >= HOT_PAIR])
-        return Asked(_TRIPLE, before, item, np.concatenate([self.triple_counts, np.zeros(len(alone), np.int64)]), parts, hot, word)
+        self.triple_at = np.full(len(self.w), -1, np.int32)
+        self.triple_at[at] = place
+        self.triple_pair, self.triple_w = (self.triple_key // self.width).astype(np.int32), (self.triple_key % self.width).astype(np.int32)
+        # A pair that none of them begins with is asked for all the same, by an empty item, as it has a failure arc.
+        self.alone = np.setdiff1d(np.flatnonzero(often & (self.pair_w != self.end)), self.triple_pair)
+        self.hot_pair = pair_totals >= HOT_PAIR
+
+    def asked_triples(self) -> Asked:
+        pair = np.concatenate([self.triple_pair, self.alone])
+        item = np.concatenate([self.hash[self.triple_w], np.zeros(len(self.alone), np.uint64)])
+        return Asked(_TRIPLE, self.pair_hash(pair), item, self.parts, self.hot_pair[pair])
+
+    def ask_triples(self, block: int) -> list[tuple]:
+        return self.asked_triples().rows(block, np.concatenate([self.triple_counts, np.zeros(len(self.alone), np.int64)]))
+
+    def told_triples(self, answers: dict[tuple[int, int], tuple[bytes, bytes, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Totals of the trigrams, and for each pair the arcs that begin with it and their occurrences."""
+        totals, groups, types, sums = self.asked_triples().told(answers)
+        pairs = np.concatenate([np.unique(self.triple_pair), self.alone]).astype(np.int64)
+        at = np.searchsorted(groups, self.pair_hash(pairs))
+        arcs, kept = np.zeros(len(self.pair_key)), np.zeros(len(self.pair_key))
+        arcs[pairs], kept[pairs] = types[at], sums[at]
+        return totals[: len(self.triple_key)].astype(float), arcs, kept
 
 
 class Asked:
-    """What a block asks for: items (hashes) of groups (hashes), in the order in which they are sent, with the block's own counts.
+    """Items (48-bit hashes) of groups (hashes) that a block asks for, in the order in which they are sent.
 
     A group goes to one part; the items of a hot one are dealt over SPREAD parts, which are all asked for it, so that what they say of the group can be added up.
     """
 
-    def __init__(self, kind: int, group: np.ndarray, item: np.ndarray, counts: np.ndarray, parts: int, hot: np.ndarray | None = None, by: np.ndarray | None = None):
+    def __init__(self, kind: int, group: np.ndarray, item: np.ndarray, parts: int, hot: np.ndarray):
         self.kind, self.n = kind, len(group)
         part = group % np.uint64(parts)
-        if hot is not None and len(hot):
-            is_hot = np.isin(group, hot)
-            hot = np.intersect1d(hot, group[is_hot])
-            part[is_hot] = (group[is_hot] + mixed(by[is_hot]) % np.uint64(SPREAD)) % np.uint64(parts)
-            extra = np.repeat(hot, SPREAD)
-            part = np.concatenate([part, (extra + np.tile(np.arange(SPREAD, dtype=np.uint64), len(hot))) % np.uint64(parts)])
-            group, item, counts = np.concatenate([group, extra]), np.concatenate([item, np.zeros(len(extra), np.uint64)]), np.concatenate([counts, np.zeros(len(extra), counts.dtype)])
-        self.order = np.lexsort((item, group, part))
-        self.part, self.group, self.item, self.counts = part[self.order], group[self.order], item[self.order], counts[self.order]
+        if hot.any():
+            part[hot] = (group[hot] + mixed(item[hot]) % np.uint64(SPREAD)) % np.uint64(parts)
+            groups = np.unique(group[hot])
+            extra = np.repeat(groups, SPREAD)
+            part = np.concatenate([part, (extra + np.tile(np.arange(SPREAD, dtype=np.uint64), len(groups))) % np.uint64(parts)])
+            group, item = np.concatenate([group, extra]), np.concatenate([item, np.zeros(len(extra), np.uint64)])
+        self.order = np.lexsort((group, part))
+        self.part, self.group, self.item = part[self.order], group[self.order], item[self.order]
 
     def messages(self) -> Iterator[tuple[int, slice, np.ndarray, np.ndarray]]:
         """For each part that is asked: its number and slice, the distinct groups there and how many items each has."""
@@ -151,23 +214,19 @@ class Asked:
             groups, first = np.unique(self.group[a:b], return_index=True)
             yield int(self.part[a]), slice(a, b), groups, np.diff(np.append(first, b - a))
 
-    def rows(self, block: int) -> list[tuple]:
-        out = []
-        for part, s, groups, sizes in self.messages():
-            plain = self.kind == _WORD  # a word is its own group
-            out.append((self.kind, part, block, groups.tobytes(), b"" if plain else _pack(sizes), b"" if plain else self.item[s].tobytes(), _pack(self.counts[s])))
-        return out
+    def rows(self, block: int, counts: np.ndarray) -> list[tuple]:
+        counts = np.concatenate([counts, np.zeros(len(self.order) - self.n, counts.dtype)])[self.order]
+        return [(self.kind, part, block, groups.tobytes(), _pack(sizes), _six(self.item[s]), _pack(counts[s])) for part, s, groups, sizes in self.messages()]
 
-    def told(self, told: dict[tuple[int, int], tuple[bytes, bytes, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def told(self, answers: dict[tuple[int, int], tuple[bytes, bytes, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Totals of the items, in the block's own order; and of the distinct groups their hashes, how many items they have in all and with how many occurrences."""
         totals, groups_all, types, sums = np.zeros(len(self.order), np.uint64), [], [], []
         for part, s, groups, _ in self.messages():
-            total, t, c = told[self.kind, part]
+            total, t, c = answers[self.kind, part]
             totals[s] = _unpack(total, s.stop - s.start)
-            if t:
-                groups_all.append(groups)
-                types.append(_unpack(t, len(groups)))
-                sums.append(_unpack(c, len(groups)) if c else np.zeros(len(groups), np.uint64))
+            groups_all.append(groups)
+            types.append(_unpack(t, len(groups)))
+            sums.append(_unpack(c, len(groups)))
         back = np.empty(len(totals), np.uint64)
         back[self.order] = totals
         if not groups_all:
@@ -183,17 +242,6 @@ _TOLD = "kind int, part int, block int, totals binary, types binary, sums binary
 _TOLD_NAMES = ["kind", "part", "block", "totals", "types", "sums", "tokens", "distinct"]
 
 
-def _joined(column: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    """All hashes of a column and where each block's end."""
-    arrays = [np.frombuffer(x, np.uint64) for x in column]
-    return np.concatenate(arrays), np.cumsum([len(a) for a in arrays])[:-1]
-
-
-def _numbers(column: pd.Series, hashes: pd.Series) -> np.ndarray:
-    """The packed counts that go with a column of hashes."""
-    return np.concatenate([_unpack(x, len(y) // 8) for x, y in zip(column, hashes, strict=True)])
-
-
 def _added(at: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
     total = np.zeros(n, np.uint64)
     np.add.at(total, at, counts)
@@ -203,27 +251,32 @@ def _added(at: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
 def _totals(asked: pd.DataFrame) -> pd.DataFrame:
     """Add up one part over all blocks that asked; answers keep each block's order. A part of words also tells its share of N and V."""
     kind, part = int(asked["kind"].iloc[0]), int(asked["part"].iloc[0])
-    keys, key_cuts = _joined(asked["keys"])
+    keys = [np.frombuffer(x, np.uint64) for x in asked["keys"]]
+    items = [_from_six(x) for x in asked["items"]]
+    words_ = [len(k) if kind == _WORD else 0 for k in keys]
+    sizes = np.concatenate([_unpack(x, len(k)) for x, k in zip(asked["sizes"], keys, strict=True)]).astype(np.int64)
+    counts = [_unpack(x, n + len(i)) for x, n, i in zip(asked["counts"], words_, items, strict=True)]
+    key_cuts, cuts = np.cumsum([len(k) for k in keys])[:-1], np.cumsum([len(i) for i in items])[:-1]
+    groups, group_at = np.unique(np.concatenate(keys), return_inverse=True)
+    # An item is told apart within its group; the placeholder 0 counts nothing.
+    owner = np.repeat(group_at, sizes)
+    distinct, first, at = np.unique(mixed(groups[owner] * _K + np.concatenate(items)), return_index=True, return_inverse=True)
+    total = _added(at, np.concatenate([c[n:] for c, n in zip(counts, words_, strict=True)]), len(distinct))
+    owner = owner[first]
+    kept = total >= (LEAST if kind == _TRIPLE else 1)
+    types = np.bincount(owner[kept], minlength=len(groups))
+    sums = _added(owner[kept], total[kept], len(groups)) if kind == _TRIPLE else np.zeros(len(groups), np.uint64)
+    split = lambda values, index, where: np.split(values[index], where)
+    word_totals = [np.empty(0, np.uint64)] * len(keys)
+    rows = []
     if kind == _WORD:
-        distinct, at = np.unique(keys, return_inverse=True)
-        total = _added(at, _numbers(asked["counts"], asked["keys"]), len(distinct))
-        counted = total[distinct != START]
-        rows = [(kind, part, b, _pack(x), b"", b"", None, None) for b, x in zip(asked["block"], np.split(total[at], key_cuts), strict=True)]
+        total_words = _added(group_at, np.concatenate([c[:n] for c, n in zip(counts, words_, strict=True)]), len(groups))
+        word_totals = split(total_words, group_at, key_cuts)
+        counted = total_words[groups != START]
         rows.append((_SUMS, part, -1, b"", b"", b"", int(counted.sum(dtype=np.uint64)), int((counted > 0).sum())))
-        return pd.DataFrame(rows, columns=_TOLD_NAMES)
-    sizes, counts = _numbers(asked["sizes"], asked["keys"]), _numbers(asked["counts"], asked["items"])
-    items, cuts = _joined(asked["items"])
-    groups, group_at = np.unique(keys, return_inverse=True)
-    # The hash of an item covers its group, so equal hashes have one group; the placeholder 0 counts nothing.
-    distinct, first, at = np.unique(items, return_index=True, return_inverse=True)
-    total = _added(at, counts, len(distinct))
-    owner = np.repeat(group_at, sizes.astype(np.int64))[first]
-    kept = total >= (1 if kind == _PAIR else LEAST)
-    types = np.bincount(owner[kept], minlength=len(groups))
-    # The occurrences of all bigrams after a word are those of the word.
-    sums = _added(owner[kept], total[kept], len(groups)) if kind == _TRIPLE else None
-    answers = zip(asked["block"], np.split(total[at], cuts), np.split(types[group_at], key_cuts), np.split(sums[group_at], key_cuts) if sums is not None else [None] * len(asked), strict=True)
-    return pd.DataFrame([(kind, part, b, _pack(x), _pack(t), b"" if c is None else _pack(c), None, None) for b, x, t, c in answers], columns=_TOLD_NAMES)
+    answers = zip(asked["block"], word_totals, split(total, at, cuts), split(types, group_at, key_cuts), split(sums, group_at, key_cuts), strict=True)
+    rows += [(kind, part, b, _pack(np.concatenate([w, x])), _pack(t), b"" if kind == _WORD else _pack(c), None, None) for b, w, x, t, c in answers]
+    return pd.DataFrame(rows, columns=_TOLD_NAMES)
 
 
 def _by_part(told: pd.DataFrame) -> dict[tuple[int, int], tuple[bytes, bytes, bytes]]:
@@ -233,91 +286,73 @@ def _by_part(told: pd.DataFrame) -> dict[tuple[int, int], tuple[bytes, bytes, by
 class Automaton:
     """The part of the model that a block needs: arcs and failure arcs with their weights.
 
-    A state is 0 for the root, 1 + word, or 1 + words + pair. Arcs of a state are found by (state, word) in sorted keys.
+    A state is 0 for the root, 1 + word, or 1 + words + pair. The arc of a state by a word is that of their key, which was looked up when the block's
+    keys were sorted: a place in the texts knows its bigram and trigram by number.
     """
 
     def __init__(self, b: Block, words_: np.ndarray, pairs: np.ndarray, types: np.ndarray, triples: np.ndarray, arcs: np.ndarray, kept: np.ndarray, tokens: int, distinct: int):
         """words_, pairs, triples: totals; types: bigrams after a word; arcs, kept: arcs after a pair and their occurrences."""
+        self.b, self.words = b, len(b.hash)
         p0 = (words_ + ADD) / (tokens + ADD * (distinct + 1))
         seen = np.maximum(words_, 1.0)
         fail1 = np.where((words_ > 0) & (types > 0), DISCOUNT * types / seen, 1.0)
         p1 = np.maximum(pairs - DISCOUNT, 0) * (pairs > 0) / seen[b.pair_h] + fail1[b.pair_h] * p0[b.pair_w]
         fail2 = np.where(arcs > 0, 1 - (kept - DISCOUNT * arcs) / np.maximum(pairs, 1.0), 1.0)
-        self.width, self.words = b.width, len(b.hash)
-        self.root = np.log10(p0)
-        self.state_of_pair = np.where(arcs > 0, 1 + self.words + np.arange(len(pairs)), 1 + b.pair_w)
-        self.fail1, self.fail2, self.under = np.log10(fail1), np.log10(fail2), 1 + b.pair_w.astype(np.int64)
-        known = np.flatnonzero(pairs > 0)
-        self.key1, self.weight1, self.next1 = b.pair_key[known], np.log10(p1[known]), self.state_of_pair[known]
+        self.root, self.fail1, self.fail2 = np.log10(p0), np.log10(fail1), np.log10(fail2)
+        self.known1, self.known2 = pairs > 0, triples >= LEAST
+        self.weight1 = np.log10(np.where(self.known1, p1, 1.0))
         # The bigram at the end of each trigram, in the block's sorted keys.
         end = np.searchsorted(b.pair_key, b.pair_w[b.triple_pair] * b.width + b.triple_w)
         p2 = (triples - DISCOUNT) / np.maximum(pairs[b.triple_pair], 1.0) + fail2[b.triple_pair] * p1[end]
-        arc = np.flatnonzero(triples >= LEAST)
-        self.key2, self.weight2, self.next2 = b.triple_key[arc], np.log10(p2[arc]), self.state_of_pair[end[arc]]
-
-    @staticmethod
-    def _found(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(keys):
-            return np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
-        at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
-        return at, keys[at] == asked
-
-    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The states after reading a word in each of the states, and the weights on the way."""
-        weight, after = np.zeros(len(state)), np.empty(len(state), np.int64)
-        deep = np.flatnonzero(state > self.words)
-        rest = np.ones(len(state), bool)
-        if len(deep):
-            pair = state[deep] - 1 - self.words
-            at, hit = self._found(self.key2, pair * self.width + word[deep])
-            weight[deep] = np.where(hit, self.weight2[at] if len(self.key2) else 0.0, self.fail2[pair])
-            after[deep] = np.where(hit, self.next2[at] if len(self.key2) else 0, 0)
-            rest[deep[hit]] = False
-            state = state.copy()
-            state[deep[~hit]] = self.under[pair[~hit]]
-        left = np.flatnonzero(rest)
-        one = state[left] - 1
-        at, hit = self._found(self.key1, one * self.width + word[left])
-        root = self.fail1[one] + self.root[word[left]]
-        weight[left] += np.where(hit, self.weight1[at] if len(self.key1) else 0.0, root)
-        after[left] = np.where(hit, self.next1[at] if len(self.key1) else 0, 1 + word[left])
-        return after, weight
-
-    def read(self, b: Block) -> np.ndarray:
+        self.weight2 = np.log10(np.where(self.known2, p2, 1.0))
+        self.state_of_pair = np.where(arcs > 0, 1 + self.words + np.arange(len(pairs)), 1 + b.pair_w).astype(np.int32)
+
+    def step(self, state: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states after reading the words at these places in each of the states, and the weights on the way."""
+        pair, triple = self.b.pair_at[at], self.b.triple_at[at]
+        deep = state > self.words
+        arc = deep & (triple >= 0)
+        arc[arc] = self.known2[triple[arc]]
+        weight = np.zeros(len(at))
+        weight[arc] = self.weight2[triple[arc]]
+        fails = deep & ~arc  # the failure arc of a pair leads to its last word
+        weight[fails] = self.fail2[state[fails] - 1 - self.words]
+        rest = np.flatnonzero(~arc)
+        one = pair[rest]
+        known = self.known1[one]
+        weight[rest] += np.where(known, self.weight1[one], self.fail1[self.b.pair_h[one]] + self.root[self.b.pair_w[one]])
+        return self.state_of_pair[pair], weight
+
+    def read(self) -> np.ndarray:
         """The log-probability of each text of the block, read from left to right."""
+        b = self.b
         pieces = -(-b.sizes // PIECE)
         text = np.repeat(np.arange(len(b.sizes)), pieces)
         number = np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         start = b.first[text] + number * PIECE
         length = np.minimum(PIECE, b.last[text] + 1 - start)
-        state = np.where(number == 0, 1, self.state_of_pair[b.pair_at[start - 1]])  # 1: the start of a text
+        state = np.where(number == 0, 1 + b.start, self.state_of_pair[b.pair_at[start - 1]]).astype(np.int32)
         order = np.argsort(-length, kind="stable")
         start, state, length = start[order], state[order], length[order]
         sums = np.zeros(len(text))
         active = np.searchsorted(-length, -np.arange(PIECE), "left")  # pieces that are longer than so many words
         for t in range(int(length.max(initial=0))):
             n = active[t]
-            state[:n], weight = self.step(state[:n], b.w[start[:n] + t])
+            state[:n], weight = self.step(state[:n], start[:n] + t)
             sums[:n] += weight
         return np.bincount(text[order], sums, len(b.sizes))
 
 
-def _scored(frame: pd.DataFrame, b: Block, told: pd.DataFrame, parts: int, hot: np.ndarray) -> pd.DataFrame:
+def _scored(frame: pd.DataFrame, b: Block, told: pd.DataFrame) -> pd.DataFrame:
     answers = _by_part(told)
     tokens, distinct = (int(told[c].iloc[0]) for c in ("tokens", "distinct"))
-    words_ = b.asked_words(parts).told(answers)[0].astype(float)
-    pairs, groups, types, _ = b.asked_pairs(parts, hot).told(answers)
-    pairs = pairs.astype(float)
-    place = lambda groups, values, of: np.where(np.isin(of, groups), values[np.minimum(np.searchsorted(groups, of), max(len(groups) - 1, 0))], 0.0) if len(groups) else np.zeros(len(of))
-    types = place(groups, types, b.hash)
+    words_, pairs, types = b.told(answers)
     b.triples(pairs)
-    triples, groups, arcs, kept = b.asked_triples(parts, pairs).told(answers)
-    triples = triples[: len(b.triple_key)]
-    model = Automaton(b, words_, pairs, types, triples.astype(float), place(groups, arcs, b.pair_hash), place(groups, kept, b.pair_hash), tokens, distinct)
+    model = Automaton(b, words_, pairs, types, *b.told_triples(answers), tokens, distinct)
     return pd.DataFrame({
         "doc_id": frame["doc_id"], "held_out": frame["held_out"], "n_tokens": b.sizes,
         "n_known": np.add.reduceat((words_ > 0)[b.w].astype(np.int64), b.first), "train_tokens": np.full(len(frame), tokens, np.int64),
-        "base_score": np.add.reduceat(model.root[b.w], b.first), "score": model.read(b),
+        "base_score": np.add.reduceat(model.root[b.w], b.first), "score": model.read(),
     })
 
 
@@ -361,26 +396,24 @@ def score(docs: DataFrame, modulus: int = 10, held: int = 0, block_bytes: int =
     )
 
     def of(frame: pd.DataFrame) -> Block:
-        return Block(frame["text"].tolist(), frame["training"].to_numpy(bool))
+        return Block(frame["text"].tolist(), frame["training"].to_numpy(bool), parts, hot)
 
     def ask(frame: pd.DataFrame) -> pd.DataFrame:
-        b, block = of(frame), int(frame["block"].iloc[0])
-        return pd.DataFrame(b.asked_words(parts).rows(block) + b.asked_pairs(parts, hot).rows(block), columns=_ASKED_NAMES)
+        return pd.DataFrame(of(frame).ask(int(frame["block"].iloc[0])), columns=_ASKED_NAMES)
 
     def ask_triples(key: tuple, frame: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         b = of(frame)
-        pairs = b.asked_pairs(parts, hot).told(_by_part(told))[0]
-        b.triples(pairs)
-        return pd.DataFrame(b.asked_triples(parts, pairs).rows(int(key[0])), columns=_ASKED_NAMES)
+        b.triples(b.told(_by_part(told))[1])
+        return pd.DataFrame(b.ask_triples(int(key[0])), columns=_ASKED_NAMES)
 
     def answer(key: tuple, frame: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        return _scored(frame, of(frame), told, parts, hot)
+        return _scored(frame, of(frame), told)
 
     by_block = dealt.groupBy("block")
     told = by_block.applyInPandas(ask, _ASKED).groupBy("kind", "part").applyInPandas(_totals, _TOLD)
     sums = told.filter(F.col("kind") == _SUMS).agg(F.sum("tokens").alias("tokens"), F.sum("distinct").alias("distinct"))
     first = told.filter(F.col("kind") != _SUMS).drop("tokens", "distinct")
-    second = by_block.cogroup(first.filter(F.col("kind") == _PAIR).groupBy("block")).applyInPandas(ask_triples, _ASKED)
+    second = by_block.cogroup(first.groupBy("block")).applyInPandas(ask_triples, _ASKED)
     second = second.groupBy("kind", "part").applyInPandas(_totals, _TOLD).drop("tokens", "distinct")
     both = first.unionByName(second).crossJoin(F.broadcast(sums))  # one row of sums
     # Ids travel as text: pandas would make floating-point numbers of longs beside a null.
