@@ -77,12 +77,12 @@ def loinc_to_snomed(code) -> Column:
 
 def known(frame: DataFrame, code: str, table: DataFrame) -> DataFrame:
     """Rows whose code is in a terminology table."""
-    return frame.join(F.broadcast(table.select(F.col("code").alias(code))), code, "left_semi")
+    return frame.join(table.select(F.col("code").alias(code)), code, "left_semi")
 
 
 def described(frame: DataFrame, code: str, table: DataFrame) -> DataFrame:
     """Add a table's other columns; null for unknown codes."""
-    return frame.join(F.broadcast(table.withColumnRenamed("code", code)), code, "left")
+    return frame.join(table.withColumnRenamed("code", code), code, "left")
 
 
 def search(table: DataFrame, column: str, text: str) -> DataFrame:
@@ -93,13 +93,13 @@ def search(table: DataFrame, column: str, text: str) -> DataFrame:
 def parents(table: DataFrame) -> DataFrame:
     """(code, parent, parent_description): each code with its parent's text, null without one."""
     up = table.select(F.col("code").alias("parent"), F.col("description").alias("parent_description"))
-    return table.select("code", "parent").join(F.broadcast(up), "parent", "left").select("code", "parent", "parent_description")
+    return table.select("code", "parent").join(up, "parent", "left").select("code", "parent", "parent_description")
 
 
 def children(table: DataFrame) -> DataFrame:
     """(code, child, child_description): listed children that the table has."""
     down = table.select(F.col("code").alias("child"), F.col("description").alias("child_description"))
-    return table.select("code", F.explode("children").alias("child")).join(F.broadcast(down), "child").select("code", "child", "child_description")
+    return table.select("code", F.explode("children").alias("child")).join(down, "child").select("code", "child", "child_description")
 
 
 def pair_key(a, b) -> Column:
@@ -111,3 +111,26 @@ def contraindicated(pairs: DataFrame, a: str, b: str, known_pairs: list[tuple[st
     """Rows whose two drugs are a known bad pair in either order."""
     keys = sorted({"|".join(sorted((x.lower(), y.lower()))) for x, y in known_pairs})
     return pairs.filter(pair_key(a, b).isin(keys))
+
+
+def contraindicated_within(rows: DataFrame, group: str, ident: str, drug: str, known_pairs: DataFrame) -> DataFrame:
+    """(group, a, b): pairs of rows of one group, a < b by ident, whose drugs are a pair of known_pairs (x, y; any order and ASCII case).
+
+    Each row first meets the table for the drugs that it must not be with, and only then the rows of its group that have one of them: no other pair is made.
+    """
+    names = known_pairs.select(ascii_lower("x").alias("x"), ascii_lower("y").alias("y"))
+    both = names.unionByName(names.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct()
+    mine = rows.select(group, F.col(ident).alias("a"), ascii_lower(drug).alias("x"))
+    wanted = mine.join(both, "x").select(group, "a", F.col("y").alias("x"))
+    return wanted.join(mine.withColumnRenamed("a", "b"), [group, "x"]).filter("a < b").select(group, "a", "b").distinct()
+
+
+def search_terms(table: DataFrame, text: str | None = None, **equal: str) -> DataFrame:
+    """Rows of a terminology whose description, term or long name holds the text (any case), and whose named columns (category, version, system, component, property) are as given, any case."""
+    found = table
+    if text is not None:
+        where = next(c for c in ("description", "term", "long_name") if c in table.columns)
+        found = search(found, where, text)
+    for column, value in equal.items():
+        found = found.filter(F.lower(column) == value.lower())
+    return found

@@ -141,22 +141,35 @@ def loinc_to_snomed(spark, d):
     return named.select("event_id", "code", terminology.loinc_to_snomed("code").alias("snomed"), "component")
 
 
-_ICD = "(values " + ", ".join("('{}', '{}', {})".format(r[0], r[1], f"'{r[3]}'" if r[3] else "null") for r in terminology.ICD) + ") as t(code, description, parent)"
+_ICD = "(values " + ", ".join("({}, '{}', '{}', {}, '{}')".format(i, r[0], r[1], f"'{r[3]}'" if r[3] else "null", r[2]) for i, r in enumerate(terminology.ICD)) + ") as t(i, code, description, parent, category)"
+_CODED = f"coded as (select event_id, code, description, parent, category from events join {_ICD} on user_id % {len(terminology.ICD)} = i)"
 
 
-@query("icd_hierarchy", f"select a.code, a.parent, b.description as parent_description from {_ICD.replace('as t', 'as a')} left join {_ICD.replace('as t', 'as b')} on a.parent = b.code")
+def _coded(spark, d):
+    """Events with an ICD code each."""
+    codes = F.array(*[F.lit(r[0]) for r in terminology.ICD])
+    return table(spark, d, "events").select("event_id", F.get(codes, (F.col("user_id") % len(terminology.ICD)).cast("int")).alias("code"))
+
+
+@query("icd_hierarchy", f"with {_CODED} select event_id, c.code, c.parent, t.description as parent_description from coded c left join {_ICD} on c.parent = t.code")
 def icd_hierarchy(spark, d):
-    return terminology.parents(terminology.icd(spark))
+    return _coded(spark, d).join(terminology.parents(terminology.icd(spark)), "code").select("event_id", "code", "parent", "parent_description")
 
 
-@query("icd_children", f"select parent as code, code as child, description as child_description from {_ICD} where parent is not null")
+@query("icd_children", f"with {_CODED} select event_id, c.code, t.code as child, t.description as child_description from coded c join {_ICD} on t.parent = c.code")
 def icd_children(spark, d):
-    return terminology.children(terminology.icd(spark))
+    return _coded(spark, d).join(terminology.children(terminology.icd(spark)), "code").select("event_id", "code", "child", "child_description")
 
 
-@query("term_search", f"select code, description from {_ICD} where contains(lower(description), 'diabetes')")
+@query("term_search", f"with {_CODED} select event_id, code, description from coded where contains(lower(description), 'diabetes')")
 def term_search(spark, d):
-    return terminology.search(terminology.icd(spark), "description", "DIABETES").select("code", "description")
+    return _coded(spark, d).join(terminology.search(terminology.icd(spark), "description", "DIABETES").select("code", "description"), "code").select("event_id", "code", "description")
+
+
+@query("term_search_by_category", f"with {_CODED} select event_id, code from coded where contains(lower(description), 'e') and lower(category) = lower('{terminology.ICD[0][2]}')")
+def term_search_by_category(spark, d):
+    found = terminology.search_terms(terminology.icd(spark), "E", category=terminology.ICD[0][2])
+    return terminology.known(_coded(spark, d), "code", found)
 
 
 @query("known_codes", f"select event_id, 'A0' || (user_id % 4) as code from events where 'A0' || (user_id % 4) in (select code from {_ICD})")
@@ -175,10 +188,8 @@ def code_errors(spark, d):
 @query("contraindicated_pairs", """select a.c_custkey as a, b.c_custkey as b from customer a join customer b on a.c_nationkey = b.c_nationkey and a.c_custkey < b.c_custkey
  where least(a.c_mktsegment, b.c_mktsegment) = 'BUILDING' and greatest(a.c_mktsegment, b.c_mktsegment) = 'MACHINERY'""")
 def contraindicated_pairs(spark, d):
-    c = table(spark, d, "customer")
-    left = c.select("c_nationkey", F.col("c_custkey").alias("a"), F.col("c_mktsegment").alias("x"))
-    right = c.select("c_nationkey", F.col("c_custkey").alias("b"), F.col("c_mktsegment").alias("y"))
-    return terminology.contraindicated(left.join(right, "c_nationkey").filter("a < b"), "x", "y", [("machinery", "building")]).select("a", "b")
+    known = spark.createDataFrame([("machinery", "building")], "x string, y string")
+    return terminology.contraindicated_within(table(spark, d, "customer"), "c_nationkey", "c_custkey", "c_mktsegment", known).select("a", "b")
 
 
 @query("unit_convert", "select l_orderkey, round(l_quantity * case l_returnflag when 'A' then 1000.0 when 'R' then 0.001 end, 6) as mg from lineitem")

@@ -6,10 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from vitalframe.functions.shared import shared_dir
 from vitalframe.operators import validate
 from vitalframe.plans.frames import WITH, observations, patients, table
 from vitalframe.plans.registry import query
-from vitalframe.functions.shared import shared_dir
 from vitalframe.sources import genomics, hl7, ndjson
 
 
@@ -137,6 +137,6 @@ def encrypted_store(spark, d):
     return sealed.select(ndjson.decrypted("sealed", secret, "id string, family_name string").alias("p")).select("p.*")
 
 
-@query("synthetic_labs", "select 'obs-' || i as id, case when i % 2 = 0 then 'HGB' else 'GLU' end as code, (i % 100) / 10 as value, 'arb' as unit from range(500) r(i)")
+@query("synthetic_labs", "select 'obs-' || i as id, case when i % 2 = 0 then 'HGB' else 'GLU' end as code, (i % 100) / 10 as value, 'arb' as unit from range((select count(*) from customer)) r(i)")
 def synthetic_labs(spark, d):
-    return ndjson.synthetic_labs(spark, 500)
+    return ndjson.synthetic_labs(spark, table(spark, d, "customer").count())

@@ -77,6 +77,18 @@ def load_store(spark: SparkSession, path: str, schema: str, key: str, value=None
     return found if value is None else found.filter(F.col(key) == value)
 
 
+def store_keys(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """(key): the keys that a store has, from the names of its folders."""
+    return spark.read.schema(f"{key} string").option("basePath", path).json(path).select(key).distinct()
+
+
+def remove_from_store(spark: SparkSession, path: str, key: str, value: str) -> bool:
+    """Delete the folder of one key; tells whether there was one."""
+    escaped = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(value)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{key}={escaped}")
+    return bool(folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True))
+
+
 def encrypted(secret: bytes, *columns: str) -> Column:
     """The columns as one AES-GCM value, its nonce in front."""
     return F.aes_encrypt(to_json(*columns), F.lit(secret), F.lit("GCM"))
