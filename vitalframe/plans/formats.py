@@ -53,8 +53,9 @@ def _visits(spark, d):
     head = hl7.segment("MSH", {1: "|", 2: F.concat(cut, F.lit("~\\&")), 9: "ADT^A01", 12: "2.5"})
     visit = hl7.segment("PV1", {2: "I", 3: F.concat(F.lit("W"), cut, F.lit("HOSP")), 10: F.when(F.col("key") % 3 == 0, F.lit("CARD")), 19: F.concat(F.lit("VN"), F.col("k")), 44: F.concat(day, F.lit("0930"))})
     order = hl7.segment("ORC", {1: "NW", 2: F.concat(F.lit("O"), F.col("k")), 9: day})
-    asked = hl7.segment("OBR", {1: "1", 2: F.when(F.col("key") % 2 == 0, F.col("k")), 3: F.concat(F.lit("F"), F.col("k")), 4: "GLU^Glucose", 7: day})
-    parts = F.array(head, hl7.pid(1, F.col("k"), "", name, "19700102", "F", address=F.concat(F.lit("1 Road"), cut, cut, F.lit("Town"))), visit, order, asked)
+    asked = hl7.segment("OBR", {1: "1", 2: F.when(F.col("key") % 2 == 0, F.col("k")), 3: F.concat(F.lit("F"), F.col("k")), 4: F.concat(F.lit("GLU"), cut, F.lit("Glucose")), 7: day})
+    kin = hl7.segment("NK1", {1: "1", 2: F.concat(F.lit("O"), F.lit("\\S\\"), F.col("k"), cut, F.lit("A\\T\\B"))})
+    parts = F.array(head, hl7.pid(1, F.col("k"), "", name, "19700102", "F", address=F.concat(F.lit("1 Road"), cut, cut, F.lit("Town"))), visit, order, asked, kin)
     return c.select("key", hl7.generated(parts).alias("message"))
 
 
@@ -73,9 +74,25 @@ def hl7_orc_event(spark, d):
 
 @query("hl7_obr_time", f"select c_custkey as key, case when c_custkey % 2 = 0 then '' else 'F' end || c_custkey as id, 'GLU' as code, null::double as value, null::varchar as unit, {_DAY} as date from customer")
 def hl7_obr_time(spark, d):
-    # OBR-4 has the usual mark, which only every second message names.
-    rows = hl7.order_observations(_visits(spark, d), "message", "key")
-    return rows.withColumn("code", hl7.component(F.col("code"), 1))
+    return hl7.order_observations(_visits(spark, d), "message", "key")
+
+
+@query("hl7_contacts", "select c_custkey as key, 'O' || case when c_custkey % 2 = 0 then '^' else '$' end || c_custkey as family_name, 'A&B' as given_name from customer")
+def hl7_contacts(spark, d):
+    return hl7.contacts(_visits(spark, d), "message", "key")
+
+
+@query("hl7_order_dates", f"select c_custkey as key, 0 as place, {_DAY} as date from customer")
+def hl7_order_dates(spark, d):
+    return hl7.order_dates(_visits(spark, d), "message", "key")
+
+
+@query("hl7_message_errors", """select event_id, case event_id % 6 when 0 then 'message is empty' when 1 then 'first segment is not MSH' when 2 then 'MSH has fewer than 12 fields' when 3 then 'a segment name is not valid' when 4 then 'unknown segment type ZZZ' end as error,
+ strftime(ts, '%Y%m%d%H%M%S') as at, strftime(ts, '%Y%m%d') as day from events""")
+def hl7_message_errors(spark, d):
+    k, head = F.col("event_id"), "MSH|^~\\&|S|F|D|H|202501010101||ADT^A01|1|P|2.5"
+    text = F.when(k % 6 == 0, "").when(k % 6 == 1, "PID|1").when(k % 6 == 2, "MSH|^~\\&|S").when(k % 6 == 3, head + "\rpid|1").when(k % 6 == 4, head + "\rZZZ|1").otherwise(head + "\rPID|1")
+    return table(spark, d, "events").select("event_id", hl7.message_error(text).alias("error"), hl7.timestamp_text("ts").alias("at"), hl7.date_text("ts").alias("day"))
 
 
 @query("hl7_patient_info", "select c_custkey as key, '1' as set_id, c_custkey::varchar as patient_id, '' as patient_identifier_list, c_name as last_name, c_mktsegment as first_name, 'M' as middle_name, null::varchar as suffix, null::varchar as prefix, '19700102' as birth_date, 'F' as gender, '1 Road' as address_street, 'Town' as address_city, null::varchar as address_state, null::varchar as address_zip, '' as phone_number from customer")

@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 
 from vitalframe.functions.exprs import blank, col, lookup, uni_trim
 
+#: The names of segments that a message may have.
+SEGMENT_NAMES = (
+    "MSH PID PV1 ORC OBR OBX IN1 IN2 IN3 DG1 PR1 NK1 AL1 IAM SCH ARD ARQ TQ1 TQ2 RGS RXA RXR RXC RXE RXO RXD RXG NTE ERR QAK QBP QPD QID QRI RCP RQD RQA RQB RDF RDR RDT SFT UAC BTS EQL "
+    "EQQ EQR ERQ ERS ERI EVN"
+).split()
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
@@ -34,11 +39,12 @@ def field(segment: Column, n: int) -> Column:
 
 
 def marks(message) -> Column:
-    """The marks that MSH names, each the usual one where it is absent: component, repetition, escape, part."""
+    """The marks that MSH names, each the usual one where it is absent: field, component, repetition, escape, part."""
     names = {"component": "^", "repetition": "~", "escape": "\\", "part": "&"}
     found = field(first_of(segments(message), "MSH"), 2)
     at = lambda i, usual: F.coalesce(F.when(F.length(found) > i, F.substring(found, i + 1, 1)), F.lit(usual))
-    return F.named_struct(*[x for i, (name, usual) in enumerate(names.items()) for x in (F.lit(name), at(i, usual))])
+    sep = F.coalesce(field(first_of(segments(message), "MSH"), 1), F.lit("|"))
+    return F.named_struct(F.lit("field"), sep, *[x for i, (name, usual) in enumerate(names.items()) for x in (F.lit(name), at(i, usual))])
 
 
 def _split(value: Column, mark) -> Column:
@@ -74,9 +80,10 @@ def message_error(message) -> Column:
     """The first thing that is wrong with a message, or null."""
     found = segments(message)
     odd = F.exists(found, lambda s: ~s["name"].rlike("^[A-Z0-9]{3}$"))
+    unknown = F.get(F.filter(found, lambda s: ~s["name"].isin(SEGMENT_NAMES)), F.lit(0))["name"]
     return (
         F.when(blank(message), "message is empty").when(~col(message).startswith("MSH"), "first segment is not MSH")
-        .when(F.size(F.get(found, F.lit(0))["fields"]) < 12, "MSH has fewer than 12 fields").when(odd, "a segment name is not valid")
+        .when(F.size(F.get(found, F.lit(0))["fields"]) < 12, "MSH has fewer than 12 fields").when(odd, "a segment name is not valid").when(unknown.isNotNull(), F.concat(F.lit("unknown segment type "), unknown))
     )
 
 
@@ -87,6 +94,16 @@ def timestamp(text) -> Column:
     return F.when(text.rlike(r"^\d{8}"), F.try_to_timestamp(whole, F.lit("yyyyMMddHHmmss")))
 
 
+def timestamp_text(at) -> Column:
+    """A timestamp as YYYYMMDDHHMMSS."""
+    return F.date_format(col(at), "yyyyMMddHHmmss")
+
+
+def date_text(at) -> Column:
+    """A date as YYYYMMDD."""
+    return F.date_format(col(at), "yyyyMMdd")
+
+
 def escaped(text) -> Column:
     """Separators as escape sequences, each closed by a backslash."""
     out = F.replace(col(text), F.lit("\\"), F.lit("\\E\\"))
@@ -95,11 +112,19 @@ def escaped(text) -> Column:
     return out
 
 
-def unescaped(text) -> Column:
-    """The inverse, read once from left to right, so that nothing is decoded twice."""
-    parts = F.regexp_extract_all(col(text), F.lit(r"\\[FSRTE]\\|[^\\]+|\\"), F.lit(0))
-    marks = {f"\\{k}\\": v for k, v in {"F": "|", "S": "^", "R": "~", "T": "&", "E": "\\"}.items()}
-    return F.array_join(F.transform(parts, lambda p: F.coalesce(lookup(p, marks), p)), "")
+def unescaped(text, of: Column | None = None) -> Column:
+    """The inverse, read once from left to right, so that nothing is decoded twice. With the marks of a message (see marks()) its own escape mark is read and its own marks are written."""
+    text = col(text)
+    if of is not None:
+        text = F.replace(text, of["escape"], F.lit("\\"))
+    parts = F.regexp_extract_all(text, F.lit(r"\\[FSRTE]\\|[^\\]+|\\"), F.lit(0))
+    if of is None:
+        names = {f"\\{k}\\": v for k, v in {"F": "|", "S": "^", "R": "~", "T": "&", "E": "\\"}.items()}
+        return F.array_join(F.transform(parts, lambda p: F.coalesce(lookup(p, names), p)), "")
+    table = {"F": of["field"], "S": of["component"], "R": of["repetition"], "T": of["part"], "E": of["escape"]}
+    marks_ = F.create_map(*[x for k, v in table.items() for x in (F.lit(f"\\{k}\\"), v)])
+    # A lone escape mark stands for itself.
+    return F.array_join(F.transform(parts, lambda p: F.coalesce(F.try_element_at(marks_, p), F.when(p == "\\", of["escape"]), p)), "")
 
 
 def generated(found) -> Column:
@@ -142,13 +167,18 @@ def _filled(c: Column) -> Column:
     return F.when(~blank(c), c)
 
 
+def _read(n: int, part: int) -> Column:
+    """A component of field n of the segment _s as it was before it was escaped, by the marks of its message in _marks."""
+    return unescaped(component(field(F.col("_s"), n), part, F.col("_marks.component")), F.col("_marks"))
+
+
 def patients(frame: DataFrame, message: str, *keep: str) -> DataFrame:
     """(keep, id, family_name, given_name, birth_date): one row for each message with a PID that has an id."""
     s, cut = F.col("_s"), F.col("_marks.component")
     rows = frame.select(*keep, first_of(segments(message), "PID").alias("_s"), marks(message).alias("_marks")).filter(s.isNotNull())
     ident = F.coalesce(_filled(component(field(s, 3), 1, cut)), _filled(field(s, 2)))
     return rows.select(
-        *keep, ident.alias("id"), component(field(s, 5), 1, cut).alias("family_name"), component(field(s, 5), 2, cut).alias("given_name"), _iso(field(s, 7)).alias("birth_date")
+        *keep, ident.alias("id"), _read(5, 1).alias("family_name"), _read(5, 2).alias("given_name"), _iso(field(s, 7)).alias("birth_date")
     ).filter("id is not null")
 
 
@@ -167,20 +197,20 @@ def patient_info(frame: DataFrame, message: str, *keep: str) -> DataFrame:
 def observations(frame: DataFrame, message: str, *keep: str) -> DataFrame:
     """(keep, id, code, value, unit): one row for each OBX. TS and CWE values and texts that are no number give null."""
     flat = frame.select(*keep, F.posexplode(of_name(segments(message), "OBX")).alias("_i", "_s"), marks(message).alias("_marks"))
-    s, cut = F.col("_s"), F.col("_marks.component")
+    s = F.col("_s")
     text = field(s, 5)
     value = F.when(~F.coalesce(field(s, 2), F.lit("")).isin("TS", "CWE") & text.rlike(NUMBER), text.try_cast("double"))
     ident = F.coalesce(_filled(field(s, 1)), (F.col("_i") + 1).cast("string"))
-    return flat.select(*keep, ident.alias("id"), component(field(s, 3), 1, cut).alias("code"), value.alias("value"), _filled(component(field(s, 6), 1, cut)).alias("unit"))
+    return flat.select(*keep, ident.alias("id"), _read(3, 1).alias("code"), value.alias("value"), _filled(_read(6, 1)).alias("unit"))
 
 
 def orders(frame: DataFrame, message: str, *keep: str) -> DataFrame:
     """(keep, id, code, date): one row for each OBR; id from OBR-2, 3 or its number, date from its first field that begins with eight digits."""
-    flat = frame.select(*keep, F.posexplode(of_name(segments(message), "OBR")).alias("_i", "_s"))
+    flat = frame.select(*keep, F.posexplode(of_name(segments(message), "OBR")).alias("_i", "_s"), marks(message).alias("_marks"))
     s = F.col("_s")
     dates = F.filter(s["fields"], lambda f: f.rlike(r"^\d{8}"))
     ident = F.coalesce(_filled(field(s, 2)), _filled(field(s, 3)), (F.col("_i") + 1).cast("string"))
-    return flat.select(*keep, ident.alias("id"), component(field(s, 4), 1).alias("code"), F.get(dates, F.lit(0)).alias("date"))
+    return flat.select(*keep, ident.alias("id"), _read(4, 1).alias("code"), F.get(dates, F.lit(0)).alias("date"))
 
 
 def _dated(text) -> Column:
@@ -194,6 +224,13 @@ def order_observations(frame: DataFrame, message: str, *keep: str) -> DataFrame:
     return orders(frame, message, *keep).select(*keep, F.trim("id").alias("id"), F.coalesce("code", F.lit("")).alias("code"), none.cast("double").alias("value"), none.cast("string").alias("unit"), _dated(F.col("date")).alias("date"))
 
 
+def order_dates(frame: DataFrame, message: str, *keep: str) -> DataFrame:
+    """(keep, place, date): the day, as YYYY-MM-DD, of the first date of each OBR that has one, in the order of the message."""
+    flat = frame.select(*keep, F.posexplode(of_name(segments(message), "OBR")).alias("place", "_s"))
+    dates = F.filter(F.transform(F.col("_s.fields"), uni_trim), lambda f: f.rlike(r"^\d{8}"))
+    return flat.select(*keep, "place", _dated(F.get(dates, F.lit(0))).alias("date")).filter("date is not null")
+
+
 def visit_events(frame: DataFrame, message: str, *keep: str) -> DataFrame:
     """(keep, id, code, start_date): an event for each message with a PV1.
 
@@ -226,7 +263,6 @@ def has_contact(message) -> Column:
 
 def contacts(frame: DataFrame, message: str, *keep: str) -> DataFrame:
     """(keep, family_name, given_name): next of kin with a name."""
-    flat = frame.select(*keep, F.explode(of_name(segments(message), "NK1")).alias("_s"))
-    name = field(F.col("_s"), 2)
-    found = flat.select(*keep, component(name, 1).alias("family_name"), component(name, 2).alias("given_name"))
+    flat = frame.select(*keep, F.explode(of_name(segments(message), "NK1")).alias("_s"), marks(message).alias("_marks"))
+    found = flat.select(*keep, _read(2, 1).alias("family_name"), _read(2, 2).alias("given_name"))
     return found.filter(~(blank("family_name") & blank("given_name")))
