@@ -1,5 +1,7 @@
 """Mixing and sharding: whole results, their laws, and odd rows."""
 
+import hashlib
+import math
 from collections import Counter, defaultdict
 from fractions import Fraction
 
@@ -34,6 +36,42 @@ def test_shares_stay_within_one_block_of_the_weights(spark):
         assert all(abs(seen[k] - w * t) < 1 for k, w in (("a", 0.5), ("b", 0.3), ("c", 0.2)))
 
 
+def brute_mix(rows, block_rows):
+    """(doc_id, source, mix_position) by exact fractions, slot by slot: the released block with the earliest deadline, ties to the earlier source."""
+    ranked = {}
+    for i, s in rows:
+        h = hashlib.md5(f"mix-1|{'null' if i is None else i}".encode()).hexdigest()
+        ranked.setdefault(("n" if s is None else "s" + s), []).append((h, i, s))
+    blocks = {k: -(-len(v) // block_rows) for k, v in ranked.items()}
+    weight = {k: Fraction(len(v) ** 0.7) for k, v in ranked.items()}
+
+    def slots_at(v):
+        return sum(min(Fraction(blocks[k]), weight[k] * v) for k in blocks)
+
+    window = {k: [(math.floor(slots_at(Fraction(j) / weight[k])), math.ceil(slots_at(Fraction(j + 1) / weight[k]))) for j in range(blocks[k])] for k in blocks}
+    at, out = dict.fromkeys(sorted(blocks), 0), []
+    for slot in range(sum(blocks.values())):
+        k = min((k for k in at if at[k] < blocks[k] and window[k][at[k]][0] <= slot), key=lambda k: (window[k][at[k]][1], k))
+        part = sorted(ranked[k], key=lambda r: (r[0], r[1] is not None, r[1]))[at[k] * block_rows : (at[k] + 1) * block_rows]
+        out += [(i, s, slot * block_rows + n) for n, (_, i, s) in enumerate(part)]
+        at[k] += 1
+    return sorted(out, key=str)
+
+
+def test_mixture_against_brute_force(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    found = sorted(((r.doc_id, r.source, r.mix_position) for r in mixing.mix(docs, block_rows=3).collect()), key=str)
+    assert found == brute_mix([tuple(r) for r in docs.collect()], 3)
+
+
+def test_size_of_the_schedule_is_bounded(spark):
+    assert mixing.block_size(0) == mixing.block_size(10**6) == 16 and mixing.block_size(10**12) == 10**6
+    rows = 50_000_000_001
+    assert -(-rows // mixing.block_size(rows)) <= mixing.MOST_BLOCKS
+    dotted = spark.createDataFrame([(1, "t", "a", 5), (2, "u", "b", 6)], ["doc_id", "text", "source", "a.b"])
+    assert mixing.mixed_documents(dotted).columns == dotted.columns and mixing.mixed_documents(dotted).count() == 2
+
+
 def test_shares_of_many_small_sources_are_exact():
     sizes = {"big": 40000, **{f"t{i}": 300 + i for i in range(300)}}
     sources = [(k, n, Fraction(n**0.7)) for k, n in sizes.items()]

@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from vitalframe.llm.common import seeded_rank
 
-#: Blocks that are put into one batch of the schedule.
-BATCH = 100_000
+#: Blocks that are put into one batch of the schedule, least rows of a block, and most blocks of a schedule (besides one a source): it is made on the driver.
+BATCH, LEAST_ROWS, MOST_BLOCKS = 100_000, 16, 1_000_000
 _PLAN = pa.schema([("_key", pa.string()), *[(k, pa.int64()) for k in ("block", "round", "release", "deadline", "slot")]])
 
 
@@ -116,12 +116,20 @@ def schedule(sources: list[tuple[str, int, Fraction]], slots: int, block_rows: i
         start += sum(b for b, _ in blocks)
 
 
-def _placed(docs: DataFrame, keep: list[str], weights: dict[str, float] | None, alpha: float, slots: int, block_rows: int, seed: str) -> DataFrame:
+def block_size(rows: int) -> int:
+    """Rows of a block: so many that a schedule has MOST_BLOCKS full ones at most, whatever the input."""
+    return max(LEAST_ROWS, -(-rows // MOST_BLOCKS))
+
+
+def _placed(docs: DataFrame, keep: list[str], weights: dict[str, float] | None, alpha: float, slots: int, block_rows: int | None, seed: str) -> DataFrame:
     """(_row: struct of the `keep` columns) with the columns of the schedule."""
+    quoted = [F.col("`" + c.replace("`", "``") + "`") for c in keep]
     source = F.col("source")
     key = F.when(source.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), source))
-    rows = docs.select(key.alias("_key"), F.struct(*keep).alias("_row"), F.col("doc_id").alias("_id"))
-    plan = docs.sparkSession.createDataFrame(pa.Table.from_batches(schedule(source_weights(rows, "_key", weights, alpha), slots, block_rows), _PLAN))
+    rows = docs.select(key.alias("_key"), F.struct(*quoted).alias("_row"), F.col("doc_id").alias("_id"))
+    sources = source_weights(rows, "_key", weights, alpha)
+    block_rows = block_rows or block_size(sum(n for _, n, _ in sources))
+    plan = docs.sparkSession.createDataFrame(pa.Table.from_batches(schedule(sources, slots, block_rows), _PLAN))
     ranked = seeded_rank(rows, "_key", "_id", seed, ["_id"]).withColumn("block", F.expr(f"rank div {block_rows}"))
     return ranked.join(plan, ["_key", "block"]).select(
         "_row", F.col("rank").alias("source_rank"), "block", "round", "release", "deadline", "slot",
@@ -129,20 +137,20 @@ def _placed(docs: DataFrame, keep: list[str], weights: dict[str, float] | None,
     )
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.7, slots: int = 100, block_rows: int = 16,
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.7, slots: int = 100, block_rows: int | None = None,
         seed: str = "mix-1", keep: list[str] | None = None) -> DataFrame:
     """Order all rows of docs (doc_id, source) as one mixture of its sources.
 
     weights: target weight by source (missing ones count as 0: these sources come after all others);
     None: rows ** alpha. Returns the `keep` columns (default doc_id, source) with source_rank, block,
     round (of `slots` slots), release, deadline, slot and mix_position (slot * block_rows + place in the block: unique and
-    rising along the mixture; a source's last block may be short). A null source is a source of its own;
+    rising along the mixture; a source's last block may be short). block_rows: None for block_size(rows). A null source is a source of its own;
     equal rows are all kept; null ids are shuffled as the text 'null'; an empty table gives no rows.
     """
     return _placed(docs, keep or ["doc_id", "source"], weights, alpha, slots, block_rows, seed).select("_row.*", "source_rank", "block", "round", "release", "deadline", "slot", "mix_position")
 
 
-def mixed_documents(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.7, slots: int = 100, block_rows: int = 16, seed: str = "mix-1") -> DataFrame:
+def mixed_documents(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.7, slots: int = 100, block_rows: int | None = None, seed: str = "mix-1") -> DataFrame:
     """The rows of docs themselves, all columns as they were, range-partitioned and sorted by their place in the mixture."""
     placed = _placed(docs, docs.columns, weights, alpha, slots, block_rows, seed)
     return placed.repartitionByRange("mix_position").sortWithinPartitions("mix_position").select("_row.*")
