@@ -278,3 +278,19 @@ def test_formats(spark, tmp_path):
     images = imaging.dicom_images(imaging.read_dicom(spark, str(tmp_path / "*.dcm"))).collect()
     assert [(r.rows, r.columns, r.bits, bytes(r.pixels)) for r in images] == [(1, 2, 16, b"\xff\0")]
     assert imaging.dicom_tags(imaging.read_dicom(spark, str(tmp_path / "*.dcm"))).count() == 3
+
+
+def test_smoothing_by_blocks(spark):
+    """Keys of several blocks and batches, ties told apart by a second column, against a loop."""
+    import random
+
+    rnd = random.Random(8)
+    rows = [(k, i // 3, i, rnd.uniform(-5, 5) if rnd.random() > 0.1 else None) for k, n in (("a", 700), ("b", 1), ("c", 130), (None, 70)) for i in range(n)]
+    for alpha in (0.0, 0.05, 0.3, 1.0):
+        found = {(r.k, r.i): r.ema for r in series.ema(spark.createDataFrame(rows, "k string, t int, i int, x double").repartition(3), "k", ["t", "i"], "x", alpha).collect()}
+        expected, last = {}, {}
+        for k, _, i, x in rows:
+            if x is not None:
+                last[k] = x if k not in last else alpha * x + (1 - alpha) * last[k]
+                expected[k, i] = last[k]
+        assert found.keys() == expected.keys() and all(found[x] == pytest.approx(expected[x], abs=1e-12) for x in found)

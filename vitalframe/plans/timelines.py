@@ -20,47 +20,46 @@ def _events(spark, d):
 
 
 def _windowed(f, name):
-    return f"select event_id, round({f}(value) over w, 6) as {name} from events window w as (partition by user_id order by ts rows 4 preceding) qualify row_number() over (partition by user_id order by ts) >= 5"
+    return f"select event_id, round({f}(value) over w, 6) as {name} from events window w as (partition by user_id order by ts, event_id rows 4 preceding) qualify row_number() over (partition by user_id order by ts, event_id) >= 5"
 
 
 @query("moving_avg", _windowed("avg", "moving_average"))
 def moving_avg(spark, d):
-    return rounded(series.moving_average(_events(spark, d), "user_id", "ts", "value", 5).select("event_id", "moving_average"))
+    return rounded(series.moving_average(_events(spark, d), "user_id", ["ts", "event_id"], "value", 5).select("event_id", "moving_average"))
 
 
 @query("rolling_std", _windowed("stddev_samp", "rolling_std"))
 def rolling_std(spark, d):
-    return rounded(series.rolling_std(_events(spark, d), "user_id", "ts", "value", 5).select("event_id", "rolling_std"))
+    return rounded(series.rolling_std(_events(spark, d), "user_id", ["ts", "event_id"], "value", 5).select("event_id", "rolling_std"))
 
 
 @query("sliding_sum", _windowed("sum", "sliding_sum"))
 def sliding_sum(spark, d):
-    return rounded(series.sliding_sum(_events(spark, d), "user_id", "ts", "value", 5).select("event_id", "sliding_sum"))
+    return rounded(series.sliding_sum(_events(spark, d), "user_id", ["ts", "event_id"], "value", 5).select("event_id", "sliding_sum"))
 
 
-@query("ema", """with recursive e as (select event_id, user_id, value, row_number() over (partition by user_id order by ts) as i from events),
+# A little is added before rounding: averages of values with two decimals often end in a 5, where the order of sums would decide.
+@query("ema", """with recursive e as (select event_id, user_id, value, row_number() over (partition by user_id order by ts, event_id) as i from events),
  r(event_id, user_id, i, ema) as (select event_id, user_id, i, value from e where i = 1 union all
- select e.event_id, e.user_id, e.i, 0.3 * e.value + 0.7 * r.ema from r join e on e.user_id = r.user_id and e.i = r.i + 1) select event_id, round(ema, 5) as ema from r""")
+ select e.event_id, e.user_id, e.i, 0.3 * e.value + 0.7 * r.ema from r join e on e.user_id = r.user_id and e.i = r.i + 1) select event_id, round(ema + 0.00000123, 5) as ema from r""")
 def ema(spark, d):
-    found = series.ema(_events(spark, d), "user_id", "ts", "value", 0.3)
-    # (user_id, ts) is a key of events
-    return found.join(_events(spark, d).select("user_id", "ts", "event_id"), ["user_id", "ts"]).select("event_id", F.round("ema", 5).alias("ema"))
+    return series.ema(_events(spark, d), "user_id", ["ts", "event_id"], "value", 0.3).select("event_id", F.round(F.col("ema") + 0.00000123, 5).alias("ema"))
 
 
-@query("tumbling_count", "select user_id, w as window, count(*) as n, round(sum(value), 6) as total from (select user_id, value, (row_number() over (partition by user_id order by ts) - 1) // 10 as w from events) group by 1, 2")
+@query("tumbling_count", "select user_id, w as window, count(*) as n, round(sum(value), 6) as total from (select user_id, value, (row_number() over (partition by user_id order by ts, event_id) - 1) // 10 as w from events) group by 1, 2")
 def tumbling_count(spark, d):
-    rows = series.counted_windows(_events(spark, d), "user_id", "ts", 10)
+    rows = series.counted_windows(_events(spark, d), "user_id", ["ts", "event_id"], 10)
     return rounded(rows.groupBy("user_id", "window").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")))
 
 
-@query("sliding_count", """with e as (select user_id, value, row_number() over (partition by user_id order by ts) - 1 as i, count(*) over (partition by user_id) as n from events)
+@query("sliding_count", """with e as (select user_id, value, row_number() over (partition by user_id order by ts, event_id) - 1 as i, count(*) over (partition by user_id) as n from events)
  select a.user_id, a.i // 3 as window, round(sum(b.value), 6) as total from e a join e b on a.user_id = b.user_id and b.i between a.i and a.i + 7 where a.i % 3 = 0 and a.i + 8 <= a.n group by 1, 2""")
 def sliding_count(spark, d):
-    rows = series.sliding_counted_windows(_events(spark, d), "user_id", "ts", 8, 3)
+    rows = series.sliding_counted_windows(_events(spark, d), "user_id", ["ts", "event_id"], 8, 3)
     return rounded(rows.groupBy("user_id", "window").agg(F.sum("value").alias("total")))
 
 
-@query("session_gap", """with e as (select user_id, event_id, epoch_ms(ts) as ms, lag(epoch_ms(ts)) over (partition by user_id order by ts) as p from events),
+@query("session_gap", """with e as (select user_id, event_id, epoch_ms(ts) as ms, lag(epoch_ms(ts)) over (partition by user_id order by ts, event_id) as p from events),
  s as (select user_id, ms, sum(case when ms - p > 14400000 then 1 else 0 end) over (partition by user_id order by ms rows unbounded preceding)::bigint as session from e)
  select user_id, session, count(*) as n from s group by 1, 2""")
 def session_gap(spark, d):
@@ -68,9 +67,9 @@ def session_gap(spark, d):
     return series.sessions(e, "user_id", "ms", "ms", 4 * 3600 * 1000).groupBy("user_id", "session").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("ring_last_n", "select user_id, event_id, greatest(count(*) over (partition by user_id) - 3, 0) as dropped from events qualify row_number() over (partition by user_id order by ts desc) <= 3")
+@query("ring_last_n", "select user_id, event_id, greatest(count(*) over (partition by user_id) - 3, 0) as dropped from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) <= 3")
 def ring_last_n(spark, d):
-    return series.ring(_events(spark, d), "user_id", "ts", 3).select("user_id", "event_id", "dropped")
+    return series.ring(_events(spark, d), "user_id", ["ts", "event_id"], 3).select("user_id", "event_id", "dropped")
 
 
 _RULES = [("view", "high view", "above", None, 150.0), ("click", "low click", "below", 5.0, None), ("click", "odd click", "outside", 2.0, 200.0)]
@@ -121,7 +120,7 @@ def stream_ring(spark, d):
     return found.select(F.col("key").alias("user_id"), "dropped", F.array_join(F.transform("items", lambda v: F.round(v, 2).cast("string")), ";").alias("items"))
 
 
-@query("stream_smoothed", """with recursive e as (select event_id, user_id, ts, value, row_number() over (partition by user_id order by ts) as i from events),
+@query("stream_smoothed", """with recursive e as (select event_id, user_id, ts, value, row_number() over (partition by user_id order by ts, event_id) as i from events),
  s as (select event_id, user_id, i, value as x from e where i = 1 union all select e.event_id, e.user_id, e.i, 0.3 * e.value + 0.7 * s.x from s join e on e.user_id = s.user_id and e.i = s.i + 1)
  select user_id, count(*) as n, round(max(x), 5) as highest, round(sum(x), 3) as total from s group by 1""")
 def stream_smoothed(spark, d):
