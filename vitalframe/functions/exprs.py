@@ -29,13 +29,14 @@ def ascii_upper(c) -> Column:
 
 
 def uni_trim(c) -> Column:
-    """Strip all Unicode white space on both ends."""
-    return F.regexp_replace(col(c), r"(?U)^\s+|\s+$", "")
+    """Strip all Unicode white space on both ends. Only a text that has some there is rewritten."""
+    c = col(c)
+    return F.when(c.rlike(r"(?U)^\s|\s$"), F.regexp_replace(c, r"(?U)^\s+|\s+$", "")).otherwise(c)
 
 
 def blank(c) -> Column:
     """True for null and for white space only."""
-    return F.coalesce(uni_trim(c) == "", F.lit(True))
+    return F.coalesce(~col(c).rlike(r"(?U)\S"), F.lit(True))
 
 
 def finite(c) -> Column:
