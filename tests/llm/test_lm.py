@@ -94,12 +94,13 @@ def test_hot_pairs_and_words_are_spread(spark, monkeypatch):
     monkeypatch.setattr(lm, "HOT_PAIR", 10)
     frame.triples(np.full(len(frame.pair_key), 50, np.uint64))
     spread = frame.asked_triples()
-    assert len(spread.order) - spread.n == lm.SPREAD * (frame.pair_w != frame.end).sum()
+    assert len(spread.bare) == lm.SPREAD * (frame.pair_w != frame.end).sum()
 
 
-def test_packed_hashes():
+def test_shortened_hashes():
     hashes = np.array([0, 1, (1 << 48) - 1, 1 << 63, 12345678901234567890], np.uint64)
-    assert lm._from_six(lm._six(hashes)).tolist() == [int(h) % (1 << 48) for h in hashes]
+    for size in (5, 6, 8):
+        assert lm._from_short(lm._short(hashes, size), size).tolist() == lm._cut_to(hashes, size).tolist() if size < 8 else lm._from_short(lm._short(hashes, 8), 8).tolist() == hashes.tolist()
 
 
 def test_probabilities_sum_to_one(spark):

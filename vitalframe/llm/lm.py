@@ -17,7 +17,7 @@ its own distinct words and bigrams; the asked keys, with the block's own trainin
 all blocks, and the totals go back in the order asked. Then it asks for its trigrams whose two bigrams occur twice at least. The
 answers are the block's part of the automaton. Whatever the hot word, a block asks once for it; what follows a frequent word or pair
 is dealt over several parts. A message holds a key at least, so their number grows no faster than the input.
-Words and pairs are 64-bit hashes, what follows them is told apart by 48 bits of its own.
+Words are 64-bit hashes; pairs are told apart by 48 bits in their part, and what follows a word or pair by 40 bits of its own.
 """
 
 from __future__ import annotations
@@ -63,17 +63,25 @@ def _unpack(data: bytes, n: int) -> np.ndarray:
     return numbers
 
 
-def _six(hashes: np.ndarray) -> bytes:
-    """The low 48 bits of hashes."""
-    return hashes.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+#: Bytes of a hash that are sent: of a word, of a pair that groups what follows it, and of an item inside its group.
+_WORD_BYTES, _GROUP_BYTES, _ITEM_BYTES = 8, 6, 5
 
 
-def _from_six(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+def _short(hashes: np.ndarray, size: int) -> bytes:
+    """The low bytes of hashes."""
+    return np.ascontiguousarray(hashes).view(np.uint8).reshape(-1, 8)[:, :size].tobytes()
+
+
+def _from_short(data: bytes, size: int) -> np.ndarray:
+    out = np.zeros((len(data) // size, 8), np.uint8)
+    out[:, :size] = np.frombuffer(data, np.uint8).reshape(-1, size)
     return out.view(np.uint64).ravel()
 
 
+def _cut_to(hashes: np.ndarray, size: int) -> np.ndarray:
+    return hashes & np.uint64((1 << 8 * size) - 1)
+
+
 class Block:
     """The tokens of a block of documents as local ids, and its distinct bigrams. Ids follow the parts and hashes of the words, so bigrams sorted by id are in the order in which they are asked for."""
 
@@ -128,7 +136,7 @@ class Block:
             ws, mine = slice(words_[p], words_[p + 1]), plain[pairs[p] : pairs[p + 1]]
             sizes = np.bincount(self.pair_h[mine] - words_[p], minlength=ws.stop - ws.start)
             counts = np.concatenate([word_counts[ws], pair_counts[mine]])
-            out.append((_WORD, int(p), block, self.hash[ws].tobytes(), _pack(sizes), _six(self.hash[self.pair_w[mine]]), _pack(counts)))
+            out.append((_WORD, int(p), block, self.hash[ws].tobytes(), _pack(sizes), _short(self.hash[self.pair_w[mine]], _ITEM_BYTES), _pack(counts)))
         hot = np.flatnonzero(self.is_hot[self.pair_h])
         return out + self._hot_pairs().rows(block, pair_counts[hot])
 
@@ -165,58 +173,63 @@ class Block:
         self.triple_at = np.full(len(self.w), -1, np.int32)
         self.triple_at[at] = place
         self.triple_pair, self.triple_w = (self.triple_key // self.width).astype(np.int32), (self.triple_key % self.width).astype(np.int32)
-        # A pair that none of them begins with is asked for all the same, by an empty item, as it has a failure arc.
+        # A pair that none of them begins with is asked for all the same, without items, as it has a failure arc.
         self.alone = np.setdiff1d(np.flatnonzero(often & (self.pair_w != self.end)), self.triple_pair)
         self.hot_pair = pair_totals >= HOT_PAIR
 
     def asked_triples(self) -> Asked:
-        pair = np.concatenate([self.triple_pair, self.alone])
-        item = np.concatenate([self.hash[self.triple_w], np.zeros(len(self.alone), np.uint64)])
-        return Asked(_TRIPLE, self.pair_hash(pair), item, self.parts, self.hot_pair[pair])
+        return Asked(_TRIPLE, self._pair(self.triple_pair), self.hash[self.triple_w], self.parts, self.hot_pair[self.triple_pair], self._pair(self.alone), self.hot_pair[self.alone])
+
+    def _pair(self, pairs: np.ndarray) -> np.ndarray:
+        return _cut_to(self.pair_hash(pairs), _GROUP_BYTES)
 
     def ask_triples(self, block: int) -> list[tuple]:
-        return self.asked_triples().rows(block, np.concatenate([self.triple_counts, np.zeros(len(self.alone), np.int64)]))
+        return self.asked_triples().rows(block, self.triple_counts)
 
     def told_triples(self, answers: dict[tuple[int, int], tuple[bytes, bytes, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Totals of the trigrams, and for each pair the arcs that begin with it and their occurrences."""
         totals, groups, types, sums = self.asked_triples().told(answers)
         pairs = np.concatenate([np.unique(self.triple_pair), self.alone]).astype(np.int64)
-        at = np.searchsorted(groups, self.pair_hash(pairs))
+        at = np.searchsorted(groups, self._pair(pairs))
         arcs, kept = np.zeros(len(self.pair_key)), np.zeros(len(self.pair_key))
         arcs[pairs], kept[pairs] = types[at], sums[at]
-        return totals[: len(self.triple_key)].astype(float), arcs, kept
+        return totals.astype(float), arcs, kept
 
 
 class Asked:
-    """Items (48-bit hashes) of groups (hashes) that a block asks for, in the order in which they are sent.
+    """Items (hashes) of groups (hashes) that a block asks for, in the order in which they are sent, and groups that it asks for without items.
 
     A group goes to one part; the items of a hot one are dealt over SPREAD parts, which are all asked for it, so that what they say of the group can be added up.
     """
 
-    def __init__(self, kind: int, group: np.ndarray, item: np.ndarray, parts: int, hot: np.ndarray):
-        self.kind, self.n = kind, len(group)
+    def __init__(self, kind: int, group: np.ndarray, item: np.ndarray, parts: int, hot: np.ndarray, alone: np.ndarray | None = None, hot_alone: np.ndarray | None = None):
+        self.kind = kind
         part = group % np.uint64(parts)
-        if hot.any():
-            part[hot] = (group[hot] + mixed(item[hot]) % np.uint64(SPREAD)) % np.uint64(parts)
-            groups = np.unique(group[hot])
-            extra = np.repeat(groups, SPREAD)
-            part = np.concatenate([part, (extra + np.tile(np.arange(SPREAD, dtype=np.uint64), len(groups))) % np.uint64(parts)])
-            group, item = np.concatenate([group, extra]), np.concatenate([item, np.zeros(len(extra), np.uint64)])
+        part[hot] = (group[hot] + mixed(item[hot]) % np.uint64(SPREAD)) % np.uint64(parts)
         self.order = np.lexsort((group, part))
         self.part, self.group, self.item = part[self.order], group[self.order], item[self.order]
+        spread = np.unique(group[hot]) if alone is None else np.unique(np.concatenate([group[hot], alone[hot_alone]]))
+        bare = np.repeat(spread, SPREAD)
+        bare_part = (bare + np.tile(np.arange(SPREAD, dtype=np.uint64), len(spread))) % np.uint64(parts)
+        if alone is not None:
+            bare, bare_part = np.concatenate([bare, alone[~hot_alone]]), np.concatenate([bare_part, alone[~hot_alone] % np.uint64(parts)])
+        order = np.argsort(bare_part, kind="stable")
+        self.bare, self.bare_part = bare[order], bare_part[order]
 
     def messages(self) -> Iterator[tuple[int, slice, np.ndarray, np.ndarray]]:
-        """For each part that is asked: its number and slice, the distinct groups there and how many items each has."""
-        if not len(self.part):
-            return
-        starts = np.flatnonzero(np.concatenate([[True], self.part[1:] != self.part[:-1]]))
-        for a, b in zip(starts, np.append(starts[1:], len(self.part)), strict=True):
-            groups, first = np.unique(self.group[a:b], return_index=True)
-            yield int(self.part[a]), slice(a, b), groups, np.diff(np.append(first, b - a))
+        """For each part that is asked: its number and slice, the distinct groups there, rising, and how many items each has."""
+        for p in np.union1d(self.part, self.bare_part):
+            a, b = np.searchsorted(self.part, [p, p + np.uint64(1)])
+            groups, sizes = np.unique(self.group[a:b], return_counts=True)
+            c, d = np.searchsorted(self.bare_part, [p, p + np.uint64(1)])
+            every = np.union1d(groups, self.bare[c:d])
+            all_sizes = np.zeros(len(every), np.int64)
+            all_sizes[np.searchsorted(every, groups)] = sizes
+            yield int(p), slice(int(a), int(b)), every, all_sizes
 
     def rows(self, block: int, counts: np.ndarray) -> list[tuple]:
-        counts = np.concatenate([counts, np.zeros(len(self.order) - self.n, counts.dtype)])[self.order]
-        return [(self.kind, part, block, groups.tobytes(), _pack(sizes), _six(self.item[s]), _pack(counts[s])) for part, s, groups, sizes in self.messages()]
+        counts, size = counts[self.order], _WORD_BYTES if self.kind == _PAIR else _GROUP_BYTES
+        return [(self.kind, part, block, _short(groups, size), _pack(sizes), _short(self.item[s], _ITEM_BYTES), _pack(counts[s])) for part, s, groups, sizes in self.messages()]
 
     def told(self, answers: dict[tuple[int, int], tuple[bytes, bytes, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Totals of the items, in the block's own order; and of the distinct groups their hashes, how many items they have in all and with how many occurrences."""
@@ -230,10 +243,10 @@ class Asked:
         back = np.empty(len(totals), np.uint64)
         back[self.order] = totals
         if not groups_all:
-            return back[: self.n], np.empty(0, np.uint64), np.empty(0), np.empty(0)
+            return back, np.empty(0, np.uint64), np.empty(0), np.empty(0)
         groups, at = np.unique(np.concatenate(groups_all), return_inverse=True)
         add = lambda x: np.bincount(at, np.concatenate(x).astype(float), len(groups))
-        return back[: self.n], groups, add(types), add(sums)
+        return back, groups, add(types), add(sums)
 
 
 _ASKED = "kind int, part int, block int, keys binary, sizes binary, items binary, counts binary"
@@ -251,14 +264,14 @@ def _added(at: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
 def _totals(asked: pd.DataFrame) -> pd.DataFrame:
     """Add up one part over all blocks that asked; answers keep each block's order. A part of words also tells its share of N and V."""
     kind, part = int(asked["kind"].iloc[0]), int(asked["part"].iloc[0])
-    keys = [np.frombuffer(x, np.uint64) for x in asked["keys"]]
-    items = [_from_six(x) for x in asked["items"]]
+    keys = [_from_short(x, _GROUP_BYTES if kind == _TRIPLE else _WORD_BYTES) for x in asked["keys"]]
+    items = [_from_short(x, _ITEM_BYTES) for x in asked["items"]]
     words_ = [len(k) if kind == _WORD else 0 for k in keys]
     sizes = np.concatenate([_unpack(x, len(k)) for x, k in zip(asked["sizes"], keys, strict=True)]).astype(np.int64)
     counts = [_unpack(x, n + len(i)) for x, n, i in zip(asked["counts"], words_, items, strict=True)]
     key_cuts, cuts = np.cumsum([len(k) for k in keys])[:-1], np.cumsum([len(i) for i in items])[:-1]
     groups, group_at = np.unique(np.concatenate(keys), return_inverse=True)
-    # An item is told apart within its group; the placeholder 0 counts nothing.
+    # An item is told apart within its group.
     owner = np.repeat(group_at, sizes)
     distinct, first, at = np.unique(mixed(groups[owner] * _K + np.concatenate(items)), return_index=True, return_inverse=True)
     total = _added(at, np.concatenate([c[n:] for c, n in zip(counts, words_, strict=True)]), len(distinct))
