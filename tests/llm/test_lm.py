@@ -63,13 +63,15 @@ def test_against_brute_force(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rows = [tuple(r) for r in docs.collect()]
     assert got(lm.score(docs, block_bytes=40_000)) == brute(rows)
+    assert got(lm.score(table(spark, sf_dir, "documents"), block_bytes=40_000, near="lang")) == brute(rows)
 
 
 def test_odd_rows(spark):
     rows = [(None, "a b"), (1, None), (2, ""), (3, "A\tb\x0bc a b"), (3, "A\tb\x0bc a b"), (4, "x y " * 3000), (5, "x y z " * 7000), (5, "x y z " * 7000), (5, "É  x"), (6, "a b c"), (7, "q"), (9007199254740993, "a b"), (-9007199254740995, "q a")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "text as block", "1 as training")
     assert got(lm.score(docs, block_bytes=500)) == brute(rows)
-    assert lm.score(docs.limit(0)).count() == 0
+    assert lm.score(docs.limit(0)).count() == lm.score(docs.limit(0), near="block").count() == 0
+    assert got(lm.score(docs, block_bytes=500, near="training")) == got(lm.score(docs.selectExpr("doc_id", "text", "if(doc_id > 3, null, text) as n"), block_bytes=300, near="n")) == brute(rows)
 
 
 def test_counts_of_any_size_are_packed():

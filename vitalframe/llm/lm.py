@@ -17,7 +17,8 @@ its own distinct words and bigrams; the asked keys, with the block's own trainin
 all blocks, and the totals go back in the order asked. Then it asks for its trigrams whose two bigrams occur twice at least. The
 answers are the block's part of the automaton. Whatever the hot word, a block asks once for it; what follows a frequent word or pair
 is dealt over several parts. A message holds a key at least, so their number grows no faster than the input.
-Words are 64-bit hashes; pairs are told apart by 48 bits in their part, and what follows a word or pair by 40 bits of its own.
+Words are 64-bit hashes; pairs are told apart by 40 bits in their part, and what follows
+a word or pair by 32 bits of its own, after a frequent word by 40.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitalframe.llm.common import id_remainder
@@ -40,8 +41,8 @@ from vitalframe.llm.words import WordHashes, mixed, words
 BLOCK_BYTES, DISCOUNT, ADD, LEAST = 16 << 20, 0.75, 0.1, 2
 #: About so many documents are looked at for frequent words; a word with this share of them is dealt over SPREAD parts; most such words.
 SAMPLE_DOCS, HOT_SHARE, SPREAD, MOST_HOT = 2000, 0.001, 16, 512
-#: A pair that occurs so often is dealt over SPREAD parts. Words of a piece that is read beside others.
-HOT_PAIR, PIECE = 200_000, 1024
+#: A pair that occurs so often is dealt over SPREAD parts. Words of a piece that is read beside others. Values of `near` that are told apart.
+HOT_PAIR, PIECE, MOST_NEAR = 200_000, 1024, 500
 END, START = np.uint64(1), np.uint64(2)
 _WORD, _PAIR, _TRIPLE, _SUMS = 0, 1, 2, 3
 _FULL = np.uint64(0xFFFFFFFF)
@@ -63,8 +64,8 @@ def _unpack(data: bytes, n: int) -> np.ndarray:
     return numbers
 
 
-#: Bytes of a hash that are sent: of a word, of a pair that groups what follows it, and of an item inside its group.
-_WORD_BYTES, _GROUP_BYTES, _ITEM_BYTES = 8, 6, 5
+#: Bytes of a hash that are sent: of a word, of a pair that groups what follows it, and of an item inside its group, by kind of message.
+_WORD_BYTES, _GROUP_BYTES, _ITEM_BYTES = 8, 5, {_WORD: 4, _PAIR: 5, _TRIPLE: 4}
 
 
 def _short(hashes: np.ndarray, size: int) -> bytes:
@@ -136,7 +137,7 @@ class Block:
             ws, mine = slice(words_[p], words_[p + 1]), plain[pairs[p] : pairs[p + 1]]
             sizes = np.bincount(self.pair_h[mine] - words_[p], minlength=ws.stop - ws.start)
             counts = np.concatenate([word_counts[ws], pair_counts[mine]])
-            out.append((_WORD, int(p), block, self.hash[ws].tobytes(), _pack(sizes), _short(self.hash[self.pair_w[mine]], _ITEM_BYTES), _pack(counts)))
+            out.append((_WORD, int(p), block, self.hash[ws].tobytes(), _pack(sizes), _short(self.hash[self.pair_w[mine]], _ITEM_BYTES[_WORD]), _pack(counts)))
         hot = np.flatnonzero(self.is_hot[self.pair_h])
         return out + self._hot_pairs().rows(block, pair_counts[hot])
 
@@ -229,7 +230,7 @@ class Asked:
 
     def rows(self, block: int, counts: np.ndarray) -> list[tuple]:
         counts, size = counts[self.order], _WORD_BYTES if self.kind == _PAIR else _GROUP_BYTES
-        return [(self.kind, part, block, _short(groups, size), _pack(sizes), _short(self.item[s], _ITEM_BYTES), _pack(counts[s])) for part, s, groups, sizes in self.messages()]
+        return [(self.kind, part, block, _short(groups, size), _pack(sizes), _short(self.item[s], _ITEM_BYTES[self.kind]), _pack(counts[s])) for part, s, groups, sizes in self.messages()]
 
     def told(self, answers: dict[tuple[int, int], tuple[bytes, bytes, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Totals of the items, in the block's own order; and of the distinct groups their hashes, how many items they have in all and with how many occurrences."""
@@ -265,7 +266,7 @@ def _totals(asked: pd.DataFrame) -> pd.DataFrame:
     """Add up one part over all blocks that asked; answers keep each block's order. A part of words also tells its share of N and V."""
     kind, part = int(asked["kind"].iloc[0]), int(asked["part"].iloc[0])
     keys = [_from_short(x, _GROUP_BYTES if kind == _TRIPLE else _WORD_BYTES) for x in asked["keys"]]
-    items = [_from_short(x, _ITEM_BYTES) for x in asked["items"]]
+    items = [_from_short(x, _ITEM_BYTES[kind]) for x in asked["items"]]
     words_ = [len(k) if kind == _WORD else 0 for k in keys]
     sizes = np.concatenate([_unpack(x, len(k)) for x, k in zip(asked["sizes"], keys, strict=True)]).astype(np.int64)
     counts = [_unpack(x, n + len(i)) for x, n, i in zip(asked["counts"], words_, items, strict=True)]
@@ -389,22 +390,43 @@ def frequent_words(docs: DataFrame) -> np.ndarray:
     return np.unique(np.append(keep.view(np.uint64), START))
 
 
-def score(docs: DataFrame, modulus: int = 10, held: int = 0, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def _blocks(rows: DataFrame, near: str | None, block_bytes: int) -> tuple[Column, int]:
+    """The block of each row (doc_id, text, and _near with `near`), and the number of blocks.
+
+    Rows with one value of `near` get as many neighbouring blocks as their bytes need; the MOST_NEAR largest values are told apart, the others are one.
+    """
+    size = F.octet_length("text") + 64
+    deal = F.xxhash64("doc_id", "text")
+    if near is None:
+        count = max(1, math.ceil((rows.agg(F.sum(size)).first()[0] or 0) / block_bytes))
+        return F.pmod(deal, F.lit(count)).cast("int"), count
+    found = rows.groupBy("_near").agg(F.sum(size).alias("n")).orderBy(F.col("n").desc(), "_near").limit(MOST_NEAR).collect()
+    rest = (rows.agg(F.sum(size)).first()[0] or 0) - sum(r["n"] for r in found)
+    first, width, upto = {}, {}, 0
+    for key, n in [*((r["_near"], r["n"]) for r in found), (None, rest)]:
+        first[key], width[key] = upto // block_bytes, max(1, math.ceil(n / block_bytes))
+        upto += n
+    named = [k for k in first if k is not None]
+    at = lambda of: F.coalesce(F.create_map(*[F.lit(x) for k in named for x in (k, of[k])])[F.col("_near")] if named else F.lit(None).cast("int"), F.lit(of[None])).cast("int")
+    return (at(first) + F.pmod(deal, at(width).cast("long"))).cast("int"), max(first[k] + width[k] for k in first)
+
+
+def score(docs: DataFrame, modulus: int = 10, held: int = 0, block_bytes: int = BLOCK_BYTES, near: str | None = None) -> DataFrame:
     """Per row of docs (doc_id long, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     The model learns from all rows whose crc32(doc_id as text) mod modulus is not `held`. Tokens are the
     words [^\\x20\\x09-\\x0D]+ with A-Z lower-cased, then one end. A null text counts as empty; ids are kept exactly; a null doc_id is not learned from
     and not held out; repeated rows are scored, and learned from, each time. Without training texts every
     count is 0. Scores are base-10 logs. Texts count whole at any length; a text longer than a block makes a longer one. Other columns are ignored.
-    An empty table gives no rows.
+    An empty table gives no rows. near: a column whose equal values are dealt into the same blocks as far as they fit, such as the
+    language: these ask for fewer different words then. It is no input of the model and changes no result.
     """
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *([F.coalesce(F.col(near).cast("string"), F.lit("")).alias("_near")] if near else []))
     remainder = id_remainder(F.col("doc_id"), modulus)
-    size = rows.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
-    parts = blocks = max(1, math.ceil(size / block_bytes))
+    block, parts = _blocks(rows, near, block_bytes)
     hot = frequent_words(rows)
     dealt = rows.select(
-        F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"), F.col("doc_id").cast("string").alias("doc_id"), "text",
+        block.alias("block"), F.col("doc_id").cast("string").alias("doc_id"), "text",
         F.coalesce(remainder == held, F.lit(False)).alias("held_out"), F.coalesce(remainder != held, F.lit(False)).alias("training"),
     )
 

@@ -57,7 +57,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.score(table(spark, sf_dir, "documents"))
+    return lm.score(table(spark, sf_dir, "documents"), near="lang")
 
 
 def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
