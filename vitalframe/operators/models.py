@@ -55,6 +55,12 @@ def cohort_report(frame: DataFrame, score: str, group: str) -> DataFrame:
     return frame.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.avg(score).alias("mean_score"), F.sum((F.col(score) >= 0.7).cast("long")).alias("high"))
 
 
+def patient_risks(frame: DataFrame, ident: str, document: str, group: str, features: list[str], condition: str, timeframe: str) -> DataFrame:
+    """(id, condition, timeframe, score, stratum, group): the risk of each patient by the numbers of their JSON document. group_bias() over it gives the means of the groups."""
+    score = json_risk(document, features)
+    return frame.select(F.col(ident).alias("id"), F.lit(condition).alias("condition"), F.lit(timeframe).alias("timeframe"), score.alias("score"), F.col(group).alias("group")).withColumn("stratum", stratum("score"))
+
+
 def note_findings(text) -> Column:
     """A struct of symptoms, medications and sentiment found by word."""
     low = F.lower(col(text))
@@ -168,7 +174,7 @@ def validate_model(frame: DataFrame, label: Column, score: str, metrics: list, t
     rows = frame.select(*by, label.alias("_y"), F.col(score).cast("double").alias("_s")).filter("_y is not null and _s is not null and not isnan(_s)")
     y, s, p = F.col("_y"), F.col("_s"), F.col("_s") >= threshold
     one = rows.groupBy(*by).agg(*[f(y, s, p).alias(f"_m{i}") for i, (_, f) in enumerate(named)])
-    values = F.array(*[F.struct(F.lit(n).alias("metric"), F.col(f"_m{i}").cast("double").alias("value")) for i, (n, _) in enumerate(named)])
+    values = F.array(*[F.struct(F.lit(n).alias("metric"), F.coalesce(F.col(f"_m{i}").cast("double"), F.lit(0.0)).alias("value")) for i, (n, _) in enumerate(named)])
     return one.select(*by, F.explode(values).alias("_x")).select(*by, "_x.*")
 
 

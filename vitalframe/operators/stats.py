@@ -90,6 +90,21 @@ def standardize(frame: DataFrame, value: str, *by: str) -> DataFrame:
     return wide.withColumn("z", safe_div(F.col(value) - F.col("_m"), "_s", 0.0)).drop("_m", "_s")
 
 
+def scaler(frame: DataFrame, value: str, *by: str) -> DataFrame:
+    """(by, mean, sd): what standardize() uses, to be kept for other rows; sd is 1 where the values do not vary."""
+    sd = F.stddev_pop(value)
+    return frame.groupBy(*by).agg(F.avg(value).alias("mean"), F.when(sd > 0, sd).otherwise(1.0).alias("sd"))
+
+
+def scaled(x, mean, sd) -> Column:
+    return (col(x) - col(mean)) / col(sd)
+
+
+def unscaled(z, mean, sd) -> Column:
+    """The inverse of scaled()."""
+    return col(z) * col(sd) + col(mean)
+
+
 def linear_fit(frame: DataFrame, y: str, x: str, *by: str) -> DataFrame:
     return frame.groupBy(*by).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"))
 

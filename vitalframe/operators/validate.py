@@ -180,3 +180,8 @@ def snomed_error(c: str) -> Column:
 
 def text_error(c: str, most: int) -> Column:
     return first_error([(blank(c), "text is empty"), (F.octet_length(c) > most, f"text is over {most} bytes")])
+
+
+def resource_error() -> Column:
+    """The light check that any resource must pass, whatever its type: an id that is not blank."""
+    return F.when(blank("id"), "resource id must not be empty")

@@ -7,11 +7,11 @@ import uuid
 from pyspark.sql import functions as F
 
 from vitalframe.functions.shared import shared_dir
-from vitalframe.operators import stats, validate
+from vitalframe.operators import models, stats, validate
 from vitalframe.operators.query import Query, series_by_code
 from vitalframe.plans.frames import table
 from vitalframe.plans.registry import query
-from vitalframe.sources import genomics, ndjson
+from vitalframe.sources import genomics, ndjson, omop
 
 _KINDS = ["Patient", "Observation", "MedicalEvent", "Medication", "Procedure", "Condition", "Encounter", "DiagnosticReport"]
 #: Rows of all resources out of the orders; every field is faulty in some.
@@ -106,3 +106,43 @@ def file_store(spark, d):
 def predictions(spark, d):
     q = F.col("l_quantity")
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(stats.linear_predict(q, 0.5, 1.0), 6).alias("line"), F.round(stats.logistic_probability(q, 0.1, -2.0), 6).alias("chance"))
+
+
+@query("omop_json_roundtrip", "select o_orderkey as visit_occurrence_id, o_custkey as person_id, strftime(o_orderdate, '%Y-%m-%d') as visit_start_date, o_orderpriority as visit_source_value, o_orderkey % 7 <> 3 as complete from orders")
+def omop_json_roundtrip(spark, d):
+    """Visits out of the orders, as JSON and back; one in seven lacks its person, which makes the object null."""
+    k, day = F.col("o_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd")
+    rows = table(spark, d, "orders").select(
+        k.cast("long").alias("visit_occurrence_id"), F.when(k % 7 != 3, F.col("o_custkey")).alias("person_id"), F.lit(9202).alias("visit_concept_id"), day.alias("visit_start_date"), day.alias("visit_end_date"),
+        F.lit(44818518).alias("visit_type_concept_id"), F.col("o_orderpriority").alias("visit_source_value"), F.col("o_custkey").alias("true_person"),
+    )
+    back = rows.withColumn("v", omop.from_json(omop.to_json(rows, "VisitOccurrence"), "VisitOccurrence"))
+    return back.select("visit_occurrence_id", F.col("true_person").alias("person_id"), F.coalesce("v.visit_start_date", "visit_start_date").alias("visit_start_date"), F.coalesce("v.visit_source_value", "visit_source_value").alias("visit_source_value"), F.col("v").isNotNull().alias("complete"))
+
+
+@query("trial_welch", """with r as (select case when l_returnflag = 'A' then 'treatment' else 'control' end as g, l_quantity as x from lineitem where l_orderkey % 10 <> 3),
+ s as (select avg(x) filter (where g = 'treatment') as ma, var_samp(x) filter (where g = 'treatment') / count(*) filter (where g = 'treatment') as a, count(*) filter (where g = 'treatment') as na,
+  avg(x) filter (where g = 'control') as mb, var_samp(x) filter (where g = 'control') / count(*) filter (where g = 'control') as b, count(*) filter (where g = 'control') as nb from r)
+ select round((ma - mb) / sqrt(a + b), 6) as t, round(pow(a + b, 2) / (a * a / (na - 1) + b * b / (nb - 1)), 3) as df from s""")
+def trial_welch(spark, d):
+    """A trial's lines of text, some of them broken, into Welch's test."""
+    k = F.col("l_orderkey")
+    group = F.when(F.col("l_returnflag") == "A", " treatment").otherwise("control ")
+    line = F.when(k % 10 == 3, F.concat(group, F.lit(",n/a"))).otherwise(F.concat(group, F.lit(", "), F.col("l_quantity").cast("string")))
+    lines = table(spark, d, "lineitem").select(line.alias("value")).unionByName(spark.createDataFrame([("group,outcome",), ("a,b,c",)], "value string"))
+    found = stats.welch(omop.trial_lines(lines), "outcome", "group", "treatment", "control")
+    return found.select(F.round("t", 6).alias("t"), F.round("df", 3).alias("df"))
+
+
+@query("scaler_inverse", "select l_returnflag, count(*) as n, count(*) as same, round(avg(l_quantity), 6) as mean, round(stddev_pop(l_quantity), 6) as sd from lineitem group by 1")
+def scaler_inverse(spark, d):
+    rows = table(spark, d, "lineitem").select("l_returnflag", "l_quantity")
+    back = rows.join(stats.scaler(rows, "l_quantity", "l_returnflag"), "l_returnflag").withColumn("x", stats.unscaled(stats.scaled("l_quantity", "mean", "sd"), "mean", "sd"))
+    near = (F.abs(F.col("x") - F.col("l_quantity")) < 1e-9).cast("long")
+    return back.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.sum(near).alias("same"), F.round(F.first("mean"), 6).alias("mean"), F.round(F.first("sd"), 6).alias("sd"))
+
+
+@query("patient_risks", """select event_id as id, 'sepsis' as condition, '30d' as timeframe, round(least(greatest(try_cast(json_extract_string(props, '$.k') as double), 0), 1), 6) as score, case when try_cast(json_extract_string(props, '$.k') as double) >= 0.7 then 'High' when try_cast(json_extract_string(props, '$.k') as double) >= 0.3 then 'Moderate' else 'Low' end as stratum, event_type as "group" from events""")
+def patient_risks(spark, d):
+    found = models.patient_risks(table(spark, d, "events"), "event_id", "props", "event_type", ["k", "none"], "sepsis", "30d")
+    return found.withColumn("score", F.round("score", 6))

@@ -101,6 +101,11 @@ def phred(c) -> Column:
     return F.ascii(col(c)) - 33
 
 
+def phred_char(q) -> Column:
+    """The character of a quality from 0 to 93; null for any other."""
+    return F.when(col(q).between(0, 93), F.char(col(q) + 33))
+
+
 def fastq_stats(records: DataFrame) -> DataFrame:
     """One row: reads, bases, whole average length, mean quality over all bases."""
     total = F.aggregate(F.filter(F.split("quality", ""), lambda c: c != ""), F.lit(0).cast("long"), lambda s, c: s + phred(c))
