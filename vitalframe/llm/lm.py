@@ -38,7 +38,7 @@ from vitalframe.llm.common import id_remainder
 from vitalframe.llm.words import WordHashes, mixed, words
 
 #: Bytes of text of a block, discount, the constant of the one-word base, and the least count of a trigram's arc.
-BLOCK_BYTES, DISCOUNT, ADD, LEAST = 16 << 20, 0.75, 0.1, 2
+BLOCK_BYTES, DISCOUNT, ADD, LEAST = 11 << 20, 0.75, 0.1, 2
 #: About so many documents are looked at for frequent words; a word with this share of them is dealt over SPREAD parts; most such words.
 SAMPLE_DOCS, HOT_SHARE, SPREAD, MOST_HOT = 2000, 0.001, 16, 512
 #: A pair that occurs so often is dealt over SPREAD parts. Words of a piece that is read beside others. Values of `near` that are told apart.
