@@ -63,6 +63,7 @@ def patient_risks(frame: DataFrame, ident: str, document: str, group: str, featu
 
 def note_findings(text) -> Column:
     """A struct of symptoms, medications and sentiment found by word."""
+    # The words that are looked for.
     low = F.lower(col(text))
     found = lambda *words: F.array_compact(F.array(*[F.when(low.contains(w), F.lit(w)) for w in words]))
     has = lambda *words: low.contains(words[0]) | low.contains(words[1])
