@@ -71,6 +71,25 @@ def test_every_pair_decided_in_the_last_level(spark, monkeypatch):
     test_clusters_around_the_threshold(spark, 11)
 
 
+def test_loose_copies_are_not_compared_with_each_other(spark, monkeypatch):
+    """Copies too loose to link with the text they come from: their intersections are large, but what they differ in from it is not shared."""
+    rnd = random.Random(5)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for _ in range(240):
+        text = list(base)
+        for _ in range(rnd.randint(1, 6)):
+            at = rnd.randrange(len(text) - 1)
+            text[at : at + 2] = rnd.choice([[text[at + 1]], [text[at + 1], text[at]], [text[at] + rnd.choice("xyz"), text[at + 1]], [f"e{rnd.randint(0, 99999)}", text[at + 1]]])
+        rows.append(" ".join(text))
+    rows = list(enumerate([*rows, " ".join(base)]))
+    compared = []
+    beside = ngram_join._beside
+    monkeypatch.setattr(ngram_join, "_beside", lambda pairs, sets: compared.append(pairs.count()) or beside(pairs, sets))
+    assert run(spark, rows) == brute(rows)
+    assert compared[-1] <= len(rows)
+
+
 def test_shared_passage_and_chains(spark):
     rnd = random.Random(3)
     passage = " ".join(f"p{i}" for i in range(60))

@@ -11,8 +11,9 @@ set's size). Within each region the set whose shingles are the most common is th
 exact; those within R are links. Then |d(x, p) - d(y, p)| <= R and size(x) >= 0.9 size(y) hold for any linked pair, so
 each pivot's region falls into cells one window wide in both, and every set also goes into the next cell up (the
 boundary). A cell whose sets are one component already is done; the others are regions of the next level with a
-pivot of their own. After LEVELS of that, pairs of different components in one cell are compared, after a bound on
-their intersection from counts of PARTS parts of the shingles (again windows of the metric: to that many fixed pivots at once).
+pivot of their own. After LEVELS of that, one more level takes as pivot the set nearest to what most of a region's sets hold
+(`_centred`). Sets of one cell that are still in different components then meet by their differences from the pivot (`_met`),
+which are small and rarely alike where the sets themselves are nearly equal; what meets is compared.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ from vitalframe.llm.components import connected
 from vitalframe.llm.near_dedup import picked
 from vitalframe.llm.words import WordHashes, shingles, slices, words
 
-#: Words of a shingle, levels of pivots, and parts of the shingles whose counts bound an intersection.
-WIDTH, LEVELS, PARTS = 3, 3, 128
+#: Words of a shingle, and levels of pivots.
+WIDTH, LEVELS = 3, 3
 #: A window is a little wider than R, against rounding; links themselves are decided in whole numbers.
 R, SLACK = 0.1, 1e-9
 
@@ -65,11 +66,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         found = [shingles(hashes.of(words(t)), WIDTH) for t in batch.column(1).to_pylist()]
         found = [f for f in found if len(f)]
-        parts = [np.bincount((f >> np.uint64(40)).astype(np.int64) % PARTS, minlength=PARTS).astype(np.int32) for f in found]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([_digest(f) for f in found], pa.int64()), pa.array([len(f) for f in found], pa.int64()), pa.array(parts, pa.list_(pa.int32())), pa.array([f.tobytes() for f in found], pa.binary())],
-            names=["node", "n", "parts", "members"],
-        )
+        yield pa.RecordBatch.from_arrays([pa.array([_digest(f) for f in found], pa.int64()), pa.array([len(f) for f in found], pa.int64()), pa.array([f.tobytes() for f in found], pa.binary())], names=["node", "n", "members"])
 
 
 def _flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,6 +83,15 @@ def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out, pa.int64())], names=["a", "b", "common"])
 
 
+def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = [np.empty(0, np.uint64)]
+        for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+            out.append(np.setxor1d(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), assume_unique=True))
+        times = [len(f) for f in out[1:]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(c).to_numpy(), times)) for c in ("b", "a")] + [pa.array(np.concatenate(out).view(np.int64))], names=["pivot", "node", "s"])
+
+
 def _beside(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """pairs (a, b) with the members of both sets as x and y."""
     of = lambda node, name: sets.select(F.col("node").alias(node), F.col("members").alias(name))
@@ -103,8 +109,50 @@ def _open(regions: DataFrame, components: DataFrame) -> DataFrame:
     return rows.join(several, "region", "left_semi")
 
 
+def _differing(rows: DataFrame, sets: DataFrame, stages: list[str]) -> DataFrame:
+    """(pivot, node, s): the shingles that just one of node and pivot has, for rows (pivot, node)."""
+    pairs = rows.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+    return materialize(_beside(pairs, sets).mapInArrow(_differences, "pivot long, node long, s long"), stages=stages)
+
+
+def _centred(rows: DataFrame, sets: DataFrame, stages: list[str]) -> DataFrame:
+    """rows (pivot, node, n, weight, pivot_n, common) with another pivot for each one's: the set that differs least from what over half of its sets hold."""
+    flat = _differing(rows, sets, stages)
+    many = rows.groupBy("pivot").agg(F.count(F.lit(1)).alias("k"))
+    most = flat.groupBy("pivot", "s").agg(F.count(F.lit(1)).alias("df")).join(many, "pivot").filter("2 * df > k").select("pivot", "s")
+    within = flat.join(most, ["pivot", "s"]).groupBy("pivot", "node").agg(F.count(F.lit(1)).alias("within"))
+    apart = F.expr("n + pivot_n - 2 * (common + coalesce(within, 0))")
+    centre = rows.join(within, ["pivot", "node"], "left").groupBy("pivot").agg(F.min(F.struct(apart.alias("apart"), "node", "n")).alias("c"))
+    return rows.join(centre, "pivot").select("node", "n", "weight", F.col("c.node").alias("pivot"), F.col("c.n").alias("pivot_n")).distinct()
+
+
+def _met(rows: DataFrame, sets: DataFrame, stages: list[str]) -> DataFrame:
+    """(a, b), repeatedly: pairs of rows (pivot, node, n, pivot_n, common, most, component, by_distance, by_size) of one pivot and of different components that may link.
+
+    Let X be the shingles that just one of x and its pivot p has. x and y link if 19 |X ^ Y| <= n + n2, and |X ^ Y| = |X| + |Y| - 2 |X & Y|.
+    Sets linked with p are one component, so one of a pair is not (`far`). Then, in whole numbers, if x and y link,
+    |X & Y| >= |X| - n div 9 for either, and if y is far, 38 |X & Y| > 19 |X| + pivot_n - n, which is never negative. So with shingles in one order for
+    all of a pivot, the first that X and Y share is among the first |X| - need + 1 of each; those that no other X
+    of the pivot has come first and are in no list. What follows the first shared one bounds the rest of the intersection.
+    """
+    far = F.expr("19 * size > n + pivot_n").alias("far")
+    rows = rows.withColumn("size", F.expr("n + pivot_n - 2 * common")).filter("size > 0").withColumn("far", far)
+    flat = _differing(rows, sets, stages)
+    often = flat.groupBy("pivot", "s").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    own = Window.partitionBy("pivot", "node")
+    listed = flat.join(often, ["pivot", "s"]).withColumn("rank", F.row_number().over(own.orderBy("df", "s"))).withColumn("shared", F.count(F.lit(1)).over(own))
+    listed = listed.select("pivot", "node", "s", "rank", "shared").join(rows, ["pivot", "node"]).withColumn("rest", F.expr("shared - rank"))
+    listed = materialize(listed.withColumn("need", F.expr("greatest(1, size - n div 9)")).filter("rest + 1 >= need"), stages=stages)
+    kept = ("node", "n", "most", "component", "by_distance", "by_size", "size", "rest")
+    left = listed.filter("far").select("pivot", "s", *kept)
+    right = listed.filter("38 * (rest + 1) > 19 * size + pivot_n - n").select("pivot", "s", "far", *[F.col(c).alias(f"{c}2") for c in kept])
+    near = "abs(by_distance - by_distance2) <= 1 and abs(by_size - by_size2) <= 1 and n2 <= most and n <= most2"
+    pairs = left.join(right, ["pivot", "s"]).filter(f"component <> component2 and (not far or node < node2) and {near} and 19 * (size + size2 - 2 * (1 + least(rest, rest2))) <= n + n2")
+    return pairs.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
+
+
 def links(sets: DataFrame, stages: list[str]) -> DataFrame:
-    """(a, b): pairs of nodes that link, enough of them to connect all that links of the sets (node, n, parts, members) do."""
+    """(a, b): pairs of nodes that link, enough of them to connect all that links of the sets (node, n, members) do."""
     flat = sets.select("node", "members").mapInArrow(_flat, "node long, s long")
     often = flat.groupBy("s").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     # Rows that are left have a partner; the lone shingles of a set come first in its order and have no region.
@@ -115,10 +163,14 @@ def links(sets: DataFrame, stages: list[str]) -> DataFrame:
     regions = materialize(prefix.select(F.col("s").alias("region"), "node", "n", "weight"), stages=stages)
 
     measured = found = components = None
-    for _ in range(LEVELS):
+    for level in range(LEVELS + 1):
         rows = regions if components is None else materialize(_open(regions, components).drop("component"), stages=stages)
-        pivots = rows.groupBy("region").agg(F.max(F.struct("weight", "node", "n")).alias("p"), F.count(F.lit(1)).alias("members")).filter("members > 1")
-        near = rows.join(pivots.select("region", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n")), "region").select("node", "n", "weight", "pivot", "pivot_n").distinct()
+        if level < LEVELS:
+            rows = rows.select("region", "node", "n", "weight")
+            pivots = rows.groupBy("region").agg(F.max(F.struct("weight", "node", "n")).alias("p"), F.count(F.lit(1)).alias("members")).filter("members > 1")
+            near = rows.join(pivots.select("region", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n")), "region").select("node", "n", "weight", "pivot", "pivot_n").distinct()
+        else:
+            near = _centred(rows.select("pivot", "node", "n", "weight", "pivot_n", "common").distinct(), sets, stages)
         near = materialize(near, stages=stages)
         fresh = near.filter("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
         fresh = fresh if measured is None else fresh.join(measured, ["a", "b"], "left_anti")
@@ -137,22 +189,17 @@ def links(sets: DataFrame, stages: list[str]) -> DataFrame:
         placed = placed.withColumn("by_distance", _cell(distance, R)).withColumn("by_size", _cell(F.log("n"), float(-np.log(1 - R))))
         up = lambda c: F.explode(F.array(F.col(c), F.col(c) + 1))
         placed = placed.withColumn("d", up("by_distance")).withColumn("s", up("by_size"))
-        regions = placed.select(F.xxhash64("pivot", "d", "s").alias("region"), "node", "n", "weight", "d", "s", "by_distance", "by_size")
+        regions = placed.select(F.xxhash64("pivot", "d", "s").alias("region"), "node", "n", "weight", "pivot", "pivot_n", "common", "by_distance", "by_size")
 
-    rows = materialize(_open(regions, components), stages=stages)
+    rows = _open(regions, components).select("pivot", "node", "n", "pivot_n", "common", "component", "by_distance", "by_size").distinct()
+    rows = materialize(rows, stages=stages)
     # Shingles that no other set in an open cell has are in none of the intersections still asked for. So I <= min(m, m2) for the
     # rest m of a set, and as a link needs 19 I >= 9 (n + n2), each set has a largest size that a partner may have.
     left = flat.join(rows.select("node").distinct(), "node", "left_semi")
     shared = left.join(left.groupBy("s").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").select("s"), "s", "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("m"))
     rows = rows.join(shared, "node").withColumn("most", F.expr("(19 * m) div 9 - n")).filter("10 * m >= 9 * n")
-    rows = materialize(rows.join(sets.select("node", "parts"), "node"), stages=stages)
-    other = rows.select("region", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "most", "component", "by_distance", "by_size", "parts")])
-    within = F.aggregate(F.zip_with("parts", "parts2", lambda x, y: F.least(x, y)), F.lit(0), lambda total, v: total + v)
-    # A pair shares up to four cells and is taken from the upper one.
-    upper = (F.col("d") == F.greatest("by_distance", "by_distance2")) & (F.col("s") == F.greatest("by_size", "by_size2"))
-    sizes = (F.col("n2") <= F.col("most")) & (F.col("n") <= F.col("most2"))
-    pairs = rows.join(other, "region").filter((F.col("component") < F.col("component2")) & upper & sizes & linked(within, F.col("n"), F.col("n2")))
-    pairs = pairs.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct().join(measured, ["a", "b"], "left_anti")
+    rows = materialize(rows.drop("m"), stages=stages)
+    pairs = _met(rows, sets, stages).distinct().join(measured, ["a", "b"], "left_anti")
     last = _beside(materialize(pairs, stages=stages), sets).mapInArrow(_common, "a long, b long, common long")
     size = sets.select("node", "n")
     last = last.join(size.select(F.col("node").alias("a"), "n"), "a").join(size.select(F.col("node").alias("b"), F.col("n").alias("m")), "b").filter(linked(F.col("common"), F.col("n"), F.col("m")))
@@ -178,7 +225,7 @@ def join_components(docs: DataFrame) -> DataFrame:
     classes = materialize(signed.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n")), stages=stages)
     left = materialize(classes.join(lone, "node", "left").filter("10 * (n - coalesce(lone, 0)) >= 9 * n").select("node", "rep"), stages=stages)
     texts = picked(docs, left.select(F.col("rep").alias("doc_id")).distinct(), "left_semi")
-    sets = texts.mapInArrow(_sets, "node long, n long, parts array<int>, members binary")
+    sets = texts.mapInArrow(_sets, "node long, n long, members binary")
     sets = materialize(sets.join(left.select("node"), "node", "left_semi").dropDuplicates(["node"]), stages=stages)
 
     several = signed.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("x")).filter("b <> x").select("doc_id", "b")
