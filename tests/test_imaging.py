@@ -77,3 +77,23 @@ def test_typed_tags(spark, folder):
     rows = imaging.tag_values(found, 0x0028, 0x0010).collect()
     assert {(r.path.rsplit("/", 1)[1], r.u16, r.u32) for r in rows} == {("a.dcm", 2, None), ("e.dcm", 2, None)}
     assert [r.text for r in imaging.tag_values(found, 0x0010, 0x0010).collect()] == ["Doe^Jane"]
+
+
+def test_files_share_a_batch(folder, monkeypatch):
+    reader = imaging.DicomReader(type("S", (), {"names": ["path", "error", "rows", "gray"]}), {"path": str(folder)})
+    rows = lambda found: [r for b in found for r in b.to_pylist()]
+    one = list(reader.read(reader.partitions()[0]))
+    assert [b.num_rows for b in one] == [5]
+    monkeypatch.setattr(imaging, "BYTES_A_BATCH", 2)  # the first and the last file have so much
+    cut = list(reader.read(reader.partitions()[0]))
+    assert [b.num_rows for b in cut] == [1, 4] and rows(cut) == rows(one)
+    monkeypatch.setattr(imaging, "ROWS_A_BATCH", 2)
+    assert [b.num_rows for b in reader.read(reader.partitions()[0])] == [1, 2, 2]
+
+
+def test_many_small_files(spark):
+    content = made(patient_id=b"7", rows=struct.pack("<H", 1), columns=struct.pack("<H", 1), pixels=b"\xff\xff")
+    files = spark.range(3000, numPartitions=2).selectExpr("cast(id as string) as path", "if(id % 3 = 0, null, unhex('" + content.hex() + "')) as content")
+    found = imaging.dicom_metadata(files, "gray").collect()
+    assert sorted(int(r.path) for r in found) == list(range(3000))
+    assert all((r.error, r.gray) == ("not a DICOM file", None) if int(r.path) % 3 == 0 else (r.error, r.patient_id, r.gray) == (None, "7", b"\xff") for r in found)

@@ -6,6 +6,7 @@ import io
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from fnmatch import fnmatch
 from typing import BinaryIO
 
@@ -48,27 +49,39 @@ def _ddl(names) -> str:
     return ", ".join(f"{n} {_SQL[_type(n)]}" for n in names)
 
 
+#: A batch of output rows is closed at so many files or bytes of pixels.
+ROWS_A_BATCH, BYTES_A_BATCH = 1024, 16 << 20
 #: The default columns of a file: all metadata, no pixels.
 METADATA = ["path", "error", *FIELDS]
 
 
+#: Names of the fields by their tags.
+_NAMES = {FIELDS[n][:2]: n for n in FIELDS}
+_HEAD = struct.Struct("<HH2sH")
+
+
+@lru_cache(1024)
+def _vr(two: bytes) -> str:
+    """A value representation as text, empty where it is none."""
+    vr = two.decode("latin-1")
+    return vr if vr.isalpha() and vr.isupper() else ""
+
+
 def scan(stream: BinaryIO, size: int, skip: frozenset[tuple[int, int]] = frozenset()) -> Iterator[tuple[int, int, str, bytes]]:
     """(group, element, vr, value) in file order; values of the tags in `skip` are passed over unread, and empty. Reading stops at a tag that does not fit. ValueError without the DICM mark."""
     if stream.read(132)[128:] != b"DICM":
         raise ValueError("not a DICOM file")
     at = 132
     while at + 8 <= size:
-        head = stream.read(8)
-        group, element = struct.unpack_from("<HH", head)
-        vr = head[4:6].decode("latin-1")
-        if not (vr.isalpha() and vr.isupper()):
+        group, element, two, length = _HEAD.unpack(stream.read(8))
+        vr = _vr(two)
+        if not vr:
             return
+        at += 8
         if vr in LONG:
-            if at + 12 > size:
+            if at + 4 > size:
                 return
-            length, at = struct.unpack("<I", stream.read(4))[0], at + 12
-        else:
-            length, at = struct.unpack_from("<H", head, 6)[0], at + 8
+            length, at = int.from_bytes(stream.read(4), "little"), at + 4
         if at + length > size:
             return
         if (group, element) in skip:
@@ -103,18 +116,15 @@ def _numbers(value: bytes, least: int) -> list[float] | None:
     return found + [0.0] * (least - take) if len(found) == take else None
 
 
-def _field(name: str, found: dict[tuple[int, int], bytes]):
-    group, element, how = FIELDS[name]
-    value = found.get((group, element))
-    if value is None:
-        return None
+def _field(name: str, value: bytes):
+    how = FIELDS[name][2]
     if how == "text":
         return _text(value)
     if how == "u16":
         return _unsigned(value, 2)
     if how == "number":
-        one = _numbers(value, 1)
-        return one[0] if one and "\\" not in _text(value) else None
+        one = _numbers(value, 1) if b"\\" not in value else None
+        return one[0] if one else None
     return _numbers(value, how)
 
 
@@ -129,22 +139,23 @@ def _row(path: str, stream: BinaryIO, size: int, names: list[str]) -> dict:
             found[group, element] = value  # the last of a repeated tag counts
     except ValueError as e:
         return row | {"error": str(e)}
-    row |= {n: _field(n, found) for n in names if n in FIELDS}
+    fields = {n: _field(n, value) for tag, value in found.items() if (n := _NAMES.get(tag))}
+    row |= {n: v for n, v in fields.items() if n in row}
     if frames and PIXELS in found:
-        data, bits = found[PIXELS], _field("bits_allocated", found) or 16
-        missing = [n for n in ("columns", "rows") if _field(n, found) is None]
+        data, bits = found[PIXELS], fields.get("bits_allocated") or 16
+        missing = [n for n in ("columns", "rows") if fields.get(n) is None]
         if missing:
             return row | {"error": f"missing {missing[0]} for image"}
         row["pixels"] = data
         if set(frames) - {"pixels"} and bits not in (8, 16):
             return {k: v for k, v in row.items() if k in names} | {"error": f"unsupported bit depth: {bits}"}
-        centre, width = _field("window_center", found), _field("window_width", found)
+        centre, width = fields.get("window_center"), fields.get("window_width")
         if "gray" in frames:
             row["gray"] = grayscale(data, bits)
         if "windowed" in frames and centre is not None and width:
             row["windowed"] = windowed(data, bits, centre, width)
         if "rescaled" in frames:
-            slope, intercept = _field("rescale_slope", found), _field("rescale_intercept", found)
+            slope, intercept = fields.get("rescale_slope"), fields.get("rescale_intercept")
             row["rescaled"] = rescaled(data, bits, 1.0 if slope is None else slope, intercept or 0.0)
     return row
 
@@ -153,14 +164,28 @@ def _batch(rows: list[dict], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], _type(n)) for n in names], names=names)
 
 
+def _batches(rows: Iterator[dict], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows in batches: what a batch costs, with its many columns, is shared by up to ROWS_A_BATCH files, or fewer where their pixels take BYTES_A_BATCH."""
+    frames = [n for n in names if n in _FRAMES]
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += sum(memoryview(row[n]).nbytes for n in frames if row.get(n) is not None)
+        if len(held) >= ROWS_A_BATCH or size >= BYTES_A_BATCH:
+            yield _batch(held, names)
+            held, size = [], 0
+    if held:
+        yield _batch(held, names)
+
+
 def dicom_metadata(files: DataFrame, *frames: str) -> DataFrame:
     """One row for each of files (path, content): path, error, the 31 metadata columns, and those of pixels, gray, windowed (by the file's own window), rescaled that are asked for."""
     names = [*METADATA, *frames]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                yield _batch([_row(path, io.BytesIO(data or b""), len(data or b""), names)], names)
+            content = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            yield from _batches((_row(path, io.BytesIO(data or b""), len(data or b""), names) for path, data in content), names)
 
     return files.select("path", "content").mapInArrow(read, _ddl(names))
 
@@ -200,9 +225,13 @@ class DicomReader(DataSourceReader):
 
     def read(self, partition: _Files) -> Iterator[pa.RecordBatch]:
         system = fs.FileSystem.from_uri(self.path)[0] if "://" in self.path else fs.LocalFileSystem()
-        for path in partition.paths if partition else []:
-            with system.open_input_file(path) as stream:
-                yield _batch([_row(path, stream, stream.size(), self.names)], self.names)
+
+        def rows() -> Iterator[dict]:
+            for path in partition.paths if partition else []:
+                with system.open_input_file(path) as stream:
+                    yield _row(path, stream, stream.size(), self.names)
+
+        yield from _batches(rows(), self.names)
 
 
 class DicomSource(DataSource):
@@ -234,7 +263,7 @@ def grayscale(pixels: bytes, bits: int) -> bytes:
 def windowed(pixels: bytes, bits: int, centre: float, width: float) -> bytes:
     """Pixels mapped by a window to 0 to 255."""
     raw = np.frombuffer(pixels, np.uint8 if bits == 8 else "<u2").astype(float)
-    return np.clip((raw - (centre - width / 2)) / width * 255, 0, 255).astype(np.uint8).tobytes()
+    return np.minimum(np.maximum((raw - (centre - width / 2)) / width * 255, 0), 255).astype(np.uint8).tobytes()
 
 
 def rescaled(pixels: bytes, bits: int, slope: float, intercept: float) -> np.ndarray:
