@@ -46,7 +46,9 @@ def hl7_generate(spark, d):
 
 def _visits(spark, d):
     """Messages put together by the builders, with marks of their own for every second customer."""
-    c = table(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_custkey").cast("string").alias("k"), "c_mktsegment", "c_name")
+    # Messages cost far more than the rows, of which a few Parquet splits hold all: these are dealt out before.
+    rows = table(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_name").repartition(spark.sparkContext.defaultParallelism)
+    c = rows.select(F.col("c_custkey").alias("key"), F.col("c_custkey").cast("string").alias("k"), "c_mktsegment", "c_name")
     cut = F.when(F.col("key") % 2 == 0, F.lit("^")).otherwise(F.lit("$"))
     day = F.concat(F.lit("202501"), F.lpad((F.col("key") % 28 + 1).cast("string"), 2, "0"))
     name = F.concat(F.col("c_name"), cut, F.col("c_mktsegment"), cut, F.lit("M"))

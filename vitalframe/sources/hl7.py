@@ -19,18 +19,37 @@ SEGMENT_NAMES = (
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
-def segments(message) -> Column:
-    """array<struct<name, fields>> of a message; empty for an empty text and null unless it begins with MSH."""
+def _once(value: Column, body) -> Column:
+    """body(value), where value is worked out once a row, however often body names it; Spark would put its expression in each of these places."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _pattern(mark: Column) -> Column:
+    """A regular expression for the text itself. A single mark is escaped by a backslash, which Java splits at without compiling it."""
+    simple = (F.length(mark) == 1) & F.lit("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~").contains(mark)
+    return F.when(simple, F.concat(F.lit("\\"), mark)).otherwise(F.concat(F.lit("\\Q"), mark, F.lit("\\E")))
+
+
+def _lines(message: Column) -> Column:
+    return F.filter(F.split(F.replace(message, F.lit("\n"), F.lit("\r")), "\r"), lambda line: line != "")
+
+
+def segments(message, *names: str) -> Column:
+    """array<struct<name, fields>> of a message, or of its segments of these names; empty for an empty text and null unless it begins with MSH."""
     message = col(message)
-    sep = F.substring(message, 4, 1)
-    lines = F.filter(F.split(message, r"\r\n|\r|\n"), lambda line: line != "")
 
-    def one(line):
-        rest = F.split(line.substr(F.lit(5), F.length(line)), F.concat(F.lit("\\Q"), sep, F.lit("\\E")), F.lit(-1))
+    def one(line, sep, pattern):
+        rest = F.split(line.substr(F.lit(5), F.length(line)), pattern, F.lit(-1))
         name = F.substring(line, 1, 3)
         return F.struct(name.alias("name"), F.when(name == "MSH", F.concat(F.array(sep), rest)).otherwise(rest).alias("fields"))
 
-    return F.when(message.startswith("MSH"), F.transform(lines, one)).when(message == "", F.array().cast("array<struct<name:string,fields:array<string>>>"))
+    def cut(text):
+        lines = F.filter(_lines(text), lambda line: F.substring(line, 1, 3).isin(*names)) if names else _lines(text)
+        sep = F.substring(text, 4, 1)
+        found = _once(F.struct(sep.alias("sep"), _pattern(sep).alias("pattern")), lambda s: F.transform(lines, lambda line: one(line, s["sep"], s["pattern"])))
+        return F.when(text.startswith("MSH"), found).when(text == "", F.array().cast("array<struct<name:string,fields:array<string>>>"))
+
+    return _once(message, cut)
 
 
 def field(segment: Column, n: int) -> Column:
@@ -41,14 +60,18 @@ def field(segment: Column, n: int) -> Column:
 def marks(message) -> Column:
     """The marks that MSH names, each the usual one where it is absent: field, component, repetition, escape, part."""
     names = {"component": "^", "repetition": "~", "escape": "\\", "part": "&"}
-    found = field(first_of(segments(message), "MSH"), 2)
-    at = lambda i, usual: F.coalesce(F.when(F.length(found) > i, F.substring(found, i + 1, 1)), F.lit(usual))
-    sep = F.coalesce(field(first_of(segments(message), "MSH"), 1), F.lit("|"))
-    return F.named_struct(F.lit("field"), sep, *[x for i, (name, usual) in enumerate(names.items()) for x in (F.lit(name), at(i, usual))])
+
+    def read(head):
+        found = field(head, 2)
+        at = lambda i, usual: F.coalesce(F.when(F.length(found) > i, F.substring(found, i + 1, 1)), F.lit(usual))
+        sep = F.coalesce(field(head, 1), F.lit("|"))
+        return F.named_struct(F.lit("field"), sep, *[x for i, (name, usual) in enumerate(names.items()) for x in (F.lit(name), at(i, usual))])
+
+    return _once(F.get(segments(message, "MSH"), F.lit(0)), read)
 
 
 def _split(value: Column, mark) -> Column:
-    return F.split(value, F.concat(F.lit("\\Q"), F.lit(mark) if isinstance(mark, str) else mark, F.lit("\\E")), F.lit(-1))
+    return F.split(value, _pattern(F.lit(mark) if isinstance(mark, str) else mark), F.lit(-1))
 
 
 def component(value: Column, n: int, mark="^") -> Column:
@@ -114,29 +137,34 @@ def escaped(text) -> Column:
 
 def unescaped(text, of: Column | None = None) -> Column:
     """The inverse, read once from left to right, so that nothing is decoded twice. With the marks of a message (see marks()) its own escape mark is read and its own marks are written."""
-    text = col(text)
-    if of is not None:
-        text = F.replace(text, of["escape"], F.lit("\\"))
-    parts = F.regexp_extract_all(text, F.lit(r"\\[FSRTE]\\|[^\\]+|\\"), F.lit(0))
+    text, whole = col(text), F.lit(r"\\[FSRTE]\\|[^\\]+|\\")
     if of is None:
+        parts = F.regexp_extract_all(text, whole, F.lit(0))
         names = {f"\\{k}\\": v for k, v in {"F": "|", "S": "^", "R": "~", "T": "&", "E": "\\"}.items()}
         return F.array_join(F.transform(parts, lambda p: F.coalesce(lookup(p, names), p)), "")
-    table = {"F": of["field"], "S": of["component"], "R": of["repetition"], "T": of["part"], "E": of["escape"]}
-    marks_ = F.create_map(*[x for k, v in table.items() for x in (F.lit(f"\\{k}\\"), v)])
     # A lone escape mark stands for itself.
-    return F.array_join(F.transform(parts, lambda p: F.coalesce(F.try_element_at(marks_, p), F.when(p == "\\", of["escape"]), p)), "")
+    table = {"\\F\\": of["field"], "\\S\\": of["component"], "\\R\\": of["repetition"], "\\T\\": of["part"], "\\E\\": of["escape"], "\\": of["escape"]}
+
+    def one(part):
+        return F.coalesce(*[F.when(part == k, v) for k, v in table.items()], part)
+
+    def decoded(t):
+        return F.when(t.contains("\\"), F.array_join(F.transform(F.regexp_extract_all(t, whole, F.lit(0)), one), "")).otherwise(t)
+
+    return _once(F.replace(text, of["escape"], F.lit("\\")), decoded)
 
 
 def generated(found) -> Column:
     """The message text of an array of segments, with the field separator of its MSH."""
-    sep = F.coalesce(field(first_of(found, "MSH"), 1), F.lit("|"))
-    joined = lambda fields: F.call_function("array_join", fields, sep, F.lit(""))
 
-    def line(s):
+    def line(s, sep):
         later = F.slice(s["fields"], F.lit(2), F.greatest(F.size(s["fields"]) - 1, F.lit(0)))
-        return F.concat(s["name"], sep, joined(F.when(s["name"] == "MSH", later).otherwise(s["fields"])))
+        return F.concat(s["name"], sep, F.call_function("array_join", F.when(s["name"] == "MSH", later).otherwise(s["fields"]), sep, F.lit("")))
 
-    return F.concat(F.array_join(F.transform(col(found), line), "\r"), F.lit("\r"))
+    def lines(all_):
+        return _once(F.coalesce(field(first_of(all_, "MSH"), 1), F.lit("|")), lambda sep: F.array_join(F.transform(all_, lambda s: line(s, sep)), "\r"))
+
+    return F.concat(_once(col(found), lines), F.lit("\r"))
 
 
 def segment(name: str, fields: dict[int, object]) -> Column:
@@ -263,6 +291,12 @@ def has_contact(message) -> Column:
 
 def contacts(frame: DataFrame, message: str, *keep: str) -> DataFrame:
     """(keep, family_name, given_name): next of kin with a name."""
-    flat = frame.select(*keep, F.explode(of_name(segments(message), "NK1")).alias("_s"), marks(message).alias("_marks"))
-    found = flat.select(*keep, _read(2, 1).alias("family_name"), _read(2, 2).alias("given_name"))
-    return found.filter(~(blank("family_name") & blank("given_name")))
+
+    def named(s, of):
+        name = _once(field(s, 2), lambda f: F.struct(*[unescaped(component(f, n, of["component"]), of).alias(a) for n, a in ((1, "family_name"), (2, "given_name"))]))
+        return _once(name, lambda x: F.when(~(blank(x["family_name"]) & blank(x["given_name"])), x))
+
+    def read(text):
+        return F.filter(_once(marks(text), lambda of: F.transform(segments(text, "NK1"), lambda s: named(s, of))), lambda x: x.isNotNull())
+
+    return frame.select(*keep, F.inline(_once(col(message), read)))
