@@ -297,12 +297,13 @@ def test_smoothing_by_blocks(spark):
 
 
 def test_messages_are_read_once(spark):
-    """Contacts of odd messages; in the plan each message is cut in a fixed number of places, and no filter repeats the work."""
+    """Contacts and visits of odd messages; in the plan each message is cut in a fixed number of places, and no filter repeats the work."""
     full = "MSH|$~!&|A\r\n\r\nNK1|1|O!S!1$A!T!B\nNK1|2|  $ \nNK1|3|a!F!b!\nPV1||I|W$X||||||||CARD||||||||| V7 |||| 20240229x|\u3000202503010930\nPV1|||second"
     bare = "MSH#\rNK1#1#x^y\rPV1###p^q"
     rows = spark.createDataFrame([(1, full), (2, bare), (3, "MSH|^~\\&"), (4, "PID|1"), (5, ""), (6, None), (7, "MSH|^~\\&\rPV1\rNK1")], "k int, m string")
-    kin = hl7.contacts(rows, "m", "k")
+    kin, seen = hl7.contacts(rows, "m", "k"), hl7.visit_events(rows, "m", "k")
     assert sorted(tuple(r) for r in kin.collect()) == [(1, "O$1", "A&B"), (1, "a|b!", None), (2, "x", "y")]
-    for found in (kin,):
+    assert sorted(tuple(r) for r in seen.collect()) == [(1, "V7", "CARD", "2025-03-01"), (2, "", "q", None), (7, "", "", None)]
+    for found in (kin, seen):
         plan = found.filter("k > 0")._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("StartsWith(") + plan.count("startswith(") <= 2

@@ -265,16 +265,24 @@ def visit_events(frame: DataFrame, message: str, *keep: str) -> DataFrame:
     id: the visit number, PV1-19, or a filled field beside it (20, 18, 21); code: the last component of the hospital
     service, PV1-10, or of 11, 9, 3 or 2; start_date: the day of the last field that begins with eight digits. Absent: "", "" and null.
     """
-    rows = frame.select(*keep, first_of(segments(message), "PV1").alias("_s"), marks(message).alias("_marks")).filter("_s is not null")
-    s, trimmed = F.col("_s"), lambda n: uni_trim(field(F.col("_s"), n))
-    last = lambda n: F.element_at(_split(trimmed(n), F.col("_marks.component")), -1)
-    dates = F.filter(F.transform(s["fields"], uni_trim), lambda f: f.rlike(r"^\d{8}"))
-    return rows.select(
-        *keep,
-        F.coalesce(*[_filled(trimmed(n)) for n in (19, 20, 18, 21)], F.lit("")).alias("id"),
-        F.coalesce(*[F.when(last(n) != "", last(n)) for n in (10, 11, 9, 3, 2)], F.lit("")).alias("code"),
-        _dated(F.try_element_at(dates, F.lit(-1))).alias("start_date"),
-    )
+    def event(s, cut):
+        trimmed = lambda n: uni_trim(field(s, n))
+        filled = lambda f: F.when(f != "", f)
+        last = lambda n: _once(F.call_function("substring_index", trimmed(n), cut, F.lit(-1)), filled)
+        # Trimmed, a field begins with eight digits; most are empty.
+        day = F.try_element_at(F.filter(s["fields"], lambda f: (f != "") & f.rlike(r"(?U)^\s*[0-9]{8}")), F.lit(-1))
+        return F.struct(
+            F.coalesce(*[_once(trimmed(n), _filled) for n in (19, 20, 18, 21)], F.lit("")).alias("id"),
+            F.coalesce(*[last(n) for n in (10, 11, 9, 3, 2)], F.lit("")).alias("code"),
+            F.regexp_replace(day, r"(?Us)^\s*([0-9]{4})([0-9]{2})([0-9]{2}).*", "$1-$2-$3").alias("start_date"),
+        )
+
+    def read(text):
+        first = F.slice(segments(text, "PV1"), 1, 1)
+        return _once(marks(text)["component"], lambda cut: F.transform(first, lambda s: event(s, cut)))
+
+    # One expression a message, in a generator: no filter on its result is pushed below it, where all would be worked out again.
+    return frame.select(*keep, F.inline(_once(col(message), read)))
 
 
 def order_events(frame: DataFrame, message: str, *keep: str) -> DataFrame:
