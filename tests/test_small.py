@@ -85,3 +85,19 @@ def test_bad_pairs_and_searches(spark):
     first = table.first()
     assert first.code in {r.code for r in terminology.search_terms(table, first.long_name[:5].upper(), component=first.component.upper()).collect()}
     assert terminology.search_terms(table, None, system="none such").count() == 0
+
+
+def test_bad_pairs_are_made_once(spark, monkeypatch):
+    """Idents of several drugs, repeated rows, nulls and large sets in blocks against all pairs; nothing after the join makes its pairs distinct."""
+    monkeypatch.setattr(terminology, "BLOCK_ROWS", 3)
+    rng = np.random.default_rng(5)
+    made = [(int(g), int(i), "ABCDEF"[d] if d % 2 else "abcdef"[d]) for g, i, d in zip(rng.integers(0, 3, 150), rng.integers(0, 40, 150), rng.integers(0, 6, 150), strict=True)]
+    made += [(None, 1, "a"), (1, None, "b"), (1, 50, None), *made[:20], *[(7, i, "aB"[i % 2]) for i in range(40)], *[(8, i, "c") for i in range(20)]]
+    bad = {frozenset(x) for x in ("ab", "bd", "e", "c")}
+    known = spark.createDataFrame([("A", "b"), ("d", "B"), ("e", "e"), ("C", "c"), ("b", "a"), (None, "a")], "x string, y string")
+    whole = [(g, i, d.lower()) for g, i, d in made if g is not None and i is not None and d is not None]
+    want = {(g, i, j) for g, i, x in whole for h, j, y in whole if g == h and i < j and frozenset((x, y)) in bad}
+    found = terminology.contraindicated_within(spark.createDataFrame(made, "s int, i int, drug string"), "s", "i", "drug", known)
+    assert found.columns == ["s", "a", "b"] and sorted(tuple(r) for r in found.collect()) == sorted(want) and len(want) > 500
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan[: plan.index("Join")]

@@ -113,16 +113,36 @@ def contraindicated(pairs: DataFrame, a: str, b: str, known_pairs: list[tuple[st
     return pairs.filter(pair_key(a, b).isin(keys))
 
 
+#: Rows of one group and set of drugs meet those of another in blocks of about so many.
+BLOCK_ROWS = 2048
+
+
 def contraindicated_within(rows: DataFrame, group: str, ident: str, drug: str, known_pairs: DataFrame) -> DataFrame:
     """(group, a, b): pairs of rows of one group, a < b by ident, whose drugs are a pair of known_pairs (x, y; any order and ASCII case).
 
-    Each row first meets the table for the drugs that it must not be with, and only then the rows of its group that have one of them: no other pair is made.
+    An ident has one set of drugs, so sets are told apart first, and each pair of bad sets of a group once; then each pair of rows is
+    made once, and only if it is in the result: nothing is left to make distinct. Large sets of rows meet in blocks, each in one task.
     """
     names = known_pairs.select(ascii_lower("x").alias("x"), ascii_lower("y").alias("y"))
     both = names.unionByName(names.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct()
-    mine = rows.select(group, F.col(ident).alias("a"), ascii_lower(drug).alias("x"))
-    wanted = mine.join(both, "x").select(group, "a", F.col("y").alias("x"))
-    return wanted.join(mine.withColumnRenamed("a", "b"), [group, "x"]).filter("a < b").select(group, "a", "b").distinct()
+    mine = rows.select(F.col(group).alias("g"), F.col(ident).alias("a"), ascii_lower(drug).alias("x")).filter(F.col("g").isNotNull() & F.col("a").isNotNull())
+    held = mine.join(both, "x", "left_semi").groupBy("g", "a").agg(F.array_sort(F.collect_set("x")).alias("s"))
+    sets = held.groupBy("g", "s").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("n"))
+    left = sets.select("g", "s", "n", F.explode("s").alias("x")).join(both, "x").select("g", "s", "n", F.col("y").alias("x"))
+    right = sets.select("g", F.col("s").alias("t"), F.col("n").alias("m"), F.explode("s").alias("x"))
+    bad = left.join(right, ["g", "x"]).filter("s <= t").select("g", "s", "t", "n", "m").distinct()
+
+    def dealt(of: str, block: str, blocks: str, other: str, others: str) -> DataFrame:
+        """The rows of a set in their own block, once for each block of the other set."""
+        met = held.withColumnRenamed("s", of).join(bad, ["g", of])
+        return met.select("g", "s", "t", "a", F.expr(f"pmod(xxhash64(a), {blocks})").alias(block), F.explode(F.expr(f"sequence(0L, {others} - 1)")).alias(other))
+
+    # A number of its own: by their bytes, which say nothing of the pairs, the blocks would be put into one or two tasks.
+    keys, tasks = ["g", "s", "t", "i", "j"], 4 * rows.sparkSession.sparkContext.defaultParallelism
+    one = dealt("s", "i", "n", "j", "m").withColumn("same", F.expr("s = t")).repartition(tasks, *keys)
+    two = dealt("t", "j", "m", "i", "n").withColumnRenamed("a", "b").repartition(tasks, *keys)
+    pairs = one.join(two, keys).filter("not same or a < b")
+    return pairs.select(F.col("g").alias(group), F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def search_terms(table: DataFrame, text: str | None = None, **equal: str) -> DataFrame:
